@@ -406,8 +406,10 @@ LEFT JOIN (SELECT xzone, yzone, count(*) AS count FROM (SELECT {binned} FROM dep
     clean = "gameid, playid, playdescription, quarter, down, yardstogo, {} AS possessionteam, {} AS defensiveteam, {} AS pff_passcoverage, presnaphomescore, presnapvisitorscore, gameclock, {} AS season"
 
     plain = {
-        "tracking_union": """SELECT gameid, playid, nflid, frameid, jerseynumber, team, playdirection, x, y, x / 8 AS s, y / 8 AS a,
- (x + y) / 16 AS dis, o, o / 2 AS dir, event FROM track""",
+        "tracking_union": """SELECT gameid, playid, team, playdirection, count(*) AS n, count(event) AS events,
+ CAST(sum(nflid) AS BIGINT) AS nflid, CAST(sum(frameid) AS BIGINT) AS frameid, CAST(sum(jerseynumber) AS BIGINT) AS jerseynumber,
+ sum(x) AS x, sum(y) AS y, sum(x / 8) AS s, sum(y / 8) AS a, sum((x + y) / 16) AS dis, sum(o) AS o, sum(o / 2) AS dir
+FROM track GROUP BY 1, 2, 3, 4""",
         "games_union": "SELECT *, CASE WHEN season = 2022 THEN gameid % 41 END AS visitorfinalscore FROM games",
         "players_union": """SELECT nflid, '6-2' AS height, 200 + nflid % 50 AS weight, '1995-01-01' AS birthdate, 'State' AS collegename, position,
  concat('Player ', nflid) AS displayname, season FROM players""",
@@ -423,10 +425,11 @@ UNION ALL SELECT {clean.format("possessionteam", "defensiveteam", '''CASE WHEN p
         "team_colors": "SELECT * FROM colors",
         "play_crop": "SELECT * FROM crop",
         "ball_spots": "SELECT * FROM spots",
-        "clip_frames": """SELECT gameid, playid, nflid, frameid, snap, clip, x, y FROM track JOIN crop USING (gameid, playid)
-WHERE frameid >= snap AND (clip IS NULL OR frameid <= clip)""",
-        "orient_coords": f"""SELECT * REPLACE (round(newx, 6) AS newx) FROM (SELECT gameid, playid, nflid, frameid, {turned()},
- CASE playdirection WHEN 'right' THEN -(o + 90) ELSE 90 - o END AS newo FROM track)""",
+        "clip_frames": """SELECT gameid, playid, snap, clip, count(*) AS n, min(frameid) AS first, max(frameid) AS last, sum(x) AS x, sum(y) AS y
+FROM track JOIN crop USING (gameid, playid) WHERE frameid >= snap AND (clip IS NULL OR frameid <= clip) GROUP BY 1, 2, 3, 4""",
+        "orient_coords": f"""SELECT gameid, playid, team, round(min(newx), 6) AS min_newx, round(max(newx), 6) AS max_newx,
+ min(newy) AS min_newy, max(newy) AS max_newy, min(newo) AS min_newo, max(newo) AS max_newo
+FROM (SELECT gameid, playid, team, {turned()}, CASE playdirection WHEN 'right' THEN -(o + 90) ELSE 90 - o END AS newo FROM track) GROUP BY 1, 2, 3""",
         "mean_positions": "SELECT * REPLACE (round(newx, 6) AS newx, round(newy, 6) AS newy, round(newspot_x, 6) AS newspot_x) FROM positions",
         "depth_by_play": "SELECT gameid, playid, nflid, pff_passcoverage, depth, width, first_down, width_rk, depth_rk, side FROM depths",
         "play_frames": "SELECT * EXCLUDE (ball_snap) REPLACE (round(newx, 6) AS newx) FROM drawn",

@@ -23,3 +23,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="turfline-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` behind a checkpoint, and its number of rows."""
+    kept = cut_lineage(df)
+    return kept, kept.count()

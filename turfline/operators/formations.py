@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import avg_rank, if_else, share
-from turfline.functions.skew import HOT_ROWS, attach
-from turfline.operators.tracking import BALL, PLAY, orient_coords, play_crop
+from turfline.functions.skew import attach
+from turfline.operators.tracking import BALL, PLAY, orient_coords
 
 ALIGNMENT_SNAPS = ("autoevent_ballsnap", "ball_snap")
 
@@ -22,39 +22,41 @@ FORMATION_NAMES = {
 }
 
 
+def snap_places(
+    track: DataFrame, snap_events: Sequence[str] = ALIGNMENT_SNAPS, keys: Sequence[str] = PLAY, frame: str = "frameid"
+) -> DataFrame:
+    """The ball's own first snap event of every play and its place then."""
+    balls = track.where((F.col("team") == BALL) & F.col("event").isin(*snap_events))
+    return balls.groupBy(*keys).agg(
+        F.min(frame).alias(frame), F.min_by("x", frame).alias("spot_x"), F.min_by("y", frame).alias("spot_y")
+    )
+
+
 def alignment_by_play(
     track: DataFrame,
     plays: DataFrame,
     players: DataFrame,
-    snap_events: Sequence[str] = ALIGNMENT_SNAPS,
+    snaps: DataFrame | None = None,
     keys: Sequence[str] = PLAY,
     frame: str = "frameid",
-    hot_rows: int | None = HOT_ROWS,
+    n_plays: int | None = None,
 ) -> DataFrame:
     """Where each offensive player stands at the snap, seen from the ball.
 
-    The snap is the ball's own first snap event. Snap frame, spot and play
-    facts meet first, one row per play; frames are then shuffled once.
+    Snap frame, place of the ball and play facts meet in one row per play. The
+    frame is part of the key that joins it to the frames, so a play of any size
+    is spread by frame. ``n_plays`` is the counted size of ``snaps``, if known.
     """
     keys = list(keys)
-    snaps = track.where((F.col("team") == BALL) & F.col("event").isin(*snap_events))
-    first = snaps.groupBy(*keys).agg(F.min(frame).alias("_first"))
-    at_snap = (
-        snaps.select(*keys, frame, F.col("x").alias("spot_x"), F.col("y").alias("spot_y"))
-        .join(first, keys)
-        .where(F.col(frame) == F.col("_first"))
-        .drop(frame)
-    )
-    sizes = track.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    if snaps is None:
+        snaps = snap_places(track, keys=keys, frame=frame)
     facts = plays.select(*keys, "defensiveteam", "yardstogo", "season")
-    per_play = at_snap.join(facts, keys, "left").join(sizes, keys) if hot_rows else at_snap.join(facts, keys, "left")
+    per_play = snaps.join(facts, keys, "left")
     narrow = track.select(*keys, frame, "nflid", "team", "playdirection", "x", "y").where(F.col("team") != BALL)
-    standing = attach(narrow, per_play, keys, [frame, "nflid"], hot_rows=hot_rows).where(
-        F.col(frame) == F.col("_first")
-    )
-    side = if_else(F.col("team") == F.col("defensiveteam"), F.lit("defense"), F.lit("offense"))
-    offence = standing.where(side == "offense").join(
-        players.select("nflid", "season", "position"), ["nflid", "season"], "left"
+    offence = (
+        attach(narrow, per_play, [*keys, frame], [], n_keys=n_plays)
+        .where(F.col("team") != F.col("defensiveteam"))
+        .join(players.select("nflid", "season", "position"), ["nflid", "season"], "left")
     )
     placed = orient_coords(offence).withColumns(
         {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import if_else, min_rank
@@ -57,7 +57,7 @@ def ball_spots(
     track: DataFrame, crop: DataFrame, keys: Sequence[str] = PLAY, frame: str = "frameid", ball: str = BALL
 ) -> DataFrame:
     """Where the ball lies at the start frame. The frame is part of the join key."""
-    at = crop.select(*keys, F.col("snap").alias(frame))
+    at = crop.select(*keys, F.col("snap").alias(frame)).hint("shuffle_hash")
     balls = track.where(F.col("team") == ball).select(*keys, frame, "x", "y")
     return balls.join(at, [*keys, frame]).select(
         *keys, F.col("x").alias("spot_x"), F.col("y").alias("spot_y")
@@ -70,6 +70,7 @@ def clip_frames(
     keys: Sequence[str] = PLAY,
     frame: str = "frameid",
     hot_rows: int | None = HOT_ROWS,
+    n_plays: int | None = None,
 ) -> DataFrame:
     """Frames from the start frame to the end frame, to the last one if there is no end.
 
@@ -77,7 +78,7 @@ def clip_frames(
     """
     bounds = crop.where(F.col("snap").isNotNull())
     within = (F.col(frame) >= F.col("snap")) & (F.col("clip").isNull() | (F.col(frame) <= F.col("clip")))
-    return attach(track, bounds, keys, [frame], hot_rows=hot_rows).where(within)
+    return attach(track, bounds, keys, [frame], hot_rows=hot_rows, n_keys=n_plays).where(within)
 
 
 def orient_coords(
@@ -135,30 +136,47 @@ def mean_positions(
     track: DataFrame,
     crop: DataFrame,
     plays: DataFrame,
-    spots: DataFrame,
+    spots: DataFrame | None = None,
     keys: Sequence[str] = PLAY,
     frame: str = "frameid",
     hot_rows: int | None = HOT_ROWS,
+    n_plays: int | None = None,
 ) -> DataFrame:
     """Mean rotated position of each defender over the cropped frames.
 
-    Crop, spot and play facts are joined first, one row per play, so that the
-    frames are shuffled once; the mean then moves one partial row per player
-    and task.
+    The frames meet one row per play and are averaged as they are; rotation is
+    linear, so it is done on the means, a few rows per play. Without ``spots``
+    the ball's rows of the start frame pass through the same join and give the
+    spot, which saves a scan of the frames. ``n_plays`` is the counted size of
+    the crop, if known.
     """
+    keys = list(keys)
     facts = plays.select(*keys, "defensiveteam", "yardstogo")
-    per_play = crop.where(F.col("snap").isNotNull()).join(facts, list(keys)).join(spots, list(keys), "left")
-    narrow = track.select(*keys, frame, "nflid", "jerseynumber", "team", "playdirection", "x", "y").where(
-        F.col("team") != BALL
-    )
+    per_play = crop.where(F.col("snap").isNotNull()).join(facts, keys)
+    narrow = track.select(*keys, frame, "nflid", "jerseynumber", "team", "playdirection", "x", "y")
     within = (F.col(frame) >= F.col("snap")) & (F.col("clip").isNull() | (F.col(frame) <= F.col("clip")))
-    defenders = attach(narrow, per_play, keys, [frame, "nflid"], hot_rows=hot_rows).where(
-        within & (F.col("team") == F.col("defensiveteam"))
+    defends = within & (F.col("team") == F.col("defensiveteam"))
+    spotted = (F.col("team") == BALL) & (F.col(frame) == F.col("snap"))
+    wanted = defends if spots is not None else defends | spotted
+    frames = attach(narrow, per_play, keys, [frame, "nflid"], hot_rows=hot_rows, n_keys=n_plays).where(wanted)
+    place = F.when(spotted, F.struct(F.col("x").alias("spot_x"), F.col("y").alias("spot_y")))
+    means = (
+        frames.groupBy(*keys, "nflid", "jerseynumber", "playdirection", "yardstogo", place.alias("_ball"))
+        .agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     )
-    return (
-        orient_coords(defenders)
-        .groupBy(*keys, "nflid", "jerseynumber", "newspot_y", "newspot_x", "line_to_gain")
-        .agg(F.avg("newx").alias("newx"), F.avg("newy").alias("newy"))
+    if spots is not None:
+        players = means.join(spots, keys, "left")
+    else:
+        # Places of the ball in one frame: one, unless the frame holds it twice.
+        places = F.collect_set("_ball").over(Window.partitionBy(*keys))
+        players = (
+            means.withColumn("_places", places)
+            .where(F.col("_ball").isNull())
+            .select("*", F.explode_outer("_places").alias("_spot"))
+            .select("*", "_spot.*")
+        )
+    return orient_coords(players).select(
+        *keys, "nflid", "jerseynumber", "newspot_y", "newspot_x", "line_to_gain", "newx", "newy"
     )
 
 
@@ -188,34 +206,39 @@ def play_frames(
     colors: DataFrame,
     keys: Sequence[str] = PLAY,
     frame: str = "frameid",
-    snap_events: Sequence[str] = ("ball_snap",),
+    snaps: DataFrame | None = None,
     hot_rows: int | None = HOT_ROWS,
+    n_plays: int | None = None,
 ) -> DataFrame:
     """Frame table behind a play's moving picture, for all plays at once.
 
-    The spot is where the ball lies one frame before the snap. Plays without
-    that frame are left out, as they have no spot to draw.
+    The spot is where the ball lies one frame before ``ball_snap``. Plays
+    without that frame are left out, as they have no spot to draw. All facts of
+    a play, the two team colours included, meet in one row before the frames do.
     """
     keys = list(keys)
-    snaps = play_crop(track, snap_events, (), keys, frame, with_rows=True)
+    if snaps is None:
+        snaps = play_crop(track, ("ball_snap",), (), keys, frame, with_rows=True)
     before = snaps.select(*keys, (F.col("snap") - 1).alias("snap"))
     spots = ball_spots(track, before, keys, frame).select(*keys, F.col("spot_x").alias("spot"))
+    # Two entries per play: one for each side.
+    sides = colors.groupBy(*keys).agg(F.collect_list(F.struct("team", "color")).alias("_sides"))
     per_play = (
-        snaps.select(*keys, F.col("snap").alias("ball_snap"), "n_rows")
+        snaps.withColumnRenamed("snap", "ball_snap").drop("clip")
         .join(spots, keys)
         .join(details.select(*keys, "season", "yardstogo", "pff_passcoverage", "caption"), keys, "left")
+        .join(sides, keys, "left")
     )
-    sides = colors.select(*keys, "team", "color")
-    people = players.select("nflid", "season", "position")
     is_ball = F.col("team") == BALL
     rightward = F.col("playdirection") == "right"
+    own = F.filter("_sides", lambda s: s["team"] == F.col("team"))
     frames = (
-        attach(track, per_play, keys, [frame, "nflid"], hot_rows=hot_rows)
-        .join(sides, [*keys, "team"], "left")
-        .join(people, ["nflid", "season"], "left")
+        attach(track, per_play, keys, [frame, "nflid"], hot_rows=hot_rows, n_keys=n_plays)
+        .withColumns({"color": F.get(own, F.lit(0))["color"], "o": F.coalesce("o", F.lit(0.0))})
+        .drop("_sides")
+        .join(players.select("nflid", "season", "position"), ["nflid", "season"], "left")
     )
-    turned = orient_coords(frames.withColumn("o", F.coalesce("o", F.lit(0.0))), shift=False)
-    return turned.withColumns(
+    return orient_coords(frames, shift=False).withColumns(
         {
             "jerseynumber": F.when(~is_ball, F.col("jerseynumber")),
             "skill": F.when(F.col("position").isin(*SKILL_POSITIONS), "black"),

@@ -1,8 +1,10 @@
 """Whole analyses: from tracking frames to the tables behind each report.
 
-Each function declares one lazy plan. The crop counts the rows of every play,
-so that the joins of frames to plays can spread a play that is too large for
-one task.
+Each analysis first reduces the frames to one row per play (where it starts and
+ends, where the ball lies) and writes that table once. Its size is then known,
+so the join back to the frames can broadcast it or, if it is too large,
+shuffle, and the frames are not scanned again for every use. The rest of the
+plan is lazy.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turfline.functions.lineage import written
 from turfline.functions.sampling import train_split
 from turfline.functions.skew import HOT_ROWS
 from turfline.operators import formations as fm
@@ -23,10 +26,13 @@ ONE_HIGH_COVERAGES = ("Cover-1", "Cover-3")
 
 
 def defender_positions(track: DataFrame, plays: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Mean position of every defender between snap and clip."""
-    crop = tr.play_crop(track, with_rows=hot_rows is not None)
-    spots = tr.ball_spots(track, crop)
-    return tr.mean_positions(track, crop, plays, spots, hot_rows=hot_rows)
+    """Mean position of every defender between snap and clip.
+
+    The crop counts the rows of every play, so that a play too large for one
+    task can be spread.
+    """
+    crop, n = written(tr.play_crop(track, with_rows=hot_rows is not None))
+    return tr.mean_positions(track, crop, plays, hot_rows=hot_rows, n_plays=n)
 
 
 def defender_depths(
@@ -43,16 +49,24 @@ def defender_depths(
     return tr.depth_by_play(defender_positions(track, wanted, hot_rows), wanted, coverages)
 
 
-def formations(track: DataFrame, plays: DataFrame, players: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def alignments(track: DataFrame, plays: DataFrame, players: DataFrame) -> DataFrame:
+    """Offensive players at the snap."""
+    snaps, n = written(fm.snap_places(track))
+    return fm.alignment_by_play(track, plays, players, snaps, n_plays=n)
+
+
+def formations(track: DataFrame, plays: DataFrame, players: DataFrame) -> DataFrame:
     """Formation string of every play."""
-    return fm.formation_by_play(fm.alignment_by_play(track, plays, players, hot_rows=hot_rows))
+    return fm.formation_by_play(alignments(track, plays, players))
 
 
 def frame_table(
     track: DataFrame, plays: DataFrame, games: DataFrame, players: DataFrame, color_grid: DataFrame
 ) -> DataFrame:
     """Everything needed to draw any play."""
-    return tr.play_frames(track, pl.play_details(plays, games), players, pl.team_colors(plays, color_grid))
+    snaps, n = written(tr.play_crop(track, ("ball_snap",), (), with_rows=True))
+    colors = pl.team_colors(plays, color_grid)
+    return tr.play_frames(track, pl.play_details(plays, games), players, colors, snaps=snaps, n_plays=n)
 
 
 def spread_features(depths: DataFrame, **options) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import yard_label
-from turfline.functions.lineage import cut_lineage
+from turfline.functions.lineage import cut_lineage, written
 from turfline.functions.sampling import kfold, sample_group, sample_rows, zscore
 from turfline.operators import formations as fm
 from turfline.operators import grids as gr
@@ -64,7 +64,12 @@ def _features(w: Warehouse, **options) -> DataFrame:
 
 @query
 def tracking_union(w):
-    return pl.unify_tracking(w.tracking_releases())
+    """Rows and totals per play and team of the unified frames."""
+    frames = pl.unify_tracking(w.tracking_releases())
+    numbers = ("nflid", "frameid", "jerseynumber", "x", "y", "s", "a", "dis", "o", "dir")
+    return frames.groupBy("gameid", "playid", "team", "playdirection").agg(
+        F.count(F.lit(1)).alias("n"), F.count("event").alias("events"), *[F.sum(c).alias(c) for c in numbers]
+    )
 
 
 @query
@@ -108,14 +113,24 @@ def ball_spots(w):
 
 @query
 def clip_frames(w):
-    frames = tr.clip_frames(w.track, tr.play_crop(w.track, with_rows=True))
-    return frames.select("gameid", "playid", "nflid", "frameid", "snap", "clip", "x", "y")
+    """Rows and extent of the kept frames of every play."""
+    crop, n = written(tr.play_crop(w.track, with_rows=True))
+    frames = tr.clip_frames(w.track, crop, n_plays=n)
+    return frames.groupBy("gameid", "playid", "snap", "clip").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("frameid").alias("first"),
+        F.max("frameid").alias("last"),
+        F.sum("x").alias("x"),
+        F.sum("y").alias("y"),
+    )
 
 
 @query
 def orient_coords(w):
-    cols = ["gameid", "playid", "nflid", "frameid", "newx", "newy", "newo"]
-    return rounded(tr.orient_coords(w.track).select(*cols), "newx", digits=6)
+    """Extent of the rotated coordinates of every play and team."""
+    turned = tr.orient_coords(w.track)
+    ends = [f(c).alias(f"{n}_{c}") for c in ("newx", "newy", "newo") for n, f in (("min", F.min), ("max", F.max))]
+    return rounded(turned.groupBy("gameid", "playid", "team").agg(*ends), "min_newx", "max_newx", digits=6)
 
 
 @query
@@ -283,7 +298,7 @@ def random_play_depths(w):
 
 @query
 def alignment_by_play(w):
-    return fm.alignment_by_play(w.track, w.plays, w.players)
+    return pp.alignments(w.track, w.plays, w.players)
 
 
 @query
