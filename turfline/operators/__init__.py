@@ -1 +1 @@
-""" """
+"""DataFrame operators, one module per subject."""

@@ -1 +1 @@
-""" """
+"""Whole analyses and the named queries."""

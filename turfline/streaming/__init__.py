@@ -1 +1,5 @@
-""" """
+"""No operators of its own.
+
+The analyses are batch jobs. ``play_crop`` is a keyed minimum and runs unchanged
+on a streaming DataFrame (see ``tests/test_streaming.py``).
+"""
