@@ -46,9 +46,13 @@ def min_rank(value, by: Sequence[str], desc: bool = False) -> Column:
 
 
 def avg_rank(value, by: Sequence[str], desc: bool = False) -> Column:
-    """Rank in a group where ties share the mean of the ranks they cover."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, as_col(value)))
-    return min_rank(value, by, desc) + (ties - 1) / F.lit(2.0)
+    """Rank in a group where ties share the mean of the ranks they cover.
+
+    The default frame of a count ends with the last tie, so both ends of the
+    ranks come from one window.
+    """
+    w = Window.partitionBy(*by).orderBy(_ordered(value, desc))
+    return (F.rank().over(w) + F.count(F.lit(1)).over(w)) / F.lit(2.0)
 
 
 def share(value, by: Sequence[str] = ()) -> Column:

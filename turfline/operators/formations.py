@@ -93,26 +93,30 @@ def formation_by_play(
     core. Each side gives counts of core (c) and split (s) players, ``(bu)``
     marks a bunch; the sides are joined by ``x``, largest text first.
 
-    The rows are clustered by play once; every window and aggregate below asks
-    for a clustering that this one already gives.
+    The rows are clustered by play and sorted once: every window below asks for
+    a clustering and an order that these already give, and the counts of both
+    sides come from one aggregate per play.
     """
     keys = list(keys)
     group = [*keys, "alignment", "backfield"]
-    away = F.abs("width")
-    outward = Window.partitionBy(*group).orderBy(away.asc_nulls_last(), "nflid")
-    gaps = alignment.repartition(*keys).withColumns(
-        {
-            "split": away - F.lag(away, 1, 0.0).over(outward),
-            "split2": away - F.lag(away, 2, 0.0).over(outward),
-        }
-    )
+    outward = Window.partitionBy(*group).orderBy(F.asc_nulls_last("_away"), "nflid")
     so_far = outward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    gaps = (
+        alignment.withColumn("_away", F.abs("width"))
+        .repartition(*keys)
+        .withColumns(
+            {
+                "split": F.col("_away") - F.lag("_away", 1, 0.0).over(outward),
+                "split2": F.col("_away") - F.lag("_away", 2, 0.0).over(outward),
+            }
+        )
+    )
     skilled = (
         gaps.where(F.col("position").isin(*eligible))
         .withColumns(
             {
                 "horiz_group": F.sum((F.col("split") > gap).cast("int")).over(so_far) + 1,
-                "width_rk": avg_rank(away, group),
+                "width_rk": avg_rank("_away", group),
                 "_players": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
             }
         )
@@ -126,34 +130,43 @@ def formation_by_play(
         }
     )
 
-    def count_of(c):
-        return F.sum(F.col(c).cast("int"))
-
-    cores = flags.groupBy(*keys, "alignment", "core").agg(
-        count_of("core").alias("_core"),
-        count_of("backfield").alias("_backs"),
-        count_of("bunch").alias("_bunch"),
-        F.sum(front.cast("int")).alias("_front"),
-    )
-    mark = F.when(F.col("_bunch") == 1, "(bu)").otherwise("")
-    outside = F.col("alignment") != "middle"
-    flank = F.when(
-        outside, F.concat(F.col("_front").cast("string"), F.when(F.col("core"), "c").otherwise("s"), mark)
-    )
-    # Per side and bunch mark at most two texts, per play at most six: the
-    # lists below are bounded by the keys that were grouped before.
-    sides = cores.groupBy(*keys, "alignment", mark.alias("_mark")).agg(
-        F.array_join(F.sort_array(F.collect_list(flank)), "").alias("_flank"),
-        *[F.sum(c).alias(c) for c in ("_core", "_backs", "_bunch")],
-    )
-    texts = F.collect_list(F.when(F.col("_flank") != "", F.col("_flank")))
-    return sides.groupBy(*keys).agg(
-        F.sum("_core").alias("core"),
-        F.sum("_backs").alias("backs"),
-        F.sum("_bunch").alias("bunch"),
-        F.nullif(F.array_join(F.sort_array(texts, asc=False), "x"), F.lit("")).alias("formation"),
+    def total(cond):
+        return F.sum(cond.cast("int"))
+
+    groups = [(side, kind) for side in ("left", "right") for kind in ("c", "s")]
+    counts = []
+    for side, kind in groups:
+        here = (F.col("alignment") == side) & (F.col("core") if kind == "c" else ~F.col("core"))
+        counts += [
+            total(here).alias(f"_{side}_{kind}"),
+            total(here & front).alias(f"_{side}_{kind}_front"),
+            total(here & F.col("bunch")).alias(f"_{side}_{kind}_bunch"),
+        ]
+    per_play = flags.groupBy(*keys).agg(
+        total(F.col("core")).alias("core"),
+        total(F.col("backfield")).alias("backs"),
+        total(F.col("bunch")).alias("bunch"),
+        *counts,
     )
 
+    def mark(side, kind):
+        return F.when(F.col(f"_{side}_{kind}_bunch") == 1, "(bu)").otherwise("")
+
+    def flank(side, kind):
+        text = F.concat(F.col(f"_{side}_{kind}_front").cast("string"), F.lit(kind), mark(side, kind))
+        return F.when(F.col(f"_{side}_{kind}") > 0, text)
+
+    def texts(side):
+        """Core and split text of a side: one word if both carry the same mark."""
+        c, s = flank(side, "c"), flank(side, "s")
+        word = F.array(F.concat(F.least(c, s), F.greatest(c, s)))
+        together = c.isNotNull() & s.isNotNull() & (mark(side, "c") == mark(side, "s"))
+        return F.when(together, word).otherwise(F.array(c, s))
+
+    sides = F.array_compact(F.concat(texts("left"), texts("right")))
+    formation = F.array_join(F.sort_array(sides, asc=False), "x")
+    return per_play.select(*keys, "core", "backs", "bunch", F.nullif(formation, F.lit("")).alias("formation"))
+
 
 def formation_frequency(formations: DataFrame) -> DataFrame:
     """How often each formation occurs, its share and the running share.

@@ -31,12 +31,14 @@ from turfline.operators.tracking import PLAY
 LEAF_POINTS = 4_000
 CHUNK_QUERIES = 2_000
 MAX_LEAVES = 1 << 16
+#: Most different labels.
+MAX_LABELS = 10_000
 #: Distances held at once by a task.
 BLOCK_CELLS = 4_000_000
 #: Sampled points per leaf for placing the cuts.
 SAMPLE_PER_LEAF = 20
 
-_CANDIDATES = "array<struct<d:double,label:string,n:bigint>>"
+_CANDIDATES = "d array<double>, label array<int>, n array<bigint>"
 
 
 @dataclass
@@ -119,22 +121,14 @@ def _nearest(queries, q_fold, points, labels, weights, p_fold, k):
             yield start + i, d, lab, n, (d[-1] if full else np.inf)
 
 
-def _votes(cands, ks: Sequence[int]) -> list[str | None]:
-    """Winning label for each k from one query's candidates."""
-    if cands is None or not len(cands):
-        return [None] * len(ks)
-    d = np.array([c["d"] for c in cands])
-    lab = np.array([c["label"] for c in cands])
-    n = np.array([c["n"] for c in cands], dtype=np.int64)
+def _votes(d, label, n, ks: Sequence[int]) -> np.ndarray | None:
+    """Winning label number for each k from one query's candidates."""
+    if d is None or not len(d):
+        return None
     order = np.argsort(d, kind="stable")
-    d, lab, n = d[order], lab[order], n[order]
-    rank_before = np.r_[0, np.cumsum(n)][np.searchsorted(d, d, side="left")]
-    names, code = np.unique(lab, return_inverse=True)
-    out = []
-    for k in ks:
-        tally = np.bincount(code, np.where(rank_before < k, n, 0), minlength=len(names))
-        out.append(str(names[np.argmax(tally)]))
-    return out
+    d, label, n = d[order], label[order], n[order]
+    before = np.r_[0, np.cumsum(n)][np.searchsorted(d, d, side="left")]
+    return np.array([np.argmax(np.bincount(label, np.where(before < k, n, 0))) for k in ks], dtype=np.int32)
 
 
 def knn_votes(
@@ -168,6 +162,10 @@ def knn_votes(
     asked = cut_lineage(query.where(complete).select(point.alias("p"), *held).distinct())
 
     size = points.count()
+    # Text order of the labels, so that the smallest number is the first label.
+    names = sorted(r[0] for r in points.select("label").distinct().limit(MAX_LABELS + 1).collect())
+    if len(names) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
     leaves = 1
     while leaves < MAX_LEAVES and size / leaves > max(leaf_points, 4 * k_max):
         leaves *= 2
@@ -199,15 +197,13 @@ def knn_votes(
         q_fold = df["fold"].to_numpy() if fold else None
         rows = []
         limit = df["radius"].to_numpy()
-        for i, d, lab, n, r in _nearest(
-            x, q_fold, pts, cog["label"].to_numpy().astype(str), cog["n"].to_numpy(), cog["fold"].to_numpy(), k_max
-        ):
+        codes = np.searchsorted(names, cog["label"].to_numpy(dtype=str)) if len(cog) else np.zeros(0, int)
+        for i, d, lab, n, r in _nearest(x, q_fold, pts, codes, cog["n"].to_numpy(), cog["fold"].to_numpy(), k_max):
             near = d <= limit[i]
-            found = [{"d": a, "label": str(b), "n": int(c)} for a, b, c in zip(d[near], lab[near], n[near])]
-            rows.append((df["p"].iat[i], int(df["fold"].iat[i]), int(df["leaf"].iat[i]), found, r))
-        return pd.DataFrame(rows, columns=["p", "fold", "leaf", "cands", "radius"])
+            rows.append((df["p"].iat[i], df["fold"].iat[i], df["leaf"].iat[i], d[near], lab[near], n[near], r))
+        return pd.DataFrame(rows, columns=["p", "fold", "leaf", "d", "label", "n", "radius"])
 
-    found_type = f"p array<double>, fold int, leaf int, cands {_CANDIDATES}, radius double"
+    found_type = f"p array<double>, fold int, leaf int, {_CANDIDATES}, radius double"
 
     def meet(queries: DataFrame) -> DataFrame:
         """Search with queries in bounded chunks, each beside a copy of its leaf."""
@@ -239,17 +235,20 @@ def knn_votes(
             send, "p array<double>, fold int, leaf int, radius double"
         )
         found = found.unionByName(meet(cut_lineage(more)))
-        found = found.groupBy("p", "fold").agg(F.flatten(F.collect_list("cands")).alias("cands"))
+        parts = F.collect_list(F.struct("d", "label", "n"))
+        flat = [F.flatten(f"_parts.{f}").alias(f) for f in ("d", "label", "n")]
+        found = found.groupBy("p", "fold").agg(parts.alias("_parts")).select("p", "fold", *flat)
 
-    @F.pandas_udf("array<string>")
-    def vote(cands: pd.Series) -> pd.Series:
-        return pd.Series([_votes(c, ks) for c in cands])
+    @F.pandas_udf("array<int>")
+    def vote(d: pd.Series, label: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_votes(*c, ks) for c in zip(d, label, n)])
 
-    each = F.explode(F.arrays_zip(F.array(*[F.lit(int(k)) for k in ks]).alias("k"), vote("cands").alias("pred")))
-    voted = found.select("p", "fold", each.alias("_v"))
+    ballots = F.arrays_zip(F.array(*[F.lit(int(k)) for k in ks]).alias("k"), vote("d", "label", "n").alias("pred"))
+    voted = found.select("p", "fold", F.explode(ballots).alias("_v"))
+    name = F.get(F.array(*[F.lit(v) for v in names]), F.col("_v.pred")) if names else F.lit(None)
     out = [F.col("p")[i].alias(c) for i, c in enumerate(features)]
     out += [F.col("fold").alias(fold)] if fold else []
-    return voted.select(*out, F.col("_v.k").alias("k"), F.col("_v.pred").cast(train.schema[label].dataType).alias("pred"))
+    return voted.select(*out, F.col("_v.k").alias("k"), name.cast(train.schema[label].dataType).alias("pred"))
 
 
 def knn_classify(
