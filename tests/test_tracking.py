@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from turfline.functions.skew import attach
+from turfline.functions.columns import min_rank
+from turfline.functions.skew import attach, spread_rank
 from turfline.operators import tracking as tr
 
 TRACK = (
@@ -139,3 +140,22 @@ def test_ranks_run_from_one(warehouse):
     d = pp.defender_depths(warehouse.track, warehouse.plays)
     per_play = d.groupBy("gameid", "playid").agg(F.min("depth_rk").alias("a"), F.max("depth_rk").alias("z"), F.count("*").alias("n"))
     assert per_play.where("a <> 1 OR z > n").count() == 0
+
+
+@pytest.mark.parametrize("pieces", [1, 4, 256])
+@pytest.mark.parametrize("desc", [False, True])
+def test_spread_rank_equals_a_window(spark, pieces, desc):
+    df = spark.range(3000).selectExpr(
+        "IF(id % 3 = 0, 1, CAST(id % 50 AS INT)) AS g", "IF(id % 97 = 0, NULL, CAST(id * 7919 % 400 AS DOUBLE)) AS v"
+    )
+    got = spread_rank(df, ["g"], "v", "rk", desc, pieces)
+    expected = df.withColumn("rk", min_rank("v", ["g"], desc))
+    assert got.exceptAll(expected).count() == 0 and expected.exceptAll(got).count() == 0
+
+
+def test_depths_of_oversized_plays(warehouse, rows):
+    from turfline.plans import pipelines as pp
+
+    cols = ("gameid", "playid", "nflid", "depth", "width", "width_rk", "depth_rk", "side")
+    usual = rows(pp.defender_depths(warehouse.track, warehouse.plays), *cols)
+    assert rows(pp.defender_depths(warehouse.track, warehouse.plays, hot_rows=100), *cols) == usual

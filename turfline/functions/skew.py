@@ -1,10 +1,10 @@
-"""Joining a row-level table to a one-row-per-key table without hot partitions."""
+"""Joins and ranks that stay balanced when one key holds much of the rows."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Most rows of a per-key table that is broadcast whole (some tens of megabytes).
@@ -62,3 +62,37 @@ def attach(
         .where(F.col("_dim").isNotNull())
         .select(*rows.columns, *[F.col(f"_dim.{c}").alias(c) for c in payload])
     )
+
+
+def spread_rank(df: DataFrame, by: Sequence[str], value: str, out: str, desc: bool = False, pieces: int = 256) -> DataFrame:
+    """Add the min rank of a numeric ``value`` in its group; a group may be of any size.
+
+    Equal values are counted first. The distinct values are cut into range
+    pieces at approximate quantiles, ranked inside their piece, and moved up by
+    the rows of the pieces below. The quantiles only set the cuts; the ranks
+    are exact. Nulls rank last.
+    """
+    by = list(by)
+    v = -F.col(value) if desc else F.col(value)
+    counts = df.groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    probs = [i / pieces for i in range(1, pieces)]
+    cuts = sorted(set(counts.agg(F.percentile_approx("_v", probs, 10_000)).first()[0] or []))
+    below = F.aggregate(
+        F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda n, c: n + F.when(c < F.col("_v"), 1).otherwise(0)
+    )
+    piece = F.when(F.col("_v").isNull(), pieces).otherwise(below if cuts else F.lit(0))
+    placed = counts.withColumn("_piece", piece)
+    inside = Window.partitionBy(*by, "_piece").orderBy(F.asc_nulls_last("_v"))
+    ranked = placed.withColumn("_r", F.sum("_n").over(inside) - F.col("_n") + 1)
+    # At most pieces + 1 rows per group.
+    lower = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "_piece").agg(F.sum("_n").alias("_total"))
+    shifts = totals.select(*by, "_piece", F.coalesce(F.sum("_total").over(lower), F.lit(0)).alias("_shift"))
+    named = [f"_k{i}" for i in range(len(by))]
+    ranks = ranked.join(shifts, [*by, "_piece"]).select(
+        *[F.col(b).alias(k) for b, k in zip(by, named)], "_v", (F.col("_r") + F.col("_shift")).cast("int").alias("_rank")
+    )
+    same = v.eqNullSafe(F.col("_v"))
+    for b, k in zip(by, named):
+        same = same & (F.col(b) == F.col(k))
+    return df.join(ranks, same).withColumn(out, F.col("_rank")).select(*[c for c in df.columns if c != out], out)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import if_else, min_rank
-from turfline.functions.skew import HOT_ROWS, attach
+from turfline.functions.skew import HOT_ROWS, attach, spread_rank
 
 PLAY = ("gameid", "playid")
 BALL = "football"
@@ -186,17 +186,20 @@ def depth_by_play(
     coverages: Sequence[str] = COVERAGES,
     keys: Sequence[str] = PLAY,
     digits: int | None = 6,
+    wide: bool = False,
 ) -> DataFrame:
-    """Rank each play's defenders by depth and by width, for the chosen coverages."""
+    """Rank each play's defenders by depth and by width, for the chosen coverages.
+
+    A play's defenders are ranked in one window, right as long as they fit one
+    task; ``wide`` ranks plays of any size at the price of more shuffles.
+    """
     labels = plays.where(F.col("pff_passcoverage").isin(*coverages)).select(*keys, "pff_passcoverage")
-    placed = relative_position(positions.join(labels, list(keys)), digits)
-    return placed.withColumns(
-        {
-            "width_rk": min_rank("width", keys, desc=True),
-            "side": if_else(F.col("width") < 0, F.lit("L"), F.lit("R")),
-            "depth_rk": min_rank("depth", keys),
-        }
+    placed = relative_position(positions.join(labels, list(keys)), digits).withColumn(
+        "side", if_else(F.col("width") < 0, F.lit("L"), F.lit("R"))
     )
+    if wide:
+        return spread_rank(spread_rank(placed, keys, "width", "width_rk", desc=True), keys, "depth", "depth_rk")
+    return placed.withColumns({"width_rk": min_rank("width", keys, desc=True), "depth_rk": min_rank("depth", keys)})
 
 
 def play_frames(

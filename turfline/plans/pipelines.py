@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfline.functions.lineage import written
+from turfline.functions.lineage import cut_lineage, written
 from turfline.functions.sampling import train_split
 from turfline.functions.skew import HOT_ROWS
 from turfline.operators import formations as fm
@@ -25,14 +25,20 @@ from turfline.operators import zones as zn
 ONE_HIGH_COVERAGES = ("Cover-1", "Cover-3")
 
 
-def defender_positions(track: DataFrame, plays: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Mean position of every defender between snap and clip.
+def _positions(track: DataFrame, plays: DataFrame, hot_rows: int | None) -> tuple[DataFrame, bool]:
+    """Mean positions, and whether some play has too many rows for one task.
 
-    The crop counts the rows of every play, so that a play too large for one
-    task can be spread.
+    The crop counts the rows of every play, which bounds its defenders too.
     """
     crop, n = written(tr.play_crop(track, with_rows=hot_rows is not None))
-    return tr.mean_positions(track, crop, plays, hot_rows=hot_rows, n_plays=n)
+    positions = tr.mean_positions(track, crop, plays, hot_rows=hot_rows, n_plays=n)
+    largest = (crop.agg(F.max("n_rows")).first()[0] or 0) if hot_rows is not None else 0
+    return positions, hot_rows is not None and largest > hot_rows
+
+
+def defender_positions(track: DataFrame, plays: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+    """Mean position of every defender between snap and clip."""
+    return _positions(track, plays, hot_rows)[0]
 
 
 def defender_depths(
@@ -46,7 +52,10 @@ def defender_depths(
     Plays of other coverages are dropped before their frames are averaged.
     """
     wanted = plays.where(F.col("pff_passcoverage").isin(*coverages))
-    return tr.depth_by_play(defender_positions(track, wanted, hot_rows), wanted, coverages)
+    positions, wide = _positions(track, wanted, hot_rows)
+    if wide:
+        positions = cut_lineage(positions)
+    return tr.depth_by_play(positions, wanted, coverages, wide=wide)
 
 
 def alignments(track: DataFrame, plays: DataFrame, players: DataFrame) -> DataFrame:
