@@ -5,7 +5,7 @@ label with most votes wins, the first in text order on equal votes.
 
 The training rows are first counted per distinct point and label, so a point
 that holds a third of the table becomes one row. Space is then cut into leaves
-of a few thousand points by a tree built from a sample (the sample shapes the
+of about two thousand points by a tree built from a sample (the sample shapes the
 partitioning only, never the answer). Each query meets its own leaf, which
 gives an upper bound of its k-th distance, and after that only those other
 leaves that reach into this radius. Leaf and query chunk are the grouping key,
@@ -28,13 +28,15 @@ from turfline.operators.grids import value_grid
 from turfline.operators.tracking import PLAY
 
 #: Distinct training points per leaf, queries per chunk, most leaves.
-LEAF_POINTS = 4_000
+LEAF_POINTS = 2_000
 CHUNK_QUERIES = 2_000
 MAX_LEAVES = 1 << 16
+#: Most tasks of one search.
+MAX_TASKS = 20_000
 #: Most different labels.
 MAX_LABELS = 10_000
-#: Distances held at once by a task.
-BLOCK_CELLS = 4_000_000
+#: Distances held at once by a task; a few megabytes stay in the cache.
+BLOCK_CELLS = 500_000
 #: Sampled points per leaf for placing the cuts.
 SAMPLE_PER_LEAF = 20
 
@@ -95,30 +97,44 @@ def _squared(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
+def _with_ties(dist, labels, weights, bound):
+    """All points of one query within ``bound``, equal distance and label merged."""
+    near = np.flatnonzero(dist <= bound)
+    order = near[np.lexsort((labels[near], dist[near]))]
+    d, lab, n = dist[order], labels[order], weights[order]
+    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (lab[1:] != lab[:-1])])
+    return d[first], lab[first], np.add.reduceat(n, first)
+
+
 def _nearest(queries, q_fold, points, labels, weights, p_fold, k):
-    """Per query its candidates ``(d, label, n)`` up to rank k and the k-th distance."""
-    block = max(1, BLOCK_CELLS // max(1, len(points)))
+    """Per query the distance, label and weight of its ``k`` nearest points, with all
+    that tie with the last of them, and the distance at which ``k`` rows are reached."""
+    if not len(points):
+        for i in range(len(queries)):
+            yield i, np.zeros(0), np.zeros(0, int), np.zeros(0, int), np.inf
+        return
+    block, take = max(1, BLOCK_CELLS // len(points)), min(k, len(points))
     for start in range(0, len(queries), block):
         rows = slice(start, start + block)
         dist = _squared(queries[rows], points)
         if q_fold is not None:
             dist[q_fold[rows, None] == p_fold[None, :]] = np.inf
-        take = min(k, dist.shape[1])
-        bound = np.partition(dist, take - 1, axis=1)[:, take - 1] if take else np.zeros(len(dist))
-        for i in range(len(dist)):
-            near = np.flatnonzero((dist[i] <= bound[i]) & np.isfinite(dist[i]))
-            order = near[np.lexsort((labels[near], dist[i][near]))]
-            d, lab, n = dist[i][order], labels[order], weights[order]
-            if len(d):
-                new = np.r_[True, (d[1:] != d[:-1]) | (lab[1:] != lab[:-1])]
-                first = np.flatnonzero(new)
-                d, lab, n = d[first], lab[first], np.add.reduceat(n, first)
-            closer = np.searchsorted(d, d, side="left")
-            before = np.r_[0, np.cumsum(n)]
-            keep = before[closer] < k
-            d, lab, n = d[keep], lab[keep], n[keep]
-            full = n.sum() >= k
-            yield start + i, d, lab, n, (d[-1] if full else np.inf)
+        best = np.argpartition(dist, take - 1, axis=1)[:, :take]
+        d = np.take_along_axis(dist, best, 1)
+        order = np.argsort(d, axis=1, kind="stable")
+        best, d = np.take_along_axis(best, order, 1), np.take_along_axis(d, order, 1)
+        found = np.isfinite(d)
+        total = np.cumsum(np.where(found, weights[best], 0), axis=1)
+        radius = np.where(total[:, -1] >= k, d[np.arange(len(d)), np.argmax(total >= k, axis=1)], np.inf)
+        last = d[:, -1]
+        tied = np.isfinite(last) & ((dist <= last[:, None]).sum(axis=1) > take)
+        size = found.sum(axis=1)
+        for i in range(len(d)):
+            if tied[i]:
+                yield start + i, *_with_ties(dist[i], labels, weights, last[i]), radius[i]
+            else:
+                near = best[i, : size[i]]
+                yield start + i, d[i, : size[i]], labels[near], weights[near], radius[i]
 
 
 def _votes(d, label, n, ks: Sequence[int]) -> np.ndarray | None:
@@ -128,7 +144,12 @@ def _votes(d, label, n, ks: Sequence[int]) -> np.ndarray | None:
     order = np.argsort(d, kind="stable")
     d, label, n = d[order], label[order], n[order]
     before = np.r_[0, np.cumsum(n)][np.searchsorted(d, d, side="left")]
-    return np.array([np.argmax(np.bincount(label, np.where(before < k, n, 0))) for k in ks], dtype=np.int32)
+    seen, code = np.unique(label, return_inverse=True)
+    tally = np.zeros((len(d), len(seen)), dtype=np.int64)
+    tally[np.arange(len(d)), code] = n
+    # Ranks rise with distance, so each k takes a prefix of the rows.
+    prefix = np.searchsorted(before, ks, side="left")
+    return seen[np.argmax(np.cumsum(tally, axis=0)[prefix - 1], axis=1)].astype(np.int32)
 
 
 def knn_votes(
@@ -211,8 +232,12 @@ def knn_votes(
         chunks = F.broadcast(sizes)  # one row per leaf, at most MAX_LEAVES
         q = queries.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("p", "fold"), F.col("chunks")))
         t = points.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
-        key = ["leaf", "chunk"]
-        sides = q.drop("chunks").groupBy(*key).cogroup(t.drop("chunks").groupBy(*key))
+        # The groups are small in bytes but heavy in work: spread them by number,
+        # so that partitions are not merged by size.
+        key, groups = ["leaf", "chunk"], sizes.agg(F.sum("chunks")).first()[0] or 1
+        tasks = min(2 * int(groups), MAX_TASKS)
+        q, t = (side.drop("chunks").repartition(tasks, *key).groupBy(*key) for side in (q, t))
+        sides = q.cogroup(t)
         return sides.applyInPandas(search, found_type)
 
     found = meet(asked)
