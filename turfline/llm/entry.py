@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from turfline.llm import language, pieces
+from turfline.llm import chosen_path, credentials, imatch, language, mixing, nearest, pieces, private, quality
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_jaccard": chosen_path.op1_jaccard,
+        "op2_imatch": imatch.op2_imatch,
+        "op3_quality": quality.op3_quality,
+        "op4_mix": mixing.op4_mix,
         "op5_sentencepiece": pieces.op5_sentencepiece,
+        "op6_nearest": nearest.op6_nearest,
+        "op8_private": private.op8_private,
+        "op9_secrets": credentials.op9_secrets,
         "op10_language_id": language.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: trained models, tokenizers and Spark's hashes have no SQL form; tests compare with brute force."""
     return {}
