@@ -7,10 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from turfline.functions.lineage import shared_folder
-from turfline.llm import language, pieces
+from turfline.llm import chosen_path, language, mixing, pieces, private
 
 STAGES = [
     ("language", language.keep_identified),
+    ("near_duplicates", chosen_path.keep_one),
+    ("private", private.redact_documents),
+    ("mix", mixing.mix_documents),
     ("encode", pieces.encode_documents),
 ]
 
