@@ -118,7 +118,7 @@ def _stars(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket, links of the pairs whose sketches are alike, as stars."""
     left, right = [], []
-    for _, (sid, side, cells) in _grouped(batches, 1):
+    for _, (sid, cells) in _grouped(batches, 1):
         ids = np.asarray(sid)
         x = np.frombuffer(b"".join(cells.to_pylist()), np.uint16).reshape(len(ids), CELLS)
         rows = np.arange(len(ids))
@@ -196,19 +196,32 @@ def _compare_sets(threshold: float):
     return run
 
 
-def _buckets(sets: DataFrame, runs: int) -> DataFrame:
-    """Rows ``bucket``, ``sid``, ``side`` to compare: small buckets, and pairs of blocks of those that stay large.
+def _alike():
+    """Whether two sketches are alike, for rows of pairs."""
+
+    def of(left, right):
+        x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, CELLS) for c in (left, right))
+        empty = ((x == 65535) & (y == 65535)).sum(1)
+        return [((x == y).sum(1) - empty >= LOOSE * np.maximum(CELLS - empty, 1)).tolist()]
+
+    return of
+
+
+def _candidates(sets: DataFrame, runs: int) -> DataFrame:
+    """Links ``a`` - ``b`` that connect all sets which meet in a bucket and have sketches alike.
 
     Level by level, sets with a common path are in one bucket. One that is too
     large goes on to the next level: its sets join the buckets of the tokens
-    that they choose there.
+    that they choose there. A bucket that is large on the last level is first
+    compared with its least set; what is alike to it is connected by that, and
+    only the other sets are compared with the whole bucket, in blocks.
     """
     compared = []
     first = sets.select("sid", F.posexplode(F.slice("chosen", 1, runs)).alias("run", "tokens")).select("sid", "run", F.explode("tokens").alias("token"))
     rows = first.select("sid", "run", F.xxhash64("run", "token").alias("path"))
     for level in range(1, LEVELS + 1):
         rows = cut_lineage(rows)
-        sized = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        sized = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("pivot")).where("n > 1"))
         met = rows.join(sized, "path")
         members = met.where(F.col("n") <= BUCKET).groupBy("path").agg(F.array_sort(F.collect_set("sid")).alias("members"))
         compared.append(members.select("members"))
@@ -221,13 +234,22 @@ def _buckets(sets: DataFrame, runs: int) -> DataFrame:
     for more in compared[1:]:
         small = small.union(more)
     # Runs find the same groups again and again; each is compared once.
-    small = small.where(F.size("members") > 1).distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("sid")).withColumn("side", F.lit(0))
-    n_blocks = F.ceil(F.col("n") / BUCKET).cast("int")
-    block = F.pmod(F.xxhash64("sid", F.lit(6)), n_blocks).cast("int")
-    pairs = large.withColumns({"blocks": n_blocks, "block": block}).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    blocks = pairs.select(F.xxhash64("path", low, high).alias("bucket"), "sid", (F.col("block") == high).cast("int").alias("side"))
-    return small.union(blocks)
+    small = small.where(F.size("members") > 1).distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("sid"))
+    cells = sets.select("sid", "cells")
+    pivots = sized.where(F.col("n") > BUCKET).join(cells.withColumnRenamed("sid", "pivot"), "pivot").select("path", F.col("cells").alias("p_cells"))
+    paired = large.join(cells, "sid").join(pivots, "path").select("path", "sid", "pivot", "n", "cells", "p_cells")
+    judged = cut_lineage(with_columns(paired, ["cells", "p_cells"], _alike, "near boolean").drop("cells", "p_cells"))
+    stars = judged.where("near and sid != pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
+    far = judged.where("not near")
+    others = far.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("far_blocks"))
+    spread = judged.join(others, "path").withColumn("blocks", F.ceil(F.col("n") / BUCKET).cast("int"))
+    block = lambda salt, n: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = spread.where("not near").select("path", "sid", block(6, "far_blocks").alias("i"), every("blocks").alias("j"))
+    two = spread.select("path", "sid", every("far_blocks").alias("i"), block(7, "blocks").alias("j"))
+    crossed = one.union(two).distinct().select(F.xxhash64("path", "i", "j").alias("bucket"), "sid")
+    sketched = small.union(crossed).join(cells, "sid").select("bucket", "sid", "cells")
+    return sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare_sketches, "a long, b long").union(stars)
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -240,7 +262,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     words has one n-gram of all its words; null, empty and white texts have
     none, link to nothing and are classes of their own (null keys: null class).
 
-    Sets are split along chosen paths (``_buckets``), the sets of a bucket are
+    Sets are split along chosen paths (``_candidates``), the sets of a bucket are
     compared by sketches, and groups of sets that sketches connect are compared
     exactly, in blocks. No pair is written: a block gives the number of links
     of each set and a star that connects the linked ones.
@@ -268,10 +290,7 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     full = rows.where("size > 0")
     groups = full.groupBy("c0", "c1").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("cells", "chosen")).alias("s"))
     sets = cut_lineage(groups.select(F.monotonically_increasing_id().alias("sid"), "c0", "c1", "first", "copies", "s.*"))
-    buckets = _buckets(sets, runs)
-    sketched = buckets.join(sets.select("sid", "cells"), "sid").select("bucket", "sid", "side", "cells")
-    loose = sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare_sketches, "a long, b long")
-    groups = components(cut_lineage(loose.distinct()))
+    groups = components(cut_lineage(_candidates(sets, runs).distinct()))
     # The sets themselves, of the sets that are in a group only: from the text of their first document.
     wanted = sets.join(groups, F.col("sid") == F.col("node")).select("sid", "c0", "c1", "copies", "root", F.col("first").alias("k"))
     wanted = cut_lineage(wanted)

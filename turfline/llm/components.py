@@ -22,7 +22,6 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         beside = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         closer = labels.join(beside, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
-        closer = cut_lineage(closer)
         jump = closer.select(F.col("node").alias("root"), F.col("root").alias("above"))
         moved = cut_lineage(closer.join(jump, "root", "left").select("node", F.least("root", "above").alias("root"), "old"))
         labels = moved.select("node", "root")
