@@ -93,12 +93,12 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         left_n = F.floor(total * (mid - lo) / (hi - lo)).cast("bigint")
         start = F.struct(total.alias("rest"), left_n.alias("left"), F.array().cast("array<bigint>").alias("out"))
 
-        def draw(s: Column, x: Column, lo=lo, hi=hi) -> Column:
-            got = _hypergeometric(s["rest"], x, s["left"], u(lo, hi, F.size(s["out"])))
+        def take(s: Column, x: Column) -> Column:
+            got = _hypergeometric(s["rest"], x, s["left"], u(F.col("lo"), F.col("hi"), F.size(s["out"])))
             both = F.transform(F.array(got), lambda g: F.struct((s["rest"] - x).alias("rest"), (s["left"] - g).alias("left"), F.concat(s["out"], F.array(g)).alias("out")))
             return both[0]
 
-        node = tree.withColumn("l", F.when(hi - lo > 1, F.aggregate(q, start, draw)["out"])).withColumn("mid", mid)
+        node = tree.withColumn("l", F.when(hi - lo > 1, F.aggregate(q, start, take)["out"])).withColumn("mid", mid)
         right = F.zip_with("q", "l", lambda x, y: x - y)
         two = F.array(F.struct(lo.alias("lo"), F.col("mid").alias("hi"), F.col("l").alias("q")), F.struct(F.col("mid").alias("lo"), hi.alias("hi"), right.alias("q")))
         one = F.array(F.struct(lo.alias("lo"), hi.alias("hi"), q.alias("q")))
