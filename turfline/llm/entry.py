@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from turfline.llm import chosen_path, credentials, imatch, language, mixing, nearest, pieces, private, quality
+from turfline.llm import chosen_path, credentials, imatch, language, mixing, nearest, pieces, private, quality, suffixes
 
 
 def queries() -> dict[str, Callable]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable]:
         "op4_mix": mixing.op4_mix,
         "op5_sentencepiece": pieces.op5_sentencepiece,
         "op6_nearest": nearest.op6_nearest,
+        "op7_suffixes": suffixes.op7_suffixes,
         "op8_private": private.op8_private,
         "op9_secrets": credentials.op9_secrets,
         "op10_language_id": language.op10_language_id,
