@@ -58,7 +58,52 @@ def test_small_leaves_are_really_used(spark, monkeypatch):
     monkeypatch.setattr(Cuts, "through", staticmethod(lambda p, n: seen.append(n) or original(p, n)))
     train = spark.createDataFrame(cloud(900, 1), SCHEMA)
     nn.knn_votes(train, train, ("a", "b"), "label", [3], leaf_points=40).count()
-    assert seen == [32]
+    assert seen == [23]
+
+
+def tied(n, share=0.6, seed=0):
+    """Points of which a share lies at the greatest value of the widest axis."""
+    r = np.random.default_rng(seed)
+    x = r.uniform(0, 100, (n, 2)) * (1, 0.01)
+    x[r.random(n) < share, 0] = 100
+    return x
+
+
+def test_cuts_always_divide():
+    points = tied(4000)
+    cuts = Cuts.through(points, 32)
+    sizes = np.bincount(cuts.home(points), minlength=cuts.leaves)
+    assert cuts.leaves >= 32 and sizes.min() > 0 and sizes.max() <= 4000 / 16
+    same = Cuts.through(np.ones((50, 2)), 8)
+    assert same.leaves == 1
+
+
+def test_bounds_hold_and_few_leaves_are_reached():
+    points = tied(4000)
+    cuts = Cuts.through(points, 32)
+    leaf = cuts.home(points)
+    import pandas as pd
+
+    box = pd.DataFrame([(i, -1, (leaf == i).sum(), points[leaf == i].min(0), points[leaf == i].max(0)) for i in range(cuts.leaves)],
+                       columns=["leaf", "fold", "n", "low", "high"])
+    extents = nn.Extents.of(cuts, box, 2)
+    queries = tied(200, seed=1)
+    bound = extents.bound(queries, None, 10)
+    exact = np.sort(((queries[:, None] - points[None]) ** 2).sum(2), 1)[:, 9]
+    assert np.isfinite(bound).all() and (bound >= exact).all()
+    idx, _ = cuts.reach(queries, np.sqrt(exact))
+    assert len(idx) / len(queries) < 8
+    assert np.isinf(extents.bound(queries, None, 5000)).all()
+
+
+@pytest.mark.parametrize("leaf", [30, 10_000])
+def test_ties_at_the_edge_equal_brute_force(spark, leaf):
+    x, q = np.round(tied(600), 1), np.round(tied(80, seed=3), 1)
+    r = random.Random(9)
+    train = [(1, i, float(a), float(b), r.choice("xyz")) for i, (a, b) in enumerate(x)]
+    query = [(1, i, float(a), float(b), "x") for i, (a, b) in enumerate(q)]
+    got = nn.knn_classify(spark.createDataFrame(train, SCHEMA), spark.createDataFrame(query, SCHEMA), ("a", "b"), "label", 7, leaf_points=leaf)
+    assert {r["playid"]: r["pred"] for r in got.collect()} == brute(train, query, 7)
 
 
 def test_many_k_in_one_search(spark):

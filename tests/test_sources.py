@@ -23,12 +23,48 @@ def test_tracking_releases(spark, tmp_path, rows):
               "gameId,playId,nflId,displayName,frameId,frameType,time,jerseyNumber,club,playDirection,x,y,s,a,dis,o,dir,event\n"
               "12,22,3,C D,1,BEFORE_SNAP,2022-09-08 20:24:05.200000,9,BUF,left,5.5,6.5,0,0,0,1,2,NA\n")
     track = readers.load_tracking(spark, {2018: a, 2021: b, 2022: c})
-    assert len(track.columns) == 15 and "time" not in track.columns
+    assert len(track.columns) == 16 and "time" not in track.columns
     assert rows(track, "gameId", "nflId", "team", "x", "o", "event") == [
         (10, 1, "home", 1.5, None, "ball_snap"), (11, None, "football", 3.5, None, "None"), (12, 3, "BUF", 5.5, 1.0, None),
     ]
 
 
+def test_one_season_has_its_own_layout(spark, tmp_path, rows):
+    c = write(tmp_path / "r3" / "weeks", "w1.csv",
+              "gameId,playId,nflId,displayName,frameId,frameType,time,jerseyNumber,club,playDirection,x,y,s,a,dis,o,dir,event\n"
+              "12,22,3,C D,1,BEFORE_SNAP,2022-09-08 20:24:05.200000,9,BUF,left,5.5,6.5,0,0,0,1,2,NA\n")
+    track = readers.load_tracking(spark, {2022: c})
+    assert rows(track, "gameid", "team", "season") == [(12, "BUF", 2022)]
+    with pytest.raises(Exception):
+        readers.load_tracking(spark, {2021: c}).collect()
+    sinks.write_tracking(track, str(tmp_path / "out"))
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "gameid", "season") == [(12, 2022)]
+
+
+def test_another_column_order_stops_the_read(spark, tmp_path):
+    a = write(tmp_path / "g", "a.csv", "gameId,home,visitor\n1,A,B\n")
+    b = write(tmp_path / "g", "b.csv", "gameId,visitor,home\n2,D,C\n")
+    assert readers.read_named(spark, a).count() == 1
+    with pytest.raises(Exception):
+        readers.read_named(spark, [a, b]).collect()
+
+
+def test_quoted_header(spark, tmp_path):
+    a = write(tmp_path, "q.csv", '"gameId","a, b"\n1,x\n')
+    assert readers.header_of(spark, a) == ["gameId", "a, b"]
+
+
+def test_files_inside_the_releases(spark, tmp_path):
+    for season in (2018, 2021):
+        write(tmp_path / str(season) / "weeks", "week2.csv", "x\n")
+        write(tmp_path / str(season) / "weeks", "week1.csv", "x\n")
+    releases = {s: str(tmp_path / str(s)) for s in (2018, 2021)}
+    found = readers.find_files(spark, releases, "weeks/*.csv")
+    assert [f.rsplit("/", 1)[-1] for f in found[2021]] == ["week1.csv", "week2.csv"]
+    with pytest.raises(ValueError):
+        readers.find_files(spark, releases, "games.csv")
+
+
 def test_a_bad_number_stops_the_read(spark, tmp_path):
     path = write(tmp_path, "players.csv", "nflId,height,weight,birthDate,collegeName,position,displayName\nx1,6-2,200,1990,S,WR,A\n")
     with pytest.raises(Exception):

@@ -98,7 +98,6 @@ def test_every_join_path_gives_the_same_result(spark, plays, rows, hot_rows):
     crop = tr.play_crop(track, with_rows=True)
     expected = rows(tr.mean_positions(track, crop.drop("n_rows"), plays))
     assert rows(tr.mean_positions(track, crop, plays, hot_rows=hot_rows)) == expected
-    assert rows(tr.mean_positions(track, crop, plays, n_plays=3)) == expected
     clipped = rows(tr.clip_frames(track, crop.drop("n_rows")), "playid", "frameid", "nflid")
     assert rows(tr.clip_frames(track, crop, hot_rows=hot_rows), "playid", "frameid", "nflid") == clipped
 

@@ -7,13 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most rows of a per-key table that is broadcast whole (some tens of megabytes).
-BROADCAST_KEYS = 500_000
 #: A key with more rows than this is joined on the map side. A table of R rows
 #: has at most R / HOT_ROWS such keys, which bounds what is broadcast.
 HOT_ROWS = 5_000_000
-#: Number of pieces a hot key is spread over after the map-side join.
-SPREAD = 1024
+#: Rows per piece that a hot key is spread over after the map-side join.
+PIECE_ROWS = 250_000
 
 
 def attach(
@@ -23,41 +21,33 @@ def attach(
     spread_by: Sequence[str],
     n_rows: str = "n_rows",
     hot_rows: int | None = HOT_ROWS,
-    n_keys: int | None = None,
 ) -> DataFrame:
     """Inner join of ``rows`` to ``per_key``, safe when one key holds much of ``rows``.
 
-    ``n_keys`` is the counted size of ``per_key`` where it is known; a table of
-    at most ``BROADCAST_KEYS`` rows is broadcast, and ``rows`` are not shuffled.
-
-    Otherwise the partitions of ``per_key`` are hashed and ``rows`` stream past
-    them unsorted; ``rows`` are never the hashed side, whatever size the
-    planner guesses for them. If ``per_key`` carries the row count of its keys
-    in ``n_rows``, keys above ``hot_rows`` are matched by a broadcast join and
-    their rows pass the shuffle under a salted key.
+    The planner chooses by bytes: a small ``per_key`` is broadcast, a larger
+    one is shuffled. If it carries the row count of its keys in ``n_rows``, keys
+    above ``hot_rows`` are matched by a broadcast join first (there are few of
+    them by definition), and their rows pass the other join under a key salted
+    with as many pieces as they have ``PIECE_ROWS`` rows.
 
     ``hot_rows=None`` gives the plain join, right for tables bucketed by the key.
     """
     keys = list(keys)
     payload = [c for c in per_key.columns if c not in (*keys, n_rows)]
-    if n_keys is not None and n_keys <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(per_key.select(*keys, *payload)), keys)
     if hot_rows is None or n_rows not in per_key.columns:
-        return rows.join(per_key.select(*keys, *payload).hint("shuffle_hash"), keys)
+        return rows.join(per_key.select(*keys, *payload), keys)
     is_hot = F.coalesce(F.col(n_rows), F.lit(0)) > hot_rows
     value = F.struct(*payload)
-    hot = per_key.where(is_hot).select(*keys, value.alias("_hot"))
+    hot = per_key.where(is_hot).select(*keys, value.alias("_hot"), F.ceil(F.col(n_rows) / F.lit(PIECE_ROWS)).alias("_pieces"))
     # Zero for every cold key, but not a literal: the optimizer would fold that
     # out of the join key and leave the hot rows unsalted.
     zero = is_hot.cast("bigint")
     cold = per_key.where(~is_hot).select(*keys, zero.alias("_salt"), value.alias("_cold"))
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-        1 + F.pmod(F.xxhash64(*spread_by), F.lit(SPREAD))
-    )
+    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*spread_by), F.col("_pieces")))
     return (
         rows.join(F.broadcast(hot), keys, "left")
         .withColumn("_salt", salt.cast("bigint"))
-        .join(cold.hint("shuffle_hash"), [*keys, "_salt"], "left")
+        .join(cold, [*keys, "_salt"], "left")
         .withColumn("_dim", F.coalesce("_hot", "_cold"))
         .where(F.col("_dim").isNotNull())
         .select(*rows.columns, *[F.col(f"_dim.{c}").alias(c) for c in payload])

@@ -39,13 +39,12 @@ def alignment_by_play(
     snaps: DataFrame | None = None,
     keys: Sequence[str] = PLAY,
     frame: str = "frameid",
-    n_plays: int | None = None,
 ) -> DataFrame:
     """Where each offensive player stands at the snap, seen from the ball.
 
     Snap frame, place of the ball and play facts meet in one row per play. The
     frame is part of the key that joins it to the frames, so a play of any size
-    is spread by frame. ``n_plays`` is the counted size of ``snaps``, if known.
+    is spread by frame.
     """
     keys = list(keys)
     if snaps is None:
@@ -54,7 +53,7 @@ def alignment_by_play(
     per_play = snaps.join(facts, keys, "left")
     narrow = track.select(*keys, frame, "nflid", "team", "playdirection", "x", "y").where(F.col("team") != BALL)
     offence = (
-        attach(narrow, per_play, [*keys, frame], [], n_keys=n_plays)
+        attach(narrow, per_play, [*keys, frame], [])
         .where(F.col("team") != F.col("defensiveteam"))
         .join(players.select("nflid", "season", "position"), ["nflid", "season"], "left")
     )

@@ -5,11 +5,12 @@ label with most votes wins, the first in text order on equal votes.
 
 The training rows are first counted per distinct point and label, so a point
 that holds a third of the table becomes one row. Space is then cut into leaves
-of about two thousand points by a tree built from a sample (the sample shapes the
-partitioning only, never the answer). Each query meets its own leaf, which
-gives an upper bound of its k-th distance, and after that only those other
-leaves that reach into this radius. Leaf and query chunk are the grouping key,
-so a task holds one leaf and a bounded chunk of queries, whatever the skew.
+by a tree built from a sample (the sample shapes the partitioning only, never
+the answer). Row counts and extents of the leaves bound the k-th distance of
+every query; its own leaf tightens the bound, and then it meets only those
+other leaves that reach into it. Leaf, block of points and chunk of queries are
+the grouping key, so every task is bounded, whatever the skew. Candidates are
+plain rows, counted and voted on by aggregates.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.lineage import cut_lineage
@@ -27,46 +28,61 @@ from turfline.functions.sampling import kfold, zscore
 from turfline.operators.grids import value_grid
 from turfline.operators.tracking import PLAY
 
-#: Distinct training points per leaf, queries per chunk, most leaves.
+#: Distinct training points per leaf or block of a leaf, queries per chunk.
 LEAF_POINTS = 2_000
 CHUNK_QUERIES = 2_000
-MAX_LEAVES = 1 << 16
-#: Most tasks of one search.
-MAX_TASKS = 20_000
-#: Most different labels.
-MAX_LABELS = 10_000
 #: Distances held at once by a task; a few megabytes stay in the cache.
 BLOCK_CELLS = 500_000
-#: Sampled points per leaf for placing the cuts.
+#: Sampled points per leaf for placing the cuts, and most sampled points. The
+#: tree stays small enough for the driver; leaves that grow beyond LEAF_POINTS
+#: are compared in blocks of that size.
 SAMPLE_PER_LEAF = 20
+MOST_SAMPLED = 1_000_000
 
-_CANDIDATES = "d array<double>, label array<int>, n array<bigint>"
+_FOUND = "qid bigint, d double, label string, n bigint, radius double"
 
 
 @dataclass
 class Cuts:
-    """Axis-parallel cuts of the feature space, as a complete binary tree."""
+    """Axis-parallel cuts of the feature space as a binary tree; ``left`` and ``right`` of a node, or its ``leaf``."""
 
     axis: np.ndarray
     value: np.ndarray
-
-    @property
-    def leaves(self) -> int:
-        return len(self.axis) + 1
+    left: np.ndarray
+    right: np.ndarray
+    leaf: np.ndarray
+    leaves: int
 
     @staticmethod
     def through(points: np.ndarray, leaves: int) -> "Cuts":
-        """Cut at the median of the widest axis until there are ``leaves`` parts."""
-        axis, value = np.zeros(leaves - 1, int), np.zeros(leaves - 1)
-        parts = {0: points}
-        for node in range(leaves - 1):
-            part = parts.pop(node)
-            if len(part):
-                axis[node] = np.argmax(np.ptp(part, axis=0))
-                value[node] = np.median(part[:, axis[node]])
-            low = part[:, axis[node]] <= value[node] if len(part) else np.zeros(0, bool)
-            parts[2 * node + 1], parts[2 * node + 2] = part[low], part[~low]
-        return Cuts(axis, value)
+        """Halve the fullest part along its widest axis until there are ``leaves`` parts or only single points.
+
+        A cut lies at the median, but below the greatest value, so both sides get points.
+        """
+        least = max(1, len(points) // max(leaves, 1))
+        nodes: list[list] = []
+        todo, n_leaves = [(points, -1, 0)], 0
+        while todo:
+            part, parent, side = todo.pop()
+            here = len(nodes)
+            nodes.append([0, 0.0, -1, -1, -1])
+            if parent >= 0:
+                nodes[parent][2 + side] = here
+            extent = np.ptp(part, axis=0) if len(part) else np.zeros(1)
+            if len(part) <= least or not extent.any():
+                nodes[here][4] = n_leaves
+                n_leaves += 1
+                continue
+            axis = int(np.argmax(extent))
+            column = part[:, axis]
+            value = np.median(column)
+            if value >= column.max():
+                value = column[column < column.max()].max()
+            nodes[here][:2] = axis, float(value)
+            low = column <= value
+            todo += [(part[low], here, 0), (part[~low], here, 1)]
+        axis, value, left, right, leaf = zip(*nodes)
+        return Cuts(np.array(axis), np.array(value), np.array(left), np.array(right), np.array(leaf), n_leaves)
 
     def reach(self, points: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of point index and leaf whose cell the point's ball may touch."""
@@ -76,17 +92,82 @@ class Cuts:
             node, idx = todo.pop()
             if not len(idx):
                 continue
-            if node >= len(self.axis):
+            if self.leaf[node] >= 0:
                 found_point.append(idx)
-                found_leaf.append(np.full(len(idx), node - len(self.axis)))
+                found_leaf.append(np.full(len(idx), self.leaf[node]))
                 continue
             at = points[idx, self.axis[node]] - self.value[node]
-            todo.append((2 * node + 1, idx[at - radius[idx] <= 0]))
-            todo.append((2 * node + 2, idx[at + radius[idx] > 0]))
+            todo.append((self.left[node], idx[at - radius[idx] <= 0]))
+            todo.append((self.right[node], idx[at + radius[idx] > 0]))
         if not found_point:
             return np.zeros(0, int), np.zeros(0, int)
         return np.concatenate(found_point), np.concatenate(found_leaf)
 
+    def home(self, points: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(points), int)
+        idx, leaf = self.reach(points, np.zeros(len(points)))
+        out[idx] = leaf
+        return out
+
+
+@dataclass
+class Extents:
+    """Per node of a tree: rows in all, rows of each fold, and the box around its points."""
+
+    cuts: Cuts
+    rows: np.ndarray
+    by_fold: dict[int, np.ndarray]
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def of(cuts: Cuts, leaf_rows: pd.DataFrame, dims: int) -> "Extents":
+        """From ``leaf, fold, n, low, high``, one row per leaf and fold."""
+        size = len(cuts.axis)
+        node_of = {int(leaf): node for node, leaf in enumerate(cuts.leaf) if leaf >= 0}
+        rows, by_fold = np.zeros(size), {}
+        low, high = np.full((size, dims), np.inf), np.full((size, dims), -np.inf)
+        for r in leaf_rows.itertuples(index=False):
+            node = node_of[int(r.leaf)]
+            rows[node] += r.n
+            by_fold.setdefault(int(r.fold), np.zeros(size))[node] += r.n
+            low[node] = np.minimum(low[node], r.low)
+            high[node] = np.maximum(high[node], r.high)
+        for node in range(size - 1, -1, -1):  # children follow their parent
+            for child in (cuts.left[node], cuts.right[node]):
+                if child >= 0:
+                    rows[node] += rows[child]
+                    for counts in by_fold.values():
+                        counts[node] += counts[child]
+                    low[node] = np.minimum(low[node], low[child])
+                    high[node] = np.maximum(high[node], high[child])
+        return Extents(cuts, rows, by_fold, low, high)
+
+    def bound(self, points: np.ndarray, folds: np.ndarray | None, k: int) -> np.ndarray:
+        """Upper bound of each k-th squared distance: the far corner of the smallest node around with k rows.
+
+        Infinite only where the whole table has less than ``k`` rows of other folds.
+        """
+        out = np.full(len(points), np.inf)
+        todo = [(0, np.arange(len(points)))]
+        while todo:
+            node, idx = todo.pop()
+            if not len(idx):
+                continue
+            left = np.full(len(idx), self.rows[node])
+            if folds is not None:
+                for fold, counts in self.by_fold.items():
+                    left[folds[idx] == fold] -= counts[node]
+            idx = idx[left >= k]
+            if not len(idx):
+                continue
+            far = np.maximum(np.abs(points[idx] - self.low[node]), np.abs(points[idx] - self.high[node]))
+            out[idx] = np.minimum(out[idx], (far**2).sum(1) * (1 + 1e-9))
+            if self.cuts.leaf[node] < 0:
+                low = points[idx, self.cuts.axis[node]] <= self.cuts.value[node]
+                todo += [(self.cuts.left[node], idx[low]), (self.cuts.right[node], idx[~low])]
+        return out
+
 
 def _squared(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Squared distances, summed axis by axis in the order of the features."""
@@ -97,59 +178,31 @@ def _squared(queries: np.ndarray, points: np.ndarray) -> np.ndarray:
     return total
 
 
-def _with_ties(dist, labels, weights, bound):
-    """All points of one query within ``bound``, equal distance and label merged."""
-    near = np.flatnonzero(dist <= bound)
-    order = near[np.lexsort((labels[near], dist[near]))]
-    d, lab, n = dist[order], labels[order], weights[order]
-    first = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (lab[1:] != lab[:-1])])
-    return d[first], lab[first], np.add.reduceat(n, first)
-
-
-def _nearest(queries, q_fold, points, labels, weights, p_fold, k):
-    """Per query the distance, label and weight of its ``k`` nearest points, with all
-    that tie with the last of them, and the distance at which ``k`` rows are reached."""
-    if not len(points):
-        for i in range(len(queries)):
-            yield i, np.zeros(0), np.zeros(0, int), np.zeros(0, int), np.inf
-        return
-    block, take = max(1, BLOCK_CELLS // len(points)), min(k, len(points))
-    for start in range(0, len(queries), block):
+def _matrix(p: pd.Series, dims: int) -> np.ndarray:
+    return np.array(p.tolist(), float).reshape(-1, dims)
+
+
+def _candidates(queries: pd.DataFrame, points: pd.DataFrame, dims: int, k: int, folded: bool) -> pd.DataFrame:
+    """Rows of all points that can be among the ``k`` nearest of a query, and the distance of its k-th point here."""
+    x, pts = _matrix(queries["p"], dims), _matrix(points["p"], dims)
+    qid, limit = queries["qid"].to_numpy(), queries["radius"].to_numpy()
+    label, n = points["label"].to_numpy(), points["n"].to_numpy()
+    parts = []
+    block = max(1, BLOCK_CELLS // max(len(pts), 1))
+    for start in range(0, len(x) if len(pts) else 0, block):
         rows = slice(start, start + block)
-        dist = _squared(queries[rows], points)
-        if q_fold is not None:
-            dist[q_fold[rows, None] == p_fold[None, :]] = np.inf
-        best = np.argpartition(dist, take - 1, axis=1)[:, :take]
-        d = np.take_along_axis(dist, best, 1)
-        order = np.argsort(d, axis=1, kind="stable")
-        best, d = np.take_along_axis(best, order, 1), np.take_along_axis(d, order, 1)
-        found = np.isfinite(d)
-        total = np.cumsum(np.where(found, weights[best], 0), axis=1)
-        radius = np.where(total[:, -1] >= k, d[np.arange(len(d)), np.argmax(total >= k, axis=1)], np.inf)
-        last = d[:, -1]
-        tied = np.isfinite(last) & ((dist <= last[:, None]).sum(axis=1) > take)
-        size = found.sum(axis=1)
-        for i in range(len(d)):
-            if tied[i]:
-                yield start + i, *_with_ties(dist[i], labels, weights, last[i]), radius[i]
-            else:
-                near = best[i, : size[i]]
-                yield start + i, d[i, : size[i]], labels[near], weights[near], radius[i]
-
-
-def _votes(d, label, n, ks: Sequence[int]) -> np.ndarray | None:
-    """Winning label number for each k from one query's candidates."""
-    if d is None or not len(d):
-        return None
-    order = np.argsort(d, kind="stable")
-    d, label, n = d[order], label[order], n[order]
-    before = np.r_[0, np.cumsum(n)][np.searchsorted(d, d, side="left")]
-    seen, code = np.unique(label, return_inverse=True)
-    tally = np.zeros((len(d), len(seen)), dtype=np.int64)
-    tally[np.arange(len(d)), code] = n
-    # Ranks rise with distance, so each k takes a prefix of the rows.
-    prefix = np.searchsorted(before, ks, side="left")
-    return seen[np.argmax(np.cumsum(tally, axis=0)[prefix - 1], axis=1)].astype(np.int32)
+        dist = _squared(x[rows], pts)
+        if folded:
+            dist[queries["fold"].to_numpy()[rows, None] == points["fold"].to_numpy()[None, :]] = np.inf
+        # A point is a row at least, so the k-th point bounds the k-th row.
+        kth = np.partition(dist, k - 1, axis=1)[:, k - 1] if len(pts) >= k else np.full(len(dist), np.inf)
+        most = np.minimum(kth, limit[rows])
+        i, j = np.nonzero((dist <= most[:, None]) & np.isfinite(dist))
+        parts.append((qid[rows][i], dist[i, j], label[j], n[j], most[i]))
+    if not parts:
+        parts = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0))]
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    return pd.DataFrame(dict(zip(("qid", "d", "label", "n", "radius"), columns)))
 
 
 def knn_votes(
@@ -180,100 +233,88 @@ def knn_votes(
         .groupBy(point.alias("p"), *held, F.col(label).cast("string").alias("label"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    asked = cut_lineage(query.where(complete).select(point.alias("p"), *held).distinct())
+    asked = cut_lineage(query.where(complete).select(point.alias("p"), *held).distinct().withColumn("qid", F.monotonically_increasing_id()))
+    context = train.sparkSession.sparkContext
 
     size = points.count()
-    # Text order of the labels, so that the smallest number is the first label.
-    names = sorted(r[0] for r in points.select("label").distinct().limit(MAX_LABELS + 1).collect())
-    if len(names) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    leaves = 1
-    while leaves < MAX_LEAVES and size / leaves > max(leaf_points, 4 * k_max):
-        leaves *= 2
-    if leaves > 1:
-        share = min(1.0, SAMPLE_PER_LEAF * leaves / size)
-        # At most SAMPLE_PER_LEAF * MAX_LEAVES small rows reach the driver.
-        picked = points.where(F.pmod(F.xxhash64("p", "fold", "label"), F.lit(1_000_000)) < int(share * 1_000_000))
-        sample = picked.select("p").limit(SAMPLE_PER_LEAF * leaves).toPandas()["p"]
-        cuts = Cuts.through(np.array(sample.tolist(), float).reshape(-1, dims), leaves)
-    else:
-        cuts = Cuts(np.zeros(0, int), np.zeros(0))
+    leaves = max(1, -(-size // max(leaf_points, 4 * k_max)))
+    # Chosen by hash alone, so that a rerun builds the same tree.
+    share = min(1.0, min(SAMPLE_PER_LEAF * leaves, MOST_SAMPLED) / max(size, 1))
+    picked = points.where(F.pmod(F.xxhash64("p", "fold", "label"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("p").toPandas()["p"]
+    sample = _matrix(picked.sort_values(key=lambda s: s.map(tuple)) if len(picked) else picked, dims)
+    cuts = Cuts.through(sample, leaves)
+    tree = context.broadcast(cuts)
 
     @F.pandas_udf("int")
     def leaf_of(p: pd.Series) -> pd.Series:
-        x = np.array(p.tolist(), float).reshape(-1, dims)
-        idx, leaf = cuts.reach(x, np.zeros(len(x)))
-        out = np.zeros(len(x), int)
-        out[idx] = leaf
-        return pd.Series(out)
-
-    home = (F.lit(0) if leaves == 1 else leaf_of("p")).alias("leaf")
-    points = points.select("p", "fold", "label", "n", home)
-    asked = asked.select("p", "fold", home, F.lit(float("inf")).alias("radius"))
-
-    def search(df, cog):
-        """Candidates of each query from the leaf it was sent to."""
-        x = np.array(df["p"].tolist(), float).reshape(-1, dims)
-        pts = np.array(cog["p"].tolist(), float).reshape(-1, dims)
-        q_fold = df["fold"].to_numpy() if fold else None
-        rows = []
-        limit = df["radius"].to_numpy()
-        codes = np.searchsorted(names, cog["label"].to_numpy(dtype=str)) if len(cog) else np.zeros(0, int)
-        for i, d, lab, n, r in _nearest(x, q_fold, pts, codes, cog["n"].to_numpy(), cog["fold"].to_numpy(), k_max):
-            near = d <= limit[i]
-            rows.append((df["p"].iat[i], df["fold"].iat[i], df["leaf"].iat[i], d[near], lab[near], n[near], r))
-        return pd.DataFrame(rows, columns=["p", "fold", "leaf", "d", "label", "n", "radius"])
-
-    found_type = f"p array<double>, fold int, leaf int, {_CANDIDATES}, radius double"
+        return pd.Series(tree.value.home(_matrix(p, dims)))
+
+    points = cut_lineage(points.select("p", "fold", "label", "n", leaf_of("p").alias("leaf")))
+    corners = [f(F.col("p")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(dims)]
+    # One row per leaf and fold, at most MOST_SAMPLED / SAMPLE_PER_LEAF leaves.
+    box = points.groupBy("leaf", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points"), *corners).toPandas()
+    box["low"] = list(box[[f"low{i}" for i in range(dims)]].to_numpy(float))
+    box["high"] = list(box[[f"high{i}" for i in range(dims)]].to_numpy(float))
+    extents = context.broadcast(Extents.of(cuts, box[["leaf", "fold", "n", "low", "high"]], dims))
+    n_blocks = {int(leaf): -(-int(n) // (2 * max(leaf_points, 4 * k_max))) for leaf, n in box.groupby("leaf")["points"].sum().items()}
+    shared_blocks = context.broadcast(n_blocks)
+
+    @F.pandas_udf("int")
+    def blocks_of(leaf: pd.Series) -> pd.Series:
+        return leaf.map(shared_blocks.value).fillna(0).astype("int32")
+
+    blocked = points.withColumn("blocks", blocks_of("leaf")).withColumn("block", F.pmod(F.xxhash64("p", "fold", "label"), F.col("blocks")).cast("int"))
 
     def meet(queries: DataFrame) -> DataFrame:
-        """Search with queries in bounded chunks, each beside a copy of its leaf."""
-        sizes = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_queries))).alias("chunks"))
-        chunks = F.broadcast(sizes)  # one row per leaf, at most MAX_LEAVES
-        q = queries.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("p", "fold"), F.col("chunks")))
-        t = points.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)))
+        """Search with queries in bounded chunks, each beside a copy of every block of its leaf."""
+        sizes = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_queries))).cast("int").alias("chunks"))
+        chunks = F.broadcast(sizes)  # one row per leaf
+        q = queries.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(blocks_of("leaf"), F.lit(1)) - 1)))
+        t = blocked.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         # The groups are small in bytes but heavy in work: spread them by number,
         # so that partitions are not merged by size.
-        key, groups = ["leaf", "chunk"], sizes.agg(F.sum("chunks")).first()[0] or 1
-        tasks = min(2 * int(groups), MAX_TASKS)
-        q, t = (side.drop("chunks").repartition(tasks, *key).groupBy(*key) for side in (q, t))
-        sides = q.cogroup(t)
-        return sides.applyInPandas(search, found_type)
-
-    found = meet(asked)
-    if leaves > 1:
-
-        def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Rows of a query for every other leaf within its radius."""
-            for b in batches:
-                x = np.array(b["p"].tolist(), float).reshape(-1, dims)
-                r = b["radius"].to_numpy()
-                idx, leaf = cuts.reach(x, np.sqrt(r) * (1 + 1e-12))
-                other = leaf != b["leaf"].to_numpy()[idx]
-                idx, leaf = idx[other], leaf[other]
-                yield pd.DataFrame(
-                    {"p": b["p"].to_numpy()[idx], "fold": b["fold"].to_numpy()[idx], "leaf": leaf, "radius": r[idx]}
-                )
-
-        found = cut_lineage(found)
-        more = found.select("p", "fold", "leaf", "radius").mapInPandas(
-            send, "p array<double>, fold int, leaf int, radius double"
-        )
-        found = found.unionByName(meet(cut_lineage(more)))
-        parts = F.collect_list(F.struct("d", "label", "n"))
-        flat = [F.flatten(f"_parts.{f}").alias(f) for f in ("d", "label", "n")]
-        found = found.groupBy("p", "fold").agg(parts.alias("_parts")).select("p", "fold", *flat)
-
-    @F.pandas_udf("array<int>")
-    def vote(d: pd.Series, label: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_votes(*c, ks) for c in zip(d, label, n)])
-
-    ballots = F.arrays_zip(F.array(*[F.lit(int(k)) for k in ks]).alias("k"), vote("d", "label", "n").alias("pred"))
-    voted = found.select("p", "fold", F.explode(ballots).alias("_v"))
-    name = F.get(F.array(*[F.lit(v) for v in names]), F.col("_v.pred")) if names else F.lit(None)
+        key, groups = ["leaf", "block", "chunk"], sizes.agg(F.sum("chunks")).first()[0] or 1
+        tasks = 2 * int(groups)
+        q = q.select("qid", "p", "fold", "radius", *key).repartition(tasks, *key).groupBy(*key)
+        t = t.select("p", "fold", "label", "n", *key).repartition(tasks, *key).groupBy(*key)
+        return q.cogroup(t).applyInPandas(lambda a, b: _candidates(a, b, dims, k_max, bool(fold)), _FOUND)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = _matrix(b["p"], dims)
+            bound = extents.value.bound(x, b["fold"].to_numpy() if fold else None, k_max)
+            yield b.assign(leaf=tree.value.home(x).astype("int32"), radius=bound)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of a query for every other leaf within its radius."""
+        for b in batches:
+            r = b["radius"].to_numpy()
+            idx, leaf = tree.value.reach(_matrix(b["p"], dims), np.sqrt(r) * (1 + 1e-12))
+            other = leaf != b["leaf"].to_numpy()[idx]
+            rows = b.iloc[idx[other]]
+            yield rows.assign(leaf=leaf[other].astype("int32"))
+
+    located = "p array<double>, fold int, qid bigint, leaf int, radius double"
+    asked = cut_lineage(asked.select("p", "fold", "qid").mapInPandas(place, located))
+    found = cut_lineage(meet(asked))
+    # Every block of the own leaf gives a bound of the k-th distance; the least one holds.
+    tight = found.groupBy("qid").agg(F.min("radius").alias("near"))
+    nearer = asked.join(tight, "qid", "left").select("p", "fold", "qid", "leaf", F.least("radius", "near").alias("radius"))
+    found = found.unionByName(meet(cut_lineage(nearer.mapInPandas(send, located))))
+
+    # A row takes part in the vote of k if fewer than k rows are nearer.
+    counted = found.groupBy("qid", "d", "label").agg(F.sum("n").alias("n"))
+    nearer_rows = F.sum("n").over(Window.partitionBy("qid").orderBy("d")) - F.sum("n").over(Window.partitionBy("qid", "d"))
+    ranked = counted.withColumn("before", nearer_rows)
+    tally = ranked.groupBy("qid", "label").agg(*[F.sum(F.when(F.col("before") < k, F.col("n"))).alias(f"k{k}") for k in ks])
+    first = [F.min(F.when(F.col(f"k{k}").isNotNull(), F.struct(-F.col(f"k{k}"), "label")))["label"].alias(f"k{k}") for k in ks]
+    winners = tally.groupBy("qid").agg(*first)
+    ballots = F.explode(F.array(*[F.struct(F.lit(int(k)).alias("k"), F.col(f"k{k}").alias("pred")) for k in ks])).alias("_v")
+    voted = asked.join(winners, "qid").select("p", "fold", ballots)
     out = [F.col("p")[i].alias(c) for i, c in enumerate(features)]
     out += [F.col("fold").alias(fold)] if fold else []
-    return voted.select(*out, F.col("_v.k").alias("k"), name.cast(train.schema[label].dataType).alias("pred"))
+    return voted.select(*out, F.col("_v.k").alias("k"), F.col("_v.pred").cast(train.schema[label].dataType).alias("pred"))
 
 
 def knn_classify(
@@ -309,18 +350,21 @@ def knn_cv(
     scale: bool | Sequence[str] = True,
     keys: Sequence[str] = PLAY,
     seed: int = 15,
-    digits: int = 9,
+    digits: int | None = None,
     **sizes,
 ) -> DataFrame:
     """Cross-validated accuracy for every k, pooled over the folds.
 
     ``scale`` z-scores all features, or those named, over the whole table. All
     folds are searched in one pass: a row is no neighbour of its own fold.
+    ``digits`` rounds the scaled features, for callers that want near values to tie.
     """
     cols = list(features) if scale is True else list(scale or ())
     rows = cut_lineage(df.select(*dict.fromkeys([*keys, *features, label])))
     if cols:
-        rows = zscore(rows, cols).withColumns({c: F.round(c, digits) for c in cols})
+        rows = zscore(rows, cols)
+    if digits is not None:
+        rows = rows.withColumns({c: F.round(c, digits) for c in cols})
     rows = kfold(rows, keys, folds, seed)
     votes = knn_votes(rows, rows, features, label, ks, fold="fold", **sizes)
     return _accuracy_by_k(rows, votes, [*features, "fold"], label)

@@ -205,10 +205,11 @@ def preds_long(wide: DataFrame, prefix: str = "pred") -> DataFrame:
 def keep_extreme(df: DataFrame, by: Sequence[str], col: str, largest: bool = True) -> DataFrame:
     """Rows that hold the largest (smallest) value of their group, ties kept.
 
-    The extreme is a map-side aggregate joined back, so no group is gathered.
+    For groups of a few rows, as the files and classes of a clip: one window,
+    so that the input is read once and choices over equal keys share a shuffle.
     """
-    edge = df.groupBy(*by).agg((F.max(col) if largest else F.min(col)).alias(col))
-    return df.join(edge, [*by, col], "left_semi")
+    edge = (F.max(col) if largest else F.min(col)).over(Window.partitionBy(*by))
+    return df.withColumn("_edge", edge).where(F.col(col) == F.col("_edge")).drop("_edge")
 
 
 def preds_latest(long: DataFrame) -> DataFrame:

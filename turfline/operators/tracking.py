@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import if_else, min_rank
+from turfline.functions.lineage import cut_lineage
 from turfline.functions.skew import HOT_ROWS, attach, spread_rank
 
 PLAY = ("gameid", "playid")
@@ -57,7 +58,7 @@ def ball_spots(
     track: DataFrame, crop: DataFrame, keys: Sequence[str] = PLAY, frame: str = "frameid", ball: str = BALL
 ) -> DataFrame:
     """Where the ball lies at the start frame. The frame is part of the join key."""
-    at = crop.select(*keys, F.col("snap").alias(frame)).hint("shuffle_hash")
+    at = crop.select(*keys, F.col("snap").alias(frame))
     balls = track.where(F.col("team") == ball).select(*keys, frame, "x", "y")
     return balls.join(at, [*keys, frame]).select(
         *keys, F.col("x").alias("spot_x"), F.col("y").alias("spot_y")
@@ -70,7 +71,6 @@ def clip_frames(
     keys: Sequence[str] = PLAY,
     frame: str = "frameid",
     hot_rows: int | None = HOT_ROWS,
-    n_plays: int | None = None,
 ) -> DataFrame:
     """Frames from the start frame to the end frame, to the last one if there is no end.
 
@@ -78,7 +78,7 @@ def clip_frames(
     """
     bounds = crop.where(F.col("snap").isNotNull())
     within = (F.col(frame) >= F.col("snap")) & (F.col("clip").isNull() | (F.col(frame) <= F.col("clip")))
-    return attach(track, bounds, keys, [frame], hot_rows=hot_rows, n_keys=n_plays).where(within)
+    return attach(track, bounds, keys, [frame], hot_rows=hot_rows).where(within)
 
 
 def orient_coords(
@@ -140,15 +140,16 @@ def mean_positions(
     keys: Sequence[str] = PLAY,
     frame: str = "frameid",
     hot_rows: int | None = HOT_ROWS,
-    n_plays: int | None = None,
 ) -> DataFrame:
     """Mean rotated position of each defender over the cropped frames.
 
-    The frames meet one row per play and are averaged as they are; rotation is
-    linear, so it is done on the means, a few rows per play. Without ``spots``
-    the ball's rows of the start frame pass through the same join and give the
-    spot, which saves a scan of the frames. ``n_plays`` is the counted size of
-    the crop, if known.
+    The frames meet one row per play and are summed as they are, by direction;
+    rotation is linear, so it is done on the sums, a few rows per play. A
+    missing coordinate or direction makes the mean missing. A player with two
+    directions in a play has one mean and a row for the spot in each direction.
+    Without ``spots`` the ball's rows of the start frame pass through the same
+    join and give the spot, which saves a scan of the frames; the sums, a few
+    rows per play, are written once and split into ball and players.
     """
     keys = list(keys)
     facts = plays.select(*keys, "defensiveteam", "yardstogo")
@@ -158,25 +159,43 @@ def mean_positions(
     defends = within & (F.col("team") == F.col("defensiveteam"))
     spotted = (F.col("team") == BALL) & (F.col(frame) == F.col("snap"))
     wanted = defends if spots is not None else defends | spotted
-    frames = attach(narrow, per_play, keys, [frame, "nflid"], hot_rows=hot_rows, n_keys=n_plays).where(wanted)
+    frames = attach(narrow, per_play, keys, [frame, "nflid"], hot_rows=hot_rows).where(wanted)
     place = F.when(spotted, F.struct(F.col("x").alias("spot_x"), F.col("y").alias("spot_y")))
-    means = (
-        frames.groupBy(*keys, "nflid", "jerseynumber", "playdirection", "yardstogo", place.alias("_ball"))
-        .agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    )
+    who = [*keys, "nflid", "jerseynumber"]
+    right = F.col("playdirection") == "right"
+    ways = {"right": right, "left": ~right, "none": F.col("playdirection").isNull()}
+    aggs = [F.max("yardstogo").alias("yardstogo"), F.count("x").alias("_nx"), F.count("y").alias("_ny")]
+    for way, here in ways.items():
+        aggs += [F.count(F.when(here, 1)).alias(f"_{way}"), *[F.sum(F.when(here, F.col(c))).alias(f"_{way}_{c}") for c in ("x", "y")]]
+    sums = frames.groupBy(*who, place.alias("_ball")).agg(*aggs)
     if spots is not None:
-        players = means.join(spots, keys, "left")
-    else:
-        # Places of the ball in one frame: one, unless the frame holds it twice.
+        players = sums.join(spots, keys, "left")
+    elif hot_rows is None:  # no play is too large for a task: stay in its partition
         places = F.collect_set("_ball").over(Window.partitionBy(*keys))
-        players = (
-            means.withColumn("_places", places)
-            .where(F.col("_ball").isNull())
-            .select("*", F.explode_outer("_places").alias("_spot"))
-            .select("*", "_spot.*")
-        )
-    return orient_coords(players).select(
-        *keys, "nflid", "jerseynumber", "newspot_y", "newspot_x", "line_to_gain", "newx", "newy"
+        players = sums.withColumn("_places", places).where(F.col("_ball").isNull())
+        players = players.select("*", F.explode_outer("_places").alias("_spot")).select("*", "_spot.*")
+    else:
+        sums = cut_lineage(sums)
+        balls = sums.where(F.col("_ball").isNotNull()).select(*keys, "_ball.*").distinct()
+        players = sums.where(F.col("_ball").isNull()).join(balls, keys, "left")
+    n = F.col("_right") + F.col("_left") + F.col("_none")
+    def total(way, c):
+        return F.when(F.col(f"_{way}") > 0, F.col(f"_{way}_new")[c] * F.col(f"_{way}")).otherwise(0.0)
+
+    cells = ["newx", "newy", "newspot_y", "newspot_x", "line_to_gain"]
+    both = players
+    for way in ("right", "left"):
+        both = orient_coords(
+            both.withColumns({"playdirection": F.lit(way), **{c: F.col(f"_{way}_{c}") / F.nullif(F.col(f"_{way}"), F.lit(0)) for c in ("x", "y")}})
+        ).withColumn(f"_{way}_new", F.struct(*cells)).drop(*cells)
+    whole = (F.col("_none") == 0) & (F.col("_nx") == n) & (F.col("_ny") == n)
+    mean = {c: F.when(whole, (total("right", c) + total("left", c)) / n) for c in ("newx", "newy")}
+    unknown = F.struct(*[F.lit(None).cast("double").alias(c) for c in cells])
+    seen = F.array_compact(
+        F.array(F.when(F.col("_right") > 0, F.col("_right_new")), F.when(F.col("_left") > 0, F.col("_left_new")), F.when(F.col("_none") > 0, unknown))
+    )
+    return both.select(*who, *[v.alias(c) for c, v in mean.items()], F.explode(seen).alias("_way")).select(
+        *who, *[F.col(f"_way.{c}").alias(c) for c in cells[2:]], "newx", "newy"
     )
 
 
@@ -211,7 +230,6 @@ def play_frames(
     frame: str = "frameid",
     snaps: DataFrame | None = None,
     hot_rows: int | None = HOT_ROWS,
-    n_plays: int | None = None,
 ) -> DataFrame:
     """Frame table behind a play's moving picture, for all plays at once.
 
@@ -236,7 +254,7 @@ def play_frames(
     rightward = F.col("playdirection") == "right"
     own = F.filter("_sides", lambda s: s["team"] == F.col("team"))
     frames = (
-        attach(track, per_play, keys, [frame, "nflid"], hot_rows=hot_rows, n_keys=n_plays)
+        attach(track.drop("season"), per_play, keys, [frame, "nflid"], hot_rows=hot_rows)
         .withColumns({"color": F.get(own, F.lit(0))["color"], "o": F.coalesce("o", F.lit(0.0))})
         .drop("_sides")
         .join(players.select("nflid", "season", "position"), ["nflid", "season"], "left")

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turfline.functions.columns import cut, min_rank, share, sub_first
+from turfline.functions.columns import cut, if_else, min_rank, share, strict_mean, sub_first
 from turfline.operators.tracking import PLAY
 
 # Bin edges, bin labels and the limits of the drawn field.
@@ -80,17 +80,20 @@ def first_by_key(df: DataFrame, by: Sequence[str], count: str, keys: Sequence[st
 
 
 def deepest(depths: DataFrame, n: int, keys: Sequence[str] = PLAY) -> DataFrame:
-    """The ``n`` deepest defenders of every play, ties kept."""
+    """The ``n`` deepest defenders of every play, ties kept; a depth rank that is there already is used."""
+    if "depth_rk" in depths.columns:
+        return depths.where(F.col("depth_rk") <= n)
     return depths.withColumn("depth_rk", min_rank("depth", keys)).where(F.col("depth_rk") <= n)
 
 
 def _profile(df: DataFrame, by: Sequence[str], means: Sequence[str] = ("depth", "width")) -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), *[F.avg(c).alias(c) for c in means])
+    """Counts and means; a missing input makes a mean missing."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), *[strict_mean(c).alias(c) for c in means])
 
 
 def depth_by_level(depths: DataFrame, n: int = 7, cut_at: float = -15, keys: Sequence[str] = PLAY) -> DataFrame:
-    """Mean place per coverage, level (1 near, 2 deep) and left-to-right rank in the level."""
-    levels = deepest(depths, n, keys).withColumn("level", F.when(F.col("depth") < cut_at, 2).otherwise(1))
+    """Mean place per coverage, level (1 near, 2 deep, none without a depth) and left-to-right rank in the level."""
+    levels = deepest(depths, n, keys).withColumn("level", if_else(F.col("depth") < cut_at, F.lit(2), F.lit(1)))
     ranked = levels.withColumn("width_rk", min_rank("width", [*keys, "level"]))
     return _profile(ranked, ["pff_passcoverage", "level", "width_rk"])
 
@@ -104,7 +107,7 @@ def zone_profile(
     depths: DataFrame, spec: ZoneSpec = ZoneSpec(), n: int = 7, keys: Sequence[str] = PLAY
 ) -> DataFrame:
     """Mean place per coverage, zone and left-to-right rank in the zone."""
-    ranked = deepest(with_zone(depths, spec), n, keys).withColumn(
+    ranked = with_zone(deepest(depths, n, keys), spec).withColumn(
         "width_rk", min_rank("width", [*keys, "zone", "sym_zone"])
     )
     return _profile(ranked, ["pff_passcoverage", "zone", "sym_zone", "width_rk"])
@@ -180,7 +183,7 @@ def zone_counts_by_play(
 ) -> DataFrame:
     """How many of a play's deepest defenders stand in each zone."""
     return (
-        deepest(with_zone(depths, spec), n, keys)
+        with_zone(deepest(depths, n, keys), spec)
         .groupBy(*keys, "pff_passcoverage", "zone", "sym_zone")
         .agg(F.count(F.lit(1)).alias("count"))
     )

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfline.functions.lineage import cut_lineage, written
+from turfline.functions.lineage import cut_lineage
 from turfline.functions.sampling import train_split
 from turfline.functions.skew import HOT_ROWS
 from turfline.operators import formations as fm
@@ -30,8 +30,8 @@ def _positions(track: DataFrame, plays: DataFrame, hot_rows: int | None) -> tupl
 
     The crop counts the rows of every play, which bounds its defenders too.
     """
-    crop, n = written(tr.play_crop(track, with_rows=hot_rows is not None))
-    positions = tr.mean_positions(track, crop, plays, hot_rows=hot_rows, n_plays=n)
+    crop = cut_lineage(tr.play_crop(track, with_rows=hot_rows is not None))
+    positions = tr.mean_positions(track, crop, plays, hot_rows=hot_rows)
     largest = (crop.agg(F.max("n_rows")).first()[0] or 0) if hot_rows is not None else 0
     return positions, hot_rows is not None and largest > hot_rows
 
@@ -60,8 +60,8 @@ def defender_depths(
 
 def alignments(track: DataFrame, plays: DataFrame, players: DataFrame) -> DataFrame:
     """Offensive players at the snap."""
-    snaps, n = written(fm.snap_places(track))
-    return fm.alignment_by_play(track, plays, players, snaps, n_plays=n)
+    snaps = cut_lineage(fm.snap_places(track))
+    return fm.alignment_by_play(track, plays, players, snaps)
 
 
 def formations(track: DataFrame, plays: DataFrame, players: DataFrame) -> DataFrame:
@@ -73,9 +73,9 @@ def frame_table(
     track: DataFrame, plays: DataFrame, games: DataFrame, players: DataFrame, color_grid: DataFrame
 ) -> DataFrame:
     """Everything needed to draw any play."""
-    snaps, n = written(tr.play_crop(track, ("ball_snap",), (), with_rows=True))
+    snaps = cut_lineage(tr.play_crop(track, ("ball_snap",), (), with_rows=True))
     colors = pl.team_colors(plays, color_grid)
-    return tr.play_frames(track, pl.play_details(plays, games), players, colors, snaps=snaps, n_plays=n)
+    return tr.play_frames(track, pl.play_details(plays, games), players, colors, snaps=snaps)
 
 
 def spread_features(depths: DataFrame, **options) -> DataFrame:

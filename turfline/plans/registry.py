@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import yard_label
-from turfline.functions.lineage import cut_lineage, written
+from turfline.functions.lineage import cut_lineage
 from turfline.functions.sampling import kfold, sample_group, sample_rows, zscore
 from turfline.operators import formations as fm
 from turfline.operators import grids as gr
@@ -27,6 +27,8 @@ _QUERIES: dict[str, Query] = {}
 FEATURES = ("depth_diff", "max_width")
 TUNE_KS = tuple(range(10, 201, 10))
 CV_KS = tuple(range(10, 151, 10))
+#: Scaled features are rounded for the check, as two engines scale with other last digits.
+SCALED_DIGITS = 9
 
 
 def query(fn: Callable[[Warehouse], DataFrame]) -> Callable[[Warehouse], DataFrame]:
@@ -114,8 +116,8 @@ def ball_spots(w):
 @query
 def clip_frames(w):
     """Rows and extent of the kept frames of every play."""
-    crop, n = written(tr.play_crop(w.track, with_rows=True))
-    frames = tr.clip_frames(w.track, crop, n_plays=n)
+    crop = cut_lineage(tr.play_crop(w.track, with_rows=True))
+    frames = tr.clip_frames(w.track, crop)
     return frames.groupBy("gameid", "playid", "snap", "clip").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("frameid").alias("first"),
@@ -534,20 +536,20 @@ def knn_tune_high(w):
 @query
 def knn_cv(w):
     train = _features(w).where(F.col("set") != "test")
-    return nn.knn_cv(train, FEATURES, "hierarchy", CV_KS)
+    return nn.knn_cv(train, FEATURES, "hierarchy", CV_KS, digits=SCALED_DIGITS)
 
 
 @query
 def knn_cv_3d(w):
     train = _features(w, centerfield=True).where(F.col("set") != "test")
-    return nn.knn_cv(train, (*FEATURES, "centerfielders"), "hierarchy", CV_KS, scale=FEATURES)
+    return nn.knn_cv(train, (*FEATURES, "centerfielders"), "hierarchy", CV_KS, scale=FEATURES, digits=SCALED_DIGITS)
 
 
 @query
 def knn_cv_three(w):
     train = _features(w, ranks=(1, 2, 3), wide=True).where(F.col("set") != "test")
     exact = rounded(train, "wide_width").where(F.col("wide_width").isNotNull())
-    return nn.knn_cv(exact, (*FEATURES, "wide_width"), "hierarchy", CV_KS)
+    return nn.knn_cv(exact, (*FEATURES, "wide_width"), "hierarchy", CV_KS, digits=SCALED_DIGITS)
 
 
 @query

@@ -6,6 +6,7 @@ queries may spell them as the files do.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,29 +37,32 @@ def read_csv(spark: SparkSession, paths: str | Sequence[str], schema, **options)
 def header_of(spark: SparkSession, path: str) -> list[str]:
     """Column names in a file's first line; only that line is read."""
     line = spark.read.text(path).first()[0]
-    return [name.strip().strip('"') for name in line.split(",")]
+    return [name.strip() for name in next(csv.reader([line]))]
 
 
-def read_named(spark: SparkSession, path: str, types: Mapping[str, str] = _KNOWN, default: str = "string") -> DataFrame:
+def read_named(spark: SparkSession, path: str | Sequence[str], types: Mapping[str, str] = _KNOWN, default: str = "string") -> DataFrame:
     """CSV whose columns are taken from its header line and typed by name.
 
     For files whose columns differ between releases: one line is read on the
-    driver, the rows themselves never are.
+    driver, the rows themselves never are. Every file of the path must have the
+    same columns in the same order; another header stops the read.
     """
-    fields = [(n.lower(), types.get(n.lower(), default)) for n in header_of(spark, path)]
+    fields = [(n.lower(), types.get(n.lower(), default)) for n in header_of(spark, path if isinstance(path, str) else path[0])]
     schema = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields))
-    return read_csv(spark, path, schema)
+    return read_csv(spark, path, schema, enforceSchema=False)
 
 
 def load_tracking(spark: SparkSession, by_season: Mapping[int, str | Sequence[str]]) -> DataFrame:
-    """Tracking frames of three releases in one layout of 15 columns."""
-    seasons = sorted(by_season)
-    layouts = [schemas.TRACKING[s] for s in sorted(schemas.TRACKING)]
-    legs = [read_csv(spark, by_season[s], layouts[i]) for i, s in enumerate(seasons)]
-    return unify_tracking(legs)
+    """Tracking frames of the given releases in one layout of 15 columns, and their ``season``.
+
+    A season's layout is its own, whichever seasons are given; a file whose
+    header has other columns stops the read.
+    """
+    legs = {s: read_csv(spark, by_season[s], schemas.TRACKING[s], enforceSchema=False) for s in sorted(by_season)}
+    return stack([unify_tracking([df]).withColumn("season", F.lit(s)) for s, df in legs.items()])
 
 
-def load_games(spark: SparkSession, by_season: Mapping[int, str]) -> DataFrame:
+def load_games(spark: SparkSession, by_season: Mapping[int, str | Sequence[str]]) -> DataFrame:
     return unify_games({s: read_named(spark, p) for s, p in by_season.items()})
 
 
@@ -87,6 +91,19 @@ def find_releases(spark: SparkSession, base: str, pattern: str, seasons: Sequenc
     return dict(zip(seasons, folders))
 
 
+def find_files(spark: SparkSession, releases: Mapping[int, str], pattern: str) -> dict[int, list[str]]:
+    """Files of every release folder that match ``pattern`` (such as ``games.csv`` or ``weeks/*.csv``), in name order."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    out = {}
+    for season, folder in releases.items():
+        glob = hadoop.Path(f"{folder}/{pattern}")
+        found = glob.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(glob) or []
+        out[season] = sorted(str(f.getPath()) for f in found if f.isFile())
+        if not out[season]:
+            raise ValueError(f"no file like {pattern} under {folder}")
+    return out
+
+
 def read_color_grid(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path, schemas.COLOR_GRID)
 

@@ -20,7 +20,8 @@ def write_tracking(track: DataFrame, path: str, season: str | None = "season", k
     Sorted files give row groups that cover few plays, so a search for one play
     or a season reads only its own groups.
     """
-    clustered = track.repartitionByRange(*([season] if season else []), *keys).sortWithinPartitions(
+    # The frame is part of the ranges, so that a play of any size can be divided.
+    clustered = track.repartitionByRange(*([season] if season else []), *keys, "frameid").sortWithinPartitions(
         *([season] if season else []), *keys, "frameid"
     )
     writer = clustered.write.mode("overwrite")
