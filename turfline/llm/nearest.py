@@ -25,6 +25,8 @@ BUCKET_ROWS = 300
 BLOCK_ROWS = 4000
 #: Queries that a block is compared with at a time.
 QUERY_ROWS = 2000
+#: Buckets per table that the first pass probes.
+FIRST_PROBES = 8
 
 
 @dataclass
@@ -100,8 +102,8 @@ def _code(bins) -> str:
     return ",".join(map(str, bins))
 
 
-def _nearest(q_ids, q: np.ndarray, ids, x: np.ndarray, k: int) -> tuple[list, list, list]:
-    """The ``k`` nearest rows of a block for every query: query ids, row ids, distances in double precision."""
+def _nearest(q_ids, q: np.ndarray, limits: np.ndarray, ids, x: np.ndarray, k: int) -> tuple[list, list, list]:
+    """The ``k`` nearest rows of a block within every query's limit: query ids, row ids, distances in double precision."""
     out: tuple[list, list, list] = ([], [], [])
     square = np.einsum("nd,nd->n", x, x)
     for s in range(0, len(q), 256):
@@ -115,6 +117,7 @@ def _nearest(q_ids, q: np.ndarray, ids, x: np.ndarray, k: int) -> tuple[list, li
                 at = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1] + 1e-9 * (1 + size))
             d = np.sqrt(((x[at] - part[i]) ** 2).sum(1))
             order = np.lexsort((np.asarray(ids)[at], d))[:k]
+            order = order[d[order] <= limits[s + i]]
             out[0].extend([q_ids[s + i]] * len(order))
             out[1].extend(np.asarray(ids)[at[order]].tolist())
             out[2].extend(d[order].tolist())
@@ -128,7 +131,7 @@ def _search(index_rows: DataFrame, probes: DataFrame, k: int) -> DataFrame:
         if not len(rows) or not len(asked):
             return pd.DataFrame({"query": [], "found": [], "score": []}).astype({"query": "int64", "found": "int64", "score": "float64"})
         q = np.stack(asked["q_vector"].to_numpy())
-        a, b, d = _nearest(asked["query"].tolist(), q, rows["key"].to_numpy(), np.stack(rows["vector"].to_numpy()), k)
+        a, b, d = _nearest(asked["query"].tolist(), q, asked["limit"].to_numpy(), rows["key"].to_numpy(), np.stack(rows["vector"].to_numpy()), k)
         return pd.DataFrame({"query": a, "found": b, "score": d})
 
     # A bucket that many queries probe is met once per so many of them.
@@ -188,14 +191,14 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     def probing(wanted: float, least: int):
         def make():
-            def of(keys, given, distances):
-                out = ([], [], [], [])
+            def of(keys, given, distances, limits):
+                out = ([], [], [], [], [])
                 if keys:
                     at = shared.value.place(np.array(given, float))
-                    for key_, v, d, places in zip(keys, given, distances, at):
+                    for key_, v, d, limit, places in zip(keys, given, distances, limits, at):
                         for t, p in enumerate(places):
                             for bins in shared.value.probes(p, d, wanted, least):
-                                for o, x in zip(out, (key_, v, t, _code(bins))):
+                                for o, x in zip(out, (key_, v, limit, t, _code(bins))):
                                     o.append(x)
                 return out
 
@@ -204,19 +207,24 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
         return make
 
     def probe(points: DataFrame, wanted: float, least: int) -> DataFrame:
-        listed = flat_rows(points, ["key", "vector", "distance"], probing(wanted, least), "query long, q_vector array<double>, table int, code string")
+        listed = flat_rows(points, ["key", "vector", "distance", "limit"], probing(wanted, least), "query long, q_vector array<double>, limit double, table int, code string")
         spread = listed.join(blocks, ["table", "code"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        return cut_lineage(spread.select("query", "q_vector", "table", "code", "block"))
+        return cut_lineage(spread.select("query", "q_vector", "limit", "table", "code", "block"))
 
     width = float(shared.value.width)
-    first = _search(rows, probe(distinct.withColumn("distance", F.lit(width / 4)), 0.0, 2), k + 1)
-    reach = _best(cut_lineage(first), k + 1).groupBy("query").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n"))
+    spread = F.lit(width / BIN * math.sqrt(2))
+    any_ = F.lit(float("inf"))
+    first = cut_lineage(_search(rows, probe(distinct.withColumns({"distance": F.lit(width / 4), "limit": any_}), 0.0, FIRST_PROBES), k + 1))
+    reach = _best(first, k + 1).groupBy("query").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n"))
     # A query that met too few rows has no distance yet; the spread of the data is far enough for any.
-    far = F.when(F.col("n") > k, F.col("far")).otherwise(F.lit(width / BIN * math.sqrt(2)))
-    known = distinct.join(reach, distinct["key"] == reach["query"], "left").select("key", "vector", F.coalesce(far, F.lit(width / BIN * math.sqrt(2))).alias("distance"))
+    # Otherwise its rows are at most that far, and the second pass gives no others.
+    full = F.coalesce(F.col("n"), F.lit(0)) > k
+    known = distinct.join(reach, distinct["key"] == reach["query"], "left").select(
+        "key", "vector", F.when(full, F.col("far")).otherwise(spread).alias("distance"), F.when(full, F.col("far")).otherwise(any_).alias("limit")
+    )
     wanted = 1 - (1 - recall) ** (1 / tables)
     second = _search(rows, probe(known, wanted, 2), k + 1)
-    best = _best(second, k + 1)
+    best = _best(first.union(second).groupBy("query", "found").agg(F.min("score").alias("score")), k + 1)
     named = entries.select(F.col("key").alias("found"), "keys")
     answers = asked.join(best.select("query", "found", "score"), "query").join(named, "found").select("query_id", "score", F.explode("keys").alias("vec_id"))
     answers = answers.where(F.col("vec_id") != F.col("query_id"))
