@@ -346,9 +346,9 @@ def _cv(source: str, features, scaled, where: str = "TRUE") -> str:
     )
 
 
-def _grid(features: dict[str, int]) -> str:
+def _grid(features: dict[str, int], label: str = "high") -> str:
     points = "SELECT * FROM " + ", ".join(f"(SELECT CAST(unnest(range({n})) AS DOUBLE) AS {f})" for f, n in features.items())
-    extra = knn("SELECT * FROM split2 WHERE \"set\" <> 'test'", points, tuple(features), "high", 150)
+    extra = knn("SELECT * FROM split2 WHERE \"set\" <> 'test'", points, tuple(features), label, 150)
     extra += ", " + voted(tuple(features), "[150]")
     return with_ctes(f"SELECT {', '.join(features)}, pred FROM won", extra)
 
@@ -491,6 +491,10 @@ FROM by_form WINDOW w AS (PARTITION BY actual, backs)""",
  FROM named WHERE actual = '2-High' AND pred1 > 0.5 GROUP BY 1, 2, 3)""",
         "having_total": "SELECT gameid, playid, defensiveteam, presnaphomescore FROM plays QUALIFY sum(presnaphomescore) OVER (PARTITION BY gameid) > 200",
         "clip_length": _quartiles("formation, actual, match", frames, some),
+        "odds_by_coverage": _hist(
+            "formation, actual, pff_passcoverage", "pred1", 0.0, 1.0, 20,
+            "(SELECT * FROM named WHERE formation IN ('empty open', '3x1 open', '2x2 open', 'trey'))",
+        ),
         "odds_density": _hist("actual, pff_passcoverage", "pred1", 0.0, 1.0, 16, "preds"),
         "play_search": f"""SELECT gameid, playid, clip_id, formation, defensiveteam, season, pred0, frames FROM {frames}
  JOIN (SELECT gameid, playid, defensiveteam, season FROM plays) USING (gameid, playid)
@@ -560,5 +564,6 @@ WHERE event_id >= snap AND (clip IS NULL OR event_id <= clip) GROUP BY 1"""
     out["knn_cv_3d"] = _cv("split2", (*fs, "centerfielders"), fs)
     out["knn_cv_three"] = _cv("split3", (*fs, "wide_width"), (*fs, "wide_width"), "wide_width IS NOT NULL")
     out["decision_grid"] = _grid({"depth_diff": 21, "max_width": 21})
+    out["decision_grid_classes"] = _grid({"depth_diff": 21, "max_width": 21}, "pff_passcoverage")
     out["decision_grid_3d"] = _grid({"depth_diff": 21, "max_width": 21, "centerfielders": 3})
     return {name: decimal_rounding(sql) for name, sql in out.items()}

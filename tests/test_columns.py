@@ -79,3 +79,14 @@ def test_number_texts(spark):
     assert one(spark, c.big_number("n"), n=1234567) == "1,234,567"
     assert one(spark, c.percent("p"), p=0.873) == "87.3%"
     assert one(spark, c.scientific("p"), p=0.01234) == "1.23e-02"
+
+
+def test_written_tables_have_an_owner(spark):
+    from pathlib import Path
+
+    from turfline.functions import lineage
+
+    kept = lineage.cut_lineage(spark.range(5))
+    assert kept.count() == 5
+    folder = Path(lineage._own_folder(spark).removeprefix("file:"))
+    assert any(folder.iterdir())

@@ -368,6 +368,11 @@ def clip_length(w):
     return sc.clip_length(w.preds, _formations(w), tr.play_crop(w.track), named=("nub twins", "flank", "empty open"))
 
 
+@query
+def odds_by_coverage(w):
+    return sc.odds_by_coverage(w.preds, _formations(w))
+
+
 @query
 def odds_density(w):
     return sc.histogram(w.preds, ["actual", "pff_passcoverage"], "pred1", 0.0, 1.0, 16)
@@ -567,6 +572,13 @@ def decision_grid(w):
     return nn.decision_grid(train, {c: range(21) for c in FEATURES}, "hierarchy", 150)
 
 
+@query
+def decision_grid_classes(w):
+    """The grid for all coverages instead of the 0/1 label."""
+    train = _features(w).where(F.col("set") != "test")
+    return nn.decision_grid(train, {c: range(21) for c in FEATURES}, "pff_passcoverage", 150)
+
+
 @query
 def decision_grid_3d(w):
     train = _features(w, centerfield=True).where(F.col("set") != "test")
