@@ -22,8 +22,10 @@ CHOSEN, LEVELS = 2.0, 3
 #: Chance, over all runs, that a pair at the threshold meets even on the deepest paths.
 RECALL = 0.9995
 #: Buckets up to this size are compared whole; beyond, they are split on further tokens, and on the
-#: last level compared block by block.
+#: last level compared in blocks.
 BUCKET = 400
+#: Sets of a block of such a bucket; a task holds their sketches, a megabyte, and compares them in stripes.
+WIDE, STRIPE = 4096, 256
 #: Cells of a set's sketch, and the estimated likeness from which a pair is compared exactly: four
 #: deviations of the estimate below the threshold.
 CELLS, LOOSE = 128, 0.65
@@ -98,15 +100,15 @@ def _grouped(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[t
 
 def _stars(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links from every set to the least set of its component in a small adjacency matrix."""
-    label = np.arange(len(ids))
     order = np.argsort(ids, kind="stable")
     rank = np.empty(len(ids), int)
     rank[order] = np.arange(len(ids))
     label = rank.copy()
-    a, b = np.nonzero(near)
     while True:
         new = label.copy()
-        np.minimum.at(new, a, label[b])
+        for start in range(0, len(ids), STRIPE):
+            rows = slice(start, start + STRIPE)
+            new[rows] = np.minimum(new[rows], np.where(near[rows], label[None], len(ids)).min(1, initial=len(ids)))
         new = np.minimum(new, new[order[new]])
         if (new == label).all():
             break
@@ -120,18 +122,19 @@ def _compare_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     left, right = [], []
     for _, (sid, cells) in _grouped(batches, 1):
         ids = np.asarray(sid)
-        x = np.frombuffer(b"".join(cells.to_pylist()), np.uint16).reshape(len(ids), CELLS)
-        rows = np.arange(len(ids))
-        alike = np.zeros((len(ids), len(ids)), np.int16)
-        empty = np.zeros((len(ids), len(ids)), np.int16)
-        for c in range(CELLS):
-            same = x[:, c][:, None] == x[:, c][None]
-            void = x[:, c] == 65535
-            alike += same
-            if void.any():
-                empty += void[:, None] & void[None]
-        near = alike - empty >= LOOSE * np.maximum(CELLS - empty, 1)
-        near[rows, rows] = False
+        x = np.frombuffer(b"".join(cells.to_pylist()), np.uint16).reshape(len(ids), CELLS).T.copy()
+        void = x == 65535
+        near = np.empty((len(ids), len(ids)), bool)
+        for start in range(0, len(ids), STRIPE):
+            rows = slice(start, start + STRIPE)
+            alike = np.zeros(near[rows].shape, np.int16)
+            empty = np.zeros(near[rows].shape, np.int16)
+            for c in range(CELLS):
+                alike += x[c, rows, None] == x[c][None]
+                if void[c].any():
+                    empty += void[c, rows, None] & void[c][None]
+            near[rows] = alike - empty >= LOOSE * np.maximum(CELLS - empty, 1)
+        np.fill_diagonal(near, False)
         a, b = _stars(ids, near)
         left.append(a)
         right.append(b)
@@ -196,15 +199,15 @@ def _compare_sets(threshold: float):
     return run
 
 
-def _alike():
-    """Whether two sketches are alike, for rows of pairs."""
+def _small_buckets(met: DataFrame) -> DataFrame:
+    """Member lists of the buckets that are compared whole."""
+    return met.where(F.col("n") <= BUCKET).groupBy("path").agg(F.array_sort(F.collect_set("sid")).alias("members")).select("members")
 
-    def of(left, right):
-        x, y = (np.frombuffer(b"".join(c), np.uint16).reshape(-1, CELLS) for c in (left, right))
-        empty = ((x == 65535) & (y == 65535)).sum(1)
-        return [((x == y).sum(1) - empty >= LOOSE * np.maximum(CELLS - empty, 1)).tolist()]
 
-    return of
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets of two sets or more, with the size ``n``."""
+    sizes = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return rows.join(sizes, "path")
 
 
 def _candidates(sets: DataFrame, runs: int) -> DataFrame:
@@ -212,19 +215,17 @@ def _candidates(sets: DataFrame, runs: int) -> DataFrame:
 
     Level by level, sets with a common path are in one bucket. One that is too
     large goes on to the next level: its sets join the buckets of the tokens
-    that they choose there. A bucket that is large on the last level is first
-    compared with its least set; what is alike to it is connected by that, and
-    only the other sets are compared with the whole bucket, in blocks.
+    that they choose there. Buckets that are large on the last level hold near
+    copies of one text or users of one passage; they are compared in pairs of
+    blocks of WIDE sets.
     """
+    cells = sets.select("sid", "cells")
     compared = []
     first = sets.select("sid", F.posexplode(F.slice("chosen", 1, runs)).alias("run", "tokens")).select("sid", "run", F.explode("tokens").alias("token"))
     rows = first.select("sid", "run", F.xxhash64("run", "token").alias("path"))
     for level in range(1, LEVELS + 1):
-        rows = cut_lineage(rows)
-        sized = cut_lineage(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("pivot")).where("n > 1"))
-        met = rows.join(sized, "path")
-        members = met.where(F.col("n") <= BUCKET).groupBy("path").agg(F.array_sort(F.collect_set("sid")).alias("members"))
-        compared.append(members.select("members"))
+        met = _sized(cut_lineage(rows))
+        compared.append(_small_buckets(met))
         large = met.where(F.col("n") > BUCKET)
         if level < LEVELS:
             chosen = sets.select("sid", F.posexplode(F.slice("chosen", level * runs + 1, runs)).alias("run", "tokens"))
@@ -235,21 +236,11 @@ def _candidates(sets: DataFrame, runs: int) -> DataFrame:
         small = small.union(more)
     # Runs find the same groups again and again; each is compared once.
     small = small.where(F.size("members") > 1).distinct().select(F.xxhash64("members").alias("bucket"), F.explode("members").alias("sid"))
-    cells = sets.select("sid", "cells")
-    pivots = sized.where(F.col("n") > BUCKET).join(cells.withColumnRenamed("sid", "pivot"), "pivot").select("path", F.col("cells").alias("p_cells"))
-    paired = large.join(cells, "sid").join(pivots, "path").select("path", "sid", "pivot", "n", "cells", "p_cells")
-    judged = cut_lineage(with_columns(paired, ["cells", "p_cells"], _alike, "near boolean").drop("cells", "p_cells"))
-    stars = judged.where("near and sid != pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
-    far = judged.where("not near")
-    others = far.groupBy("path").agg(F.ceil(F.count(F.lit(1)) / BUCKET).cast("int").alias("far_blocks"))
-    spread = judged.join(others, "path").withColumn("blocks", F.ceil(F.col("n") / BUCKET).cast("int"))
-    block = lambda salt, n: F.pmod(F.xxhash64("sid", F.lit(salt)), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    one = spread.where("not near").select("path", "sid", block(6, "far_blocks").alias("i"), every("blocks").alias("j"))
-    two = spread.select("path", "sid", every("far_blocks").alias("i"), block(7, "blocks").alias("j"))
-    crossed = one.union(two).distinct().select(F.xxhash64("path", "i", "j").alias("bucket"), "sid")
-    sketched = small.union(crossed).join(cells, "sid").select("bucket", "sid", "cells")
-    return sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare_sketches, "a long, b long").union(stars)
+    n_blocks = F.ceil(F.col("n") / WIDE).cast("int")
+    spread = large.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(6)), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    wide = spread.select(F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")).alias("bucket"), "sid")
+    sketched = small.union(wide).join(cells, "sid").select("bucket", "sid", "cells")
+    return sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare_sketches, "a long, b long")
 
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
