@@ -49,6 +49,7 @@ def test_jaccard_large_buckets_and_blocks(spark, monkeypatch):
     """Near copies of one text, more than a bucket and a block hold: no link is lost, at any depth."""
     monkeypatch.setattr(chosen_path, "BUCKET", 20)
     monkeypatch.setattr(chosen_path, "BLOCK", 16)
+    monkeypatch.setattr(chosen_path, "WIDE", 32)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(300)]
     texts = []
