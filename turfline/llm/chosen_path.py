@@ -58,11 +58,13 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """One-permutation min-wise sketch: 16 bits per cell, 65535 where it is empty."""
+    out = np.full(CELLS, 65535, np.uint16)
+    if not len(tokens):
+        return out
     h = rolling.mix(tokens ^ np.uint64(0x5DEECE66D))
     order = np.sort(((h & np.uint64(CELLS - 1)) << np.uint64(57)) | (h >> np.uint64(7)))
     cell = (order >> np.uint64(57)).astype(int)
     first = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
-    out = np.full(CELLS, 65535, np.uint16)
     out[cell[first]] = ((order[first] & np.uint64(0xFFFFFFFF)) % np.uint64(65535)).astype(np.uint16)
     return out
 
@@ -251,7 +253,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     the documents connected by links. Documents with equal sets are one set
     with a weight, so copies are never expanded. A text shorter than ``words``
     words has one n-gram of all its words; null, empty and white texts have
-    none, link to nothing and are classes of their own (null keys: null class).
+    none, link to nothing and are classes of their own. A text that only rows
+    without a key have is linked to nothing but its copies, and its class is null.
 
     Sets are split along chosen paths (``_candidates``), the sets of a bucket are
     compared by sketches, and groups of sets that sketches connect are compared
