@@ -10,7 +10,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turfline.functions.lineage import cut_lineage
 from turfline.llm.common import flat_rows, table, with_columns
+from turfline.llm.sample import by_hash
 from turfline.llm.spans import SPANS, apart, as_rows, joined, of_kind
 
 KINDS = ("email", "ip", "card", "phone")
@@ -264,7 +266,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     h = F.xxhash64(F.col(key), F.lit(8))
     rows = docs.select(h.alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
     found = flat_rows(rows, ["h", "t"], listed, "h long, i int, s string, spans array<string>")
-    picked = found.orderBy("h", "i", "s").limit(sample).collect()
+    picked = by_hash(cut_lineage(found), "h", sample).collect()
     data = []
     for r in picked:
         spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans)]
