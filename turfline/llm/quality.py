@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.llm.common import remainder, table, with_columns
+from turfline.llm.sample import by_hash
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "letter_share", "upper_share", "digit_share", "space_share", "mark_share", "symbol_share",
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     Without labelled rows every score is 0.5.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.min(label).cast("int").alias("y"))
-    picked = marked.orderBy(F.xxhash64("k", F.lit(3)), "k").limit(sample_rows)
+    picked = by_hash(marked, "k", sample_rows)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(picked), "k")
     found = add_statistics(rows, "t").select("k", "y", "stats.*").limit(4 * sample_rows).collect()
     found = sorted(tuple(r) for r in found)
