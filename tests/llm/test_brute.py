@@ -204,6 +204,19 @@ def test_nearest(spark, small):
     assert hits >= 0.9 * 10 * sum(ids % 10 == 0)
 
 
+@pytest.mark.parametrize("norm", [3, 6])
+def test_nearest_far_queries(spark, norm):
+    rng = np.random.default_rng(norm)
+    v = rng.standard_normal((5000, 64))
+    v[:100] *= norm
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nearest.search(df, df.where("vec_id < 100")).collect():
+        got[r.query_id].add(r.vec_id)
+    assert all(len(got[i]) == 10 for i in range(100))
+    assert sum(len(got[i] & {j for j, _ in exact(np.arange(5000), v, i)}) for i in range(100)) >= 950
+
+
 def test_nearest_ties_and_bad_vectors(spark):
     one, zero = [1.0, 0.0], [0.0, 0.0]
     rows = [(i, one) for i in range(30)] + [(30, [1.0, 1.0]), (31, zero), (32, None), (33, [float("nan"), 1.0]), (34, [None, 1.0]), (35, [float("inf"), 0.0]), (None, one)]

@@ -6,6 +6,7 @@ import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ BLOCK_ROWS = 4000
 QUERY_ROWS = 2000
 #: Buckets per table that the first pass probes.
 FIRST_PROBES = 8
+#: In place of a table, for queries that are compared with all rows.
+ALL = -1
 
 
 @dataclass
@@ -156,7 +159,10 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     searched once. A first pass probes the likeliest buckets and
     so finds a distance for every query; the second probes, in order of
     success, until a neighbour at that distance is met with the chance
-    ``recall`` over all tables. Candidates of all tables are merged and ranked
+    ``recall`` over all tables. Queries far from the rest, which would probe
+    more buckets than a table has, or for which the second pass found too few
+    rows within the distance it was sized for, are compared with all rows.
+    Candidates of all passes are merged and ranked
     by their distance on the original vectors; equal distances go to the
     smaller key. A query never finds its own key. Vectors that are null or
     zero, or hold null or non-finite components, take no part, nor do rows
@@ -189,6 +195,8 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     blocks = cut_lineage(blocks)
     rows = coded.join(blocks, ["table", "code"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), "blocks").cast("int")).select("key", "vector", "table", "code", "block")
 
+    most = blocks.groupBy("table").count().agg(F.max("count")).first()[0] or 0
+
     def probing(wanted: float, least: int):
         def make():
             def of(keys, given, distances, limits):
@@ -196,10 +204,17 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
                 if keys:
                     at = shared.value.place(np.array(given, float))
                     for key_, v, d, limit, places in zip(keys, given, distances, limits, at):
+                        listed = []
                         for t, p in enumerate(places):
-                            for bins in shared.value.probes(p, d, wanted, least):
-                                for o, x in zip(out, (key_, v, limit, t, _code(bins))):
-                                    o.append(x)
+                            found = list(islice(shared.value.probes(p, d, wanted, least), max(most, least) + 1))
+                            if len(found) > max(most, least):
+                                # Probing would visit more buckets than there are.
+                                listed = [(ALL, "")]
+                                break
+                            listed += [(t, _code(bins)) for bins in found]
+                        for t, code in listed:
+                            for o, x in zip(out, (key_, v, limit, t, code)):
+                                o.append(x)
                 return out
 
             return of
@@ -208,7 +223,8 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
 
     def probe(points: DataFrame, wanted: float, least: int) -> DataFrame:
         listed = flat_rows(points, ["key", "vector", "distance", "limit"], probing(wanted, least), "query long, q_vector array<double>, limit double, table int, code string")
-        spread = listed.join(blocks, ["table", "code"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        spread = listed.join(blocks, ["table", "code"], "left").where(F.col("blocks").isNotNull() | (F.col("table") == ALL))
+        spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         return cut_lineage(spread.select("query", "q_vector", "limit", "table", "code", "block"))
 
     width = float(shared.value.width)
@@ -216,15 +232,30 @@ def search(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     any_ = F.lit(float("inf"))
     first = cut_lineage(_search(rows, probe(distinct.withColumns({"distance": F.lit(width / 4), "limit": any_}), 0.0, FIRST_PROBES), k + 1))
     reach = _best(first, k + 1).groupBy("query").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n"))
-    # A query that met too few rows has no distance yet; the spread of the data is far enough for any.
-    # Otherwise its rows are at most that far, and the second pass gives no others.
+    # A query that met too few rows has no distance yet; the second pass tries that of two typical rows, and
+    # is checked. Otherwise its rows are at most that far, and the second pass gives no others.
     full = F.coalesce(F.col("n"), F.lit(0)) > k
     known = distinct.join(reach, distinct["key"] == reach["query"], "left").select(
         "key", "vector", F.when(full, F.col("far")).otherwise(spread).alias("distance"), F.when(full, F.col("far")).otherwise(any_).alias("limit")
     )
+    known = cut_lineage(known)
     wanted = 1 - (1 - recall) ** (1 / tables)
-    second = _search(rows, probe(known, wanted, 2), k + 1)
-    best = _best(first.union(second).groupBy("query", "found").agg(F.min("score").alias("score")), k + 1)
+    probed = probe(known, wanted, 2)
+    second = _search(rows, probed.where(F.col("table") != ALL), k + 1)
+    found = cut_lineage(first.union(second).groupBy("query", "found").agg(F.min("score").alias("score")))
+    # Not covered: queries that were not probed, or have fewer rows than asked for within the distance of their probes.
+    met = _best(found, k + 1).groupBy("query").agg(F.max("score").alias("far"), F.count(F.lit(1)).alias("n"))
+    whole = probed.where(F.col("table") == ALL).select("query", F.lit(True).alias("whole")).distinct()
+    short = (F.coalesce(F.col("n"), F.lit(0)) <= k) | (F.col("far") > F.col("distance"))
+    left = known.withColumnRenamed("key", "query").join(met, "query", "left").join(whole, "query", "left").where(short | F.col("whole"))
+    left = cut_lineage(left.select("query", F.col("vector").alias("q_vector"), F.when(F.col("n") > k, F.col("far")).otherwise(any_).alias("limit")))
+    if not left.isEmpty():
+        pieces = math.ceil(n / BLOCK_ROWS)
+        everything = entries.select("key", "vector", F.lit(ALL).alias("table"), F.lit("").alias("code"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(pieces)).cast("int").alias("block"))
+        asking = left.select("*", F.lit(ALL).alias("table"), F.lit("").alias("code"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("block"))
+        third = _search(everything, asking, k + 1)
+        found = found.union(third).groupBy("query", "found").agg(F.min("score").alias("score"))
+    best = _best(found, k + 1)
     named = entries.select(F.col("key").alias("found"), "keys")
     answers = asked.join(best.select("query", "found", "score"), "query").join(named, "found").select("query_id", "score", F.explode("keys").alias("vec_id"))
     answers = answers.where(F.col("vec_id") != F.col("query_id"))
