@@ -397,6 +397,21 @@ def test_secret_model_adds_forms(spark):
     assert got[1001].spans == []
 
 
+def test_samples_are_full_beside_a_long_document(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    hexes = lambda n: " ".join("".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(n))
+    df = spark.createDataFrame([(0, hexes(4000))] + [(i, hexes(1)) for i in range(1, 300)], "doc_id long, text string")
+    picked = []
+    infer = credentials.infer
+    monkeypatch.setattr(credentials, "infer", lambda strings: picked.append(len(strings)) or infer(strings))
+    assert "hex" in credentials.fit(df, strings=50).automata
+    assert 50 in picked
+    numbers = [(0, " ".join(f"word {n}" for n in range(10_000, 14_000)))] + [(i, f"word {20_000 + i}") for i in range(1, 100)]
+    monkeypatch.setattr(private, "fit_weights", picked.append)
+    private.fit(spark.createDataFrame(numbers, "doc_id long, text string"), sample=50)
+    assert len(picked[-1]) == 50
+
+
 def test_language(spark, small, docs):
     got = result(language.op10_language_id(spark, small))
     held = [(got[i].lang_pred, lang) for i, _, lang, _ in docs if got[i].held_out]

@@ -242,31 +242,31 @@ def _gold(text: str, run: list[tuple[int, int]], spans: list) -> list[tuple[int,
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE_SEQUENCES) -> SpanModel:
-    """Fit on at most ``sample`` word sequences, chosen by a hash; the base spans of their texts label them.
+    """Fit on at most ``sample`` distinct word sequences, chosen by their hash; the base spans of their texts label them.
 
-    Sequences of more than SAMPLE_WORDS words are not learned from.
+    Sequences of more than SAMPLE_WORDS words are not learned from. ``key`` no
+    longer matters to the sample.
     """
 
     def listed():
-        def of(hashes, texts):
-            out = ([], [], [], [])
-            for h, t in zip(hashes, texts):
+        def of(texts):
+            out = ([], [])
+            for t in texts:
                 runs = [r for r in sequences(t or "") if len(r) <= SAMPLE_WORDS]
                 spans = base_spans(t) if runs else []
-                for i, run in enumerate(runs):
+                for run in runs:
                     a, b = max(0, run[0][0] - 24), run[-1][1]
                     if b - a <= 2000:
                         near = [f"{s[0]}:{s[1] - a}:{s[2] - a}" for s in spans if s[1] < b and s[2] > run[0][0]]
-                        for o, x in zip(out, (h, i, t[a:b], near)):
+                        for o, x in zip(out, (t[a:b], near)):
                             o.append(x)
             return out
 
         return of
 
-    h = F.xxhash64(F.col(key), F.lit(8))
-    rows = docs.select(h.alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    found = flat_rows(rows, ["h", "t"], listed, "h long, i int, s string, spans array<string>")
-    picked = by_hash(cut_lineage(found), "h", sample).collect()
+    rows = docs.select(F.col(text).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    found = flat_rows(rows, ["t"], listed, "s string, spans array<string>").distinct()
+    picked = by_hash(cut_lineage(found), ["s", "spans"], sample).collect()
     data = []
     for r in picked:
         spans = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans)]
