@@ -397,6 +397,20 @@ def test_secret_model_adds_forms(spark):
     assert got[1001].spans == []
 
 
+def test_secrets_inside_runs(spark):
+    """A key after a name, in a path and before a full stop."""
+    rng = np.random.default_rng(10)
+    key = lambda: "".join(rng.choice(list("0123456789ABCDEFGHIJKLMNOP"), 12))
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), 18))
+    prose = lambda: " ".join(word() for _ in range(30))
+    hidden = {1000 + i: (before, key(), after) for i, (before, after) in enumerate([("AUTH=", ""), ("path/", ""), ("", "."), ("name-", "")])}
+    rows = [(i, f"{prose()} token={key()} {prose()}") for i in range(150)] + [(i, f"{prose()} {''.join(h)} {prose()}") for i, h in hidden.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = result(credentials.find(df, credentials.fit(df)))
+    for i, text in rows[150:]:
+        assert [(s.kind, text[s.start : s.end]) for s in got[i].spans] == [("like_assign", hidden[i][1])]
+
+
 def test_samples_are_full_beside_a_long_document(spark, monkeypatch):
     rng = np.random.default_rng(9)
     hexes = lambda n: " ".join("".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(n))
