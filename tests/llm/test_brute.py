@@ -411,6 +411,19 @@ def test_secrets_inside_runs(spark):
         assert [(s.kind, text[s.start : s.end]) for s in got[i].spans] == [("like_assign", hidden[i][1])]
 
 
+def test_secret_thresholds_cover_all_rows(spark):
+    """Identifiers of one source, in documents that the fit does not sample, raise the threshold."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(11)
+    key = lambda: "".join(rng.choice(list("0123456789ABCDEFGHIJKLMNOP"), 12))
+    word = lambda: "".join(rng.choice(list("etaoinshrdlu"), 18))
+    rows = [(i, f"{word()} token={key()} {word()}") for i in range(150)] + [(i, f"{word()} {key()} {word()}") for i in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").where((F.col("doc_id") < 150) | (F.xxhash64("doc_id", F.lit(9)) % 50 != 0))
+    got = credentials.find(df, credentials.fit(df)).where("doc_id >= 1000 and size(spans) > 0")
+    assert got.count() <= 12
+
+
 def test_samples_are_full_beside_a_long_document(spark, monkeypatch):
     rng = np.random.default_rng(9)
     hexes = lambda n: " ".join("".join(rng.choice(list("0123456789abcdef"), 32)) for _ in range(n))
