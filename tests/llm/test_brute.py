@@ -45,6 +45,18 @@ def test_jaccard(spark, small, docs):
     assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (root[i], links[i]) for i in sets}
 
 
+def test_keep_one_without_ids(spark):
+    rng = np.random.default_rng(12)
+    prose = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(80))
+    a, b, c = prose(), prose(), prose()
+    rows = [(1, a), (None, a), (None, a + " end"), (None, b), (None, b), (None, b + " end"), (None, c), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text[:20]) for r in chosen_path.keep_one(spark, df, "").collect())
+    assert got == Counter([(1, a[:20]), (None, b[:20]), (None, c[:20]), (None, ""), (None, "")])
+    links = Counter((r.class_id, r.n_links) for r in chosen_path.join(df).collect())
+    assert links == Counter([(1, 2)] * 3 + [(None, 2)] * 3 + [(None, 0)] * 3)
+
+
 def test_jaccard_large_buckets_and_blocks(spark, monkeypatch):
     """Near copies of one text, more than a bucket and a block hold: no link is lost, at any depth."""
     monkeypatch.setattr(chosen_path, "BUCKET", 20)

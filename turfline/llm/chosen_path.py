@@ -253,14 +253,19 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     the documents connected by links. Documents with equal sets are one set
     with a weight, so copies are never expanded. A text shorter than ``words``
     words has one n-gram of all its words; null, empty and white texts have
-    none, link to nothing and are classes of their own. A text that only rows
-    without a key have is linked to nothing but its copies, and its class is null.
+    none, link to nothing and are classes of their own. Rows without a key are
+    linked like others; the class of documents that all lack it is null.
 
     Sets are split along chosen paths (``_candidates``), the sets of a bucket are
     compared by sketches, and groups of sets that sketches connect are compared
     exactly, in blocks. No pair is written: a block gives the number of links
     of each set and a star that connects the linked ones.
     """
+    return _linked(docs, text, key, words, threshold).select(F.col("k").alias(key), "class_id", "n_links")
+
+
+def _linked(docs: DataFrame, text: str, key: str, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``join``: ``k``, ``th`` (hash of the text), ``class_id``, ``n_links`` and ``root``, the class by number (null for empty sets)."""
     runs = n_runs(threshold)
 
     def described():
@@ -278,15 +283,15 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
         return of
 
-    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    slim = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("th"))
     rows = with_columns(slim, ["t"], described, "content array<long>, size int, cells binary, chosen array<array<long>>")
     rows = cut_lineage(rows.drop("t").withColumns({"c0": F.col("content")[0], "c1": F.col("content")[1]}).drop("content"))
     full = rows.where("size > 0")
-    groups = full.groupBy("c0", "c1").agg(F.min("k").alias("first"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("cells", "chosen")).alias("s"))
-    sets = cut_lineage(groups.select(F.monotonically_increasing_id().alias("sid"), "c0", "c1", "first", "copies", "s.*"))
+    groups = full.groupBy("c0", "c1").agg(F.min(F.struct(F.col("k").isNull().alias("no"), "k", "th")).alias("f"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("cells", "chosen")).alias("s"))
+    sets = cut_lineage(groups.select(F.monotonically_increasing_id().alias("sid"), "c0", "c1", F.col("f.k").alias("first"), "f.th", "copies", "s.*"))
     groups = components(cut_lineage(_candidates(sets, runs).distinct()))
     # The sets themselves, of the sets that are in a group only: from the text of their first document.
-    wanted = sets.join(groups, F.col("sid") == F.col("node")).select("sid", "c0", "c1", "copies", "root", F.col("first").alias("k"))
+    wanted = sets.join(groups, F.col("sid") == F.col("node")).select("sid", "c0", "c1", "copies", "root", F.col("first").alias("k"), "th")
     wanted = cut_lineage(wanted)
 
     def tokens_of():
@@ -297,10 +302,13 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
 
         return of
 
-    texts = slim.join(wanted.select("k").distinct(), "k", "left_semi")
-    listed = with_columns(texts, ["t"], tokens_of, "c0 long, c1 long, tokens binary").drop("t").dropDuplicates(["k", "c0", "c1"])
+    # Rows without a key are found by their text's hash; a text among them is read once.
+    keyed = slim.join(wanted.where("k is not null").select("k", "th").distinct(), ["k", "th"], "left_semi")
+    others = slim.where("k is null").join(wanted.where("k is null").select("th").distinct(), "th", "left_semi")
+    texts = keyed.select("t").union(others.select("t").distinct())
+    listed = with_columns(texts, ["t"], tokens_of, "c0 long, c1 long, tokens binary").drop("t").dropDuplicates(["c0", "c1"])
     sized = wanted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = wanted.join(sized, "root").join(listed, ["k", "c0", "c1"])
+    placed = wanted.join(sized, "root").join(listed, ["c0", "c1"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(6)), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     side = F.when(low == high, F.lit(0)).otherwise((F.col("block") == high).cast("int"))
@@ -311,10 +319,9 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     joined = components(exact.where("sid != root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
     named = sets.join(joined, F.col("sid") == F.col("node"), "left").select("sid", "c0", "c1", "first", "copies", F.coalesce("root", "sid").alias("root"))
     least = named.groupBy("root").agg(F.min("first").alias("class_id"))
-    classes = named.join(least, "root").join(counted, "sid", "left").select("c0", "c1", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
-    empty = rows.where("size = 0").select("k", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    found = full.select("k", "c0", "c1").join(classes, ["c0", "c1"]).select("k", "class_id", "n_links")
-    return found.union(empty).withColumnRenamed("k", key)
+    classes = named.join(least, "root").join(counted, "sid", "left").select("c0", "c1", "root", "class_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    empty = rows.where("size = 0").select("k", "th", F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("root"))
+    return full.select("k", "th", "c0", "c1").join(classes, ["c0", "c1"]).select("k", "th", "class_id", "n_links", "root").union(empty)
 
 
 def _content(tokens: np.ndarray) -> np.ndarray:
@@ -330,10 +337,19 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every class of near-duplicates the document with the least id stays, one row of it."""
-    found = join(docs.select("doc_id", "text"))
-    kept = found.where(F.col("class_id").isNull() | (F.col("doc_id") == F.col("class_id"))).select("doc_id").distinct()
+    """Pipeline stage: of every class of near-duplicates the document with the least id stays, one row of it.
+
+    Of a class without any id one row stays; rows without id and words are classes of their own.
+    """
+    found = cut_lineage(_linked(docs.select("doc_id", "text"), "text", "doc_id"))
+    kept = found.where(F.col("k") == F.col("class_id")).select(F.col("k").alias("doc_id")).distinct()
     # Rows that repeat the id and the text of a kept document are copies too.
     again = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns)))
-    out = docs.join(kept.withColumnRenamed("doc_id", "__k"), F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi")
-    return out.withColumn("__n", again).where((F.col("__n") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    named = docs.join(kept, "doc_id", "left_semi")
+    lone = found.where(F.col("k").isNull() & F.col("class_id").isNull())
+    one = lone.where("root is not null").groupBy("root").agg(F.min("th").alias("__th")).select("__th")
+    bare = docs.where(F.col("doc_id").isNull()).withColumn("__th", F.xxhash64("text"))
+    single = bare.join(one, "__th", "left_semi").select(*docs.columns)
+    empty = bare.join(lone.where("root is null").select(F.col("th").alias("__th")).distinct(), "__th", "left_semi").select(*docs.columns)
+    out = named.select(*docs.columns).union(single).withColumn("__n", again).where("__n = 1").select(*docs.columns)
+    return out.union(empty)
