@@ -45,6 +45,10 @@ def test_jaccard(spark, small, docs):
     assert {i: (r.class_id, r.n_links) for i, r in got.items()} == {i: (root[i], links[i]) for i in sets}
 
 
+def test_runs_cover_nested_sets():
+    assert (1 - (1 - np.exp(-2 * 0.8)) ** 3) ** chosen_path.n_runs() <= 0.0005
+
+
 def test_keep_one_without_ids(spark):
     rng = np.random.default_rng(12)
     prose = lambda: " ".join("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(80))

@@ -37,8 +37,8 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 def n_runs(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """Runs until a pair at the threshold is missed with less than 1 - ``recall``, path of full depth."""
-    # Of equally large sets at Jaccard t, a share 2t / (1 + t) of the tokens is common.
-    meet = (1 - math.exp(-CHOSEN * 2 * threshold / (1 + threshold))) ** LEVELS
+    # Fewest choices are common if one set contains the other: at Jaccard t, a share t of the larger.
+    meet = (1 - math.exp(-CHOSEN * threshold)) ** LEVELS
     return math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
