@@ -471,6 +471,10 @@ FROM depths WHERE depth_rk >= 5 GROUP BY 1, 2""",
         "random_play_depths": """SELECT gameid, playid, nflid, depth, width, depth_rk FROM depths
 QUALIFY dense_rank() OVER (ORDER BY md5(concat_ws('|', gameid, playid, 15))) = 1""",
         "alignment_by_play": "SELECT * FROM align",
+        "alignment_sides": """SELECT gameid, playid, count(*) FILTER (alignment = 'left') AS left, count(*) FILTER (alignment = 'middle') AS middle,
+ count(*) FILTER (alignment = 'right') AS right, round(sum(abs(width)) FILTER (alignment = 'left'), 3) AS left_reach,
+ round(sum(abs(width)) FILTER (alignment = 'right'), 3) AS right_reach, count(*) FILTER (backfield) AS backs, round(sum(depth), 3) AS depth
+FROM align GROUP BY 1, 2""",
         "formation_by_play": "SELECT * FROM forms",
         "formation_frequency": """SELECT *, CAST(n AS DOUBLE) / sum(n) OVER () AS pct,
  CAST(sum(n) OVER (ORDER BY n DESC, backs, core, bunch, formation ROWS UNBOUNDED PRECEDING) AS DOUBLE) / sum(n) OVER () AS cumu_pct

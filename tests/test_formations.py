@@ -72,3 +72,30 @@ def test_one_shuffle_serves_all_windows(spark):
     df = play(spark, [("WR", 10, False)] * 5)
     plan = fm.formation_by_play(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def broadcasts(df):
+    """The subtrees below every broadcast of a plan, as text."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-*0123456789()")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_frames_are_never_broadcast(warehouse):
+    from turfline.plans import pipelines as pp
+
+    w = warehouse
+    plans = [pp.alignments(w.track, w.plays, w.players), pp.formations(w.track, w.plays, w.players), pp.defender_positions(w.track, w.plays)]
+    for df in plans:
+        found = list(broadcasts(df))
+        assert not [b for b in found if "l_linenumber" in b]
+    assert list(broadcasts(plans[0]))  # the per-play table is
+
+
+def test_sides_of_a_play(spark, rows):
+    spec = [("WR", -10, False), ("WR", -4, False), ("TE", 3, False), ("QB", 0, True)]
+    got = fm.alignment_sides(play(spark, spec))
+    assert rows(got, "left", "middle", "right", "left_reach", "right_reach", "backs", "depth") == [(2, 1, 1, 14.0, 3.0, 1, 7.0)]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import avg_rank, if_else, share
+from turfline.functions.lineage import cut_lineage
 from turfline.functions.skew import attach
 from turfline.operators.tracking import BALL, PLAY, orient_coords
 
@@ -50,11 +51,11 @@ def alignment_by_play(
     if snaps is None:
         snaps = snap_places(track, keys=keys, frame=frame)
     facts = plays.select(*keys, "defensiveteam", "yardstogo", "season")
-    per_play = snaps.join(facts, keys, "left")
+    # Written, so that the planner knows how small it is.
+    per_play = cut_lineage(snaps.join(facts, keys, "left"))
     narrow = track.select(*keys, frame, "nflid", "team", "playdirection", "x", "y").where(F.col("team") != BALL)
     offence = (
-        attach(narrow, per_play, [*keys, frame], [])
-        .where(F.col("team") != F.col("defensiveteam"))
+        attach(narrow, per_play, [*keys, frame], [], only=F.col("team") != F.col("defensiveteam"))
         .join(players.select("nflid", "season", "position"), ["nflid", "season"], "left")
     )
     placed = orient_coords(offence).withColumns(
@@ -77,6 +78,18 @@ def alignment_by_play(
     )
 
 
+def alignment_sides(alignment: DataFrame, keys: Sequence[str] = PLAY) -> DataFrame:
+    """One row per play: players on each side of the ball and behind it, and how far out they stand in all."""
+    def here(side):
+        return F.col("alignment") == side
+
+    counts = [F.count(F.when(here(s), 1)).alias(s) for s in ("left", "middle", "right")]
+    reach = [F.sum(F.when(here(s), F.abs("width"))).alias(f"{s}_reach") for s in ("left", "right")]
+    return alignment.groupBy(*keys).agg(
+        *counts, *reach, F.count(F.when(F.col("backfield"), 1)).alias("backs"), F.sum("depth").alias("depth")
+    )
+
+
 def formation_by_play(
     alignment: DataFrame,
     gap: float = 2.5,

@@ -78,7 +78,7 @@ def clip_frames(
     """
     bounds = crop.where(F.col("snap").isNotNull())
     within = (F.col(frame) >= F.col("snap")) & (F.col("clip").isNull() | (F.col(frame) <= F.col("clip")))
-    return attach(track, bounds, keys, [frame], hot_rows=hot_rows).where(within)
+    return attach(track, bounds, keys, [frame], hot_rows=hot_rows, only=within)
 
 
 def orient_coords(
@@ -159,7 +159,7 @@ def mean_positions(
     defends = within & (F.col("team") == F.col("defensiveteam"))
     spotted = (F.col("team") == BALL) & (F.col(frame) == F.col("snap"))
     wanted = defends if spots is not None else defends | spotted
-    frames = attach(narrow, per_play, keys, [frame, "nflid"], hot_rows=hot_rows).where(wanted)
+    frames = attach(narrow, per_play, keys, [frame, "nflid"], hot_rows=hot_rows, only=wanted)
     place = F.when(spotted, F.struct(F.col("x").alias("spot_x"), F.col("y").alias("spot_y")))
     who = [*keys, "nflid", "jerseynumber"]
     right = F.col("playdirection") == "right"

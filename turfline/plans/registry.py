@@ -303,6 +303,13 @@ def alignment_by_play(w):
     return pp.alignments(w.track, w.plays, w.players)
 
 
+@query
+def alignment_sides(w):
+    """Counts and sums of the alignment, one row per play."""
+    cols = ("left_reach", "right_reach", "depth")
+    return rounded(fm.alignment_sides(pp.alignments(w.track, w.plays, w.players)), *cols, digits=3)
+
+
 @query
 def formation_by_play(w):
     return _formations(w)
