@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from turfline.llm import chosen_path, credentials, imatch, language, mixing, nearest, pieces, private, quality, suffixes
+from turfline.llm import chosen_path, credentials, imatch, language, merkle, mixing, nearest, oracles, pieces, private, quality, suffixes
 
 
 def queries() -> dict[str, Callable]:
@@ -19,9 +19,10 @@ def queries() -> dict[str, Callable]:
         "op8_private": private.op8_private,
         "op9_secrets": credentials.op9_secrets,
         "op10_language_id": language.op10_language_id,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: trained models, tokenizers and Spark's hashes have no SQL form; tests compare with brute force."""
-    return {}
+    """The others need trained models, tokenizers or Spark's hashes; tests compare them with brute force."""
+    return {"op11_merkle": oracles.merkle_sql()}
