@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from turfline.llm import chosen_path, credentials, imatch, language, merkle, mixing, nearest, oracles, pieces, private, quality, suffixes
+from turfline.llm import chosen_path, credentials, imatch, language, merkle, metric_tree, mixing, nearest, oracles, pieces, private, quality, suffixes
 
 
 def queries() -> dict[str, Callable]:
@@ -20,9 +20,10 @@ def queries() -> dict[str, Callable]:
         "op9_secrets": credentials.op9_secrets,
         "op10_language_id": language.op10_language_id,
         "op11_merkle": merkle.op11_merkle,
+        "op12_top_products": metric_tree.op12_top_products,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others need trained models, tokenizers or Spark's hashes; tests compare them with brute force."""
-    return {"op11_merkle": oracles.merkle_sql()}
+    return {"op11_merkle": oracles.merkle_sql(), "op12_top_products": oracles.products_sql()}

@@ -66,3 +66,13 @@ def merkle_sql() -> str:
     last = f"""SELECT doc_id, leaf, subroot, s{SOURCE_LEVELS}.h AS root, proof_sha256, d AS folded_root, d = s{SOURCE_LEVELS}.h AS verified
 FROM ({folded}), s{SOURCE_LEVELS}"""
     return f"WITH {', '.join(parts)} {last}"
+
+
+def products_sql() -> str:
+    """Whole-number products of every fiftieth vector with all others; doubles hold them exactly."""
+    return """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+ FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM pairs
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5"""
