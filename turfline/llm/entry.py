@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from turfline.llm import chosen_path, credentials, imatch, language, merkle, metric_tree, mixing, nearest, oracles, pieces, private, quality, suffixes
+from turfline.llm import align, chosen_path, credentials, imatch, language, merkle, metric_tree, mixing, nearest, oracles, pieces, private, quality, suffixes
 
 
 def queries() -> dict[str, Callable]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable]:
         "op10_language_id": language.op10_language_id,
         "op11_merkle": merkle.op11_merkle,
         "op12_top_products": metric_tree.op12_top_products,
+        "op13_align": align.op13_align,
     }
 
 
