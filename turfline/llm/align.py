@@ -3,7 +3,11 @@
 Each tokenizer gives cumulative byte ends. Dictionaries from end to token index
 are intersected as hash sets; the sorted common ends slice both id lists into
 the smallest groups that cover the same bytes, and the links, pairs of tokens
-whose bytes overlap, are expanded inside each slice.
+whose bytes overlap, are expanded inside each slice. A blank between two other
+characters always starts a token in both, so the text is cut there into words;
+a word's groups and links do not depend on its neighbours, and a bounded table
+in each task keeps those of words seen before. Tokenizers without that property
+align the text in one piece.
 
 A link's weight is how often its pair of ids is linked in the whole corpus.
 Pairs are counted by a partial aggregate. Those with at least one in
@@ -21,10 +25,12 @@ result. Columns with the name of a result are replaced.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
-from itertools import accumulate, count
+from itertools import accumulate, chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +41,7 @@ from pyspark.sql import types as T
 
 from turfline.functions.lineage import cut_lineage
 from turfline.llm.common import table
+from turfline.llm.pieces import separable
 
 BYTE_LEVEL = "byte_bpe_50k.json"
 PIECES = "piece_bpe_32k.model"
@@ -42,7 +49,12 @@ MARK = "▁"
 #: Most pairs that are sent to every task, 16 bytes each; a pair must have this part of all links.
 HOT_SHARE = 200_000
 #: Bytes of text that a task turns into tokens at a time (one longer text is a turn of its own).
-TURN_BYTES = 500_000
+TURN_BYTES = 1_000_000
+#: Words that a task keeps in each of two generations, and characters of the longest one kept; both bound its memory
+#: and leave results alone.
+KEPT_WORDS = 60_000
+KEPT_LENGTH = 48
+_WORDS = re.compile(r"(?<=\S)(?= \S)").split
 
 _DOCUMENT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 _PAIRS = "pair_a array<int>, pair_b array<int>, pair_n array<int>"
@@ -62,15 +74,18 @@ def byte_of_symbol() -> dict[str, int]:
 
 
 class Tokens:
-    """A tokenizer as a function from texts to id lists, and the bytes of each id."""
+    """A tokenizer as a function from texts that start with a blank to id lists, and the bytes of each id.
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], entries: list[bytes]):
-        self.encode, self.entries = encode, entries
+    ``by_word`` tells that a blank between other characters always starts a token.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], entries: list[bytes], by_word: bool):
+        self.encode, self.entries, self.by_word = encode, entries, by_word
         self.lengths = [len(e) for e in entries]
 
 
 def byte_level(model: str = BYTE_LEVEL) -> Tokens:
-    """Ids of the text after a blank; strings of special tokens are ordinary text."""
+    """Byte-level ids; strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark spreads the work
     from tokenizers import Tokenizer
 
@@ -80,16 +95,18 @@ def byte_level(model: str = BYTE_LEVEL) -> Tokens:
     entries = [b""] * tokenizer.get_vocab_size()
     for token, i in tokenizer.get_vocab().items():
         entries[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+    settings = json.loads(tokenizer.to_str())
+    split = settings["pre_tokenizer"] or {}
+    by_word = settings["normalizer"] is None and split.get("type") == "ByteLevel" and bool(split.get("use_regex", True)) and not split.get("add_prefix_space")
 
     def encode(texts: list[str]) -> list[list[int]]:
-        found = tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Tokens(encode, entries)
+    return Tokens(encode, entries, by_word)
 
 
 def pieces(model: str = PIECES) -> Tokens:
-    """Ids of the text; the library itself puts a blank before it."""
+    """Ids of SentencePiece; the library itself puts the first blank before a text."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_file=_file(model))
@@ -98,24 +115,21 @@ def pieces(model: str = PIECES) -> Tokens:
         piece = processor.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if processor.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    return Tokens(lambda texts: processor.encode(texts, num_threads=1), [entry(i) for i in range(processor.vocab_size())])
+    def encode(texts: list[str]) -> list[list[int]]:
+        return processor.encode([t[1:] for t in texts], num_threads=1)
+
+    return Tokens(encode, [entry(i) for i in range(processor.vocab_size())], separable(processor))
 
 
-def slices(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int, int, int]]:
-    """``(a from, a to, b from, b to)`` of every group: tokens between two ends that both lists have."""
+def cuts(a_ends: Sequence[int], b_ends: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
+    """The ends that both lists have, in order, and the number of tokens of each list up to them."""
     a_at, b_at = dict(zip(a_ends, count(1))), dict(zip(b_ends, count(1)))
     common = sorted(a_at.keys() & b_at.keys())
-    a_cuts, b_cuts = [a_at[e] for e in common], [b_at[e] for e in common]
-    return list(zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts))
+    return common, [a_at[e] for e in common], [b_at[e] for e in common]
 
 
-def linked(a_ends: Sequence[int], b_ends: Sequence[int], group: tuple[int, int, int, int]) -> list[tuple[int, int]]:
-    """Indexes of the tokens of a group whose byte ranges overlap."""
-    a, a_to, b, b_to = group
-    if a_to - a == 1:
-        return [(a, j) for j in range(b, b_to)]
-    if b_to - b == 1:
-        return [(i, b) for i in range(a, a_to)]
+def linked(a_ends: Sequence[int], b_ends: Sequence[int], a: int, a_to: int, b: int, b_to: int) -> list[tuple[int, int]]:
+    """Indexes of the tokens of a group, ``a`` to ``a_to`` and ``b`` to ``b_to``, whose byte ranges overlap."""
     out = []
     while a < a_to and b < b_to:
         out.append((a, b))
@@ -125,18 +139,28 @@ def linked(a_ends: Sequence[int], b_ends: Sequence[int], group: tuple[int, int,
     return out
 
 
-def align_text(a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[str], list[tuple[int, int]]]:
-    """Groups as text ``a1,a2|b1`` and the linked pairs of ids, one for every link."""
-    groups, links = [], []
-    for group in slices(a_ends, b_ends):
-        a, a_to, b, b_to = group
+def align_ids(a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[str], list[int], list[int]]:
+    """Groups as text ``a1,a2|b1``, all links as ``pair`` numbers, and the number of links up to each group."""
+    _, a_cuts, b_cuts = cuts(a_ends, b_ends)
+    groups, links, upto = [], [], []
+    a = b = 0
+    for a_to, b_to in zip(a_cuts, b_cuts):
         if a_to - a == 1 and b_to - b == 1:
-            groups.append(f"{a_ids[a]}|{b_ids[b]}")
-            links.append((a_ids[a], b_ids[b]))
+            i, j = a_ids[a], b_ids[b]
+            groups.append(f"{i}|{j}")
+            links.append((i << 32) | j)
         else:
             groups.append(",".join(map(str, a_ids[a:a_to])) + "|" + ",".join(map(str, b_ids[b:b_to])))
-            links += [(a_ids[i], b_ids[j]) for i, j in linked(a_ends, b_ends, group)]
-    return groups, links
+            if b_to - b == 1:
+                links += [(i << 32) | b_ids[b] for i in a_ids[a:a_to]]
+            elif a_to - a == 1:
+                first = a_ids[a] << 32
+                links += [first | j for j in b_ids[b:b_to]]
+            else:
+                links += [(a_ids[i] << 32) | b_ids[j] for i, j in linked(a_ends, b_ends, a, a_to, b, b_to)]
+        upto.append(len(links))
+        a, b = a_to, b_to
+    return groups, links, upto
 
 
 def _turns(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -169,43 +193,109 @@ def align(
     passed = [c for c in df.columns if c.lower() not in taken]
     staged = df.select(*[F.col(f"`{c}`") for c in passed], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*staged.schema.fields[:-1], *added.fields])
-    numbers, counted = pa.list_(pa.int32()), [f.name for f in added]
+    numbers, counted = pa.int32(), [f.name for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = a(), b()
+        words = Words(a(), b())
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             for start, end in _turns(texts):
-                rows = [_one(*r, keep_groups) for r in _encoded(left, right, texts.slice(start, end - start).to_pylist())]
-                types = [*[pa.int64()] * 4, pa.string(), *[numbers] * 3, *([pa.list_(pa.string())] if keep_groups else [])]
-                new = [pa.array(c, type=t) for c, t in zip(zip(*rows), types)]
+                found = words.align([t or "" for t in texts.slice(start, end - start).to_pylist()])
+                sizes = [len(links) for *_, links in found]
+                pairs = np.fromiter(chain.from_iterable(links for *_, links in found), np.int64, sum(sizes))
+                times = np.fromiter(chain.from_iterable(links.values() for *_, links in found), np.int32, sum(sizes))
+                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                lists = [pa.array(v, type=numbers) for v in ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times)]
+                new = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
+                new.append(pa.array([hashlib.sha256(f[4].encode()).hexdigest() if f[4] else "" for f in found]))
+                new += [pa.ListArray.from_arrays(offsets, v) for v in lists]
+                if keep_groups:
+                    new.append(pa.array([f[4].split(";") if f[4] else [] for f in found], pa.list_(pa.string())))
                 kept = batch.slice(start, end - start).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*kept, *new], names=[*passed, *counted])
 
     return staged.mapInArrow(run, schema)
 
 
-def _encoded(a: Tokens, b: Tokens, texts: list[str | None]) -> Iterator[tuple]:
-    """Ids and ends of every text; empty lists where it is not given back."""
-    found = [t or "" for t in texts]
-    for text, a_ids, b_ids in zip(found, a.encode(found), b.encode(found)):
-        raw = (" " + text).encode()
-        whole = bool(text) and b"".join([a.entries[i] for i in a_ids]) == raw and b"".join([b.entries[i] for i in b_ids]) == raw
-        if whole:
-            yield a_ids, b_ids, list(accumulate([a.lengths[i] for i in a_ids])), list(accumulate([b.lengths[i] for i in b_ids]))
-        else:
-            yield [], [], [], []
-
-
-def _one(a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int], keep_groups: bool) -> tuple:
-    groups, links = align_text(a_ids, b_ids, a_ends, b_ends)
-    sha = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
-    pairs = sorted(Counter(links).items())
-    out = (
-        len(a_ids), len(b_ids), len(groups), len(links), sha,
-        [p[0] for p, _ in pairs], [p[1] for p, _ in pairs], [n for _, n in pairs],
-    )
-    return (*out, groups) if keep_groups else out
+class Words:
+    """Aligns texts word by word; a word gives its numbers of tokens and groups, its groups as text and its links.
+
+    Words seen before are kept in two generations: when the younger one is
+    full, the older one is dropped, so words in use stay.
+    """
+
+    def __init__(self, a: Tokens, b: Tokens):
+        self.a, self.b = a, b
+        self.by_word = a.by_word and b.by_word
+        self.young: dict[str, tuple | None] = {}
+        self.old: dict[str, tuple | None] = {}
+
+    def _encoded(self, texts: list[str]) -> Iterator[tuple | None]:
+        """Ids and ends of texts; None for one that is not given back byte by byte."""
+        a, b = self.a, self.b
+        for text, a_ids, b_ids in zip(texts, a.encode(texts), b.encode(texts)):
+            raw = text.encode()
+            if b"".join([a.entries[i] for i in a_ids]) == raw == b"".join([b.entries[i] for i in b_ids]):
+                yield a_ids, b_ids, list(accumulate([a.lengths[i] for i in a_ids])), list(accumulate([b.lengths[i] for i in b_ids]))
+            else:
+                yield None
+
+    def _alone(self, words: list[str]) -> dict[str, tuple | None]:
+        found = {}
+        for word, ids in zip(words, self._encoded(words)):
+            if ids is None:
+                found[word] = None
+            else:
+                groups, links, _ = align_ids(*ids)
+                found[word] = len(ids[0]), len(ids[1]), len(groups), ";".join(groups), links
+        return found
+
+    def _together(self, words: list[str]) -> dict[str, tuple | None]:
+        """Words that a blank starts and another character ends, encoded as one text and cut at their own ends."""
+        ids = next(self._encoded(["".join(words)]))
+        if ids is None:
+            return self._alone(words)
+        groups, links, upto = align_ids(*ids)
+        common, a_cuts, b_cuts = cuts(ids[2], ids[3])
+        at = dict(zip(common, count()))
+        found, last = {}, (0, 0, 0, 0)
+        for word, end in zip(words, accumulate([len(w.encode()) for w in words])):
+            i = at[end]
+            here = a_cuts[i], b_cuts[i], i + 1, upto[i]
+            found[word] = here[0] - last[0], here[1] - last[1], here[2] - last[2], ";".join(groups[last[2] : here[2]]), links[last[3] : here[3]]
+            last = here
+        return found
+
+    def _known(self, words: set[str]) -> dict[str, tuple | None]:
+        young, old = self.young, self.old
+        known = {w: young[w] if w in young else old[w] for w in words if w in young or w in old}
+        missing = [w for w in words if w not in known]
+        if self.by_word:
+            odd = [w for w in missing if MARK in w or w[-1].isspace()]
+            plain = [w for w in missing if not (MARK in w or w[-1].isspace())]
+            known |= self._alone(odd) if odd else {}
+            known |= self._together(plain) if plain else {}
+        elif missing:
+            known |= self._alone(missing)
+        return known
+
+    def align(self, texts: list[str]) -> list[tuple]:
+        """Numbers of tokens, groups and links, groups as text, and how often each pair is linked, of every text."""
+        cut = [(_WORDS(" " + t) if self.by_word else [" " + t]) if t else [] for t in texts]
+        known = self._known(set(chain.from_iterable(cut)))
+        out = []
+        for words in cut:
+            rows = [known[w] for w in words]
+            if not rows or None in rows:
+                out.append((0, 0, 0, 0, "", {}))
+                continue
+            n_a, n_b, n_groups, groups, links = zip(*rows)
+            counted = Counter(chain.from_iterable(links))
+            out.append((sum(n_a), sum(n_b), sum(n_groups), counted.total(), ";".join(groups), counted))
+        self.young.update((w, r) for w, r in known.items() if len(w) <= KEPT_LENGTH)
+        if len(self.young) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
+        return out
 
 
 def _packed(a, b):
