@@ -28,8 +28,8 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import accumulate, chain, count
 
 import numpy as np
@@ -52,7 +52,7 @@ HOT_SHARE = 200_000
 TURN_BYTES = 1_000_000
 #: Words that a task keeps in each of two generations, and characters of the longest one kept; both bound its memory
 #: and leave results alone.
-KEPT_WORDS = 60_000
+KEPT_WORDS = 100_000
 KEPT_LENGTH = 48
 _WORDS = re.compile(r"(?<=\S)(?= \S)").split
 
@@ -128,39 +128,48 @@ def cuts(a_ends: Sequence[int], b_ends: Sequence[int]) -> tuple[list[int], list[
     return common, [a_at[e] for e in common], [b_at[e] for e in common]
 
 
-def linked(a_ends: Sequence[int], b_ends: Sequence[int], a: int, a_to: int, b: int, b_to: int) -> list[tuple[int, int]]:
-    """Indexes of the tokens of a group, ``a`` to ``a_to`` and ``b`` to ``b_to``, whose byte ranges overlap."""
-    out = []
-    while a < a_to and b < b_to:
-        out.append((a, b))
-        a_end, b_end = a_ends[a], b_ends[b]
-        a += a_end <= b_end
-        b += b_end <= a_end
-    return out
-
-
-def align_ids(a_ids: list[int], b_ids: list[int], a_ends: list[int], b_ends: list[int]) -> tuple[list[str], list[int], list[int]]:
-    """Groups as text ``a1,a2|b1``, all links as ``pair`` numbers, and the number of links up to each group."""
-    _, a_cuts, b_cuts = cuts(a_ends, b_ends)
-    groups, links, upto = [], [], []
-    a = b = 0
-    for a_to, b_to in zip(a_cuts, b_cuts):
-        if a_to - a == 1 and b_to - b == 1:
-            i, j = a_ids[a], b_ids[b]
-            groups.append(f"{i}|{j}")
-            links.append((i << 32) | j)
-        else:
-            groups.append(",".join(map(str, a_ids[a:a_to])) + "|" + ",".join(map(str, b_ids[b:b_to])))
-            if b_to - b == 1:
-                links += [(i << 32) | b_ids[b] for i in a_ids[a:a_to]]
-            elif a_to - a == 1:
-                first = a_ids[a] << 32
-                links += [first | j for j in b_ids[b:b_to]]
-            else:
-                links += [(a_ids[i] << 32) | b_ids[j] for i, j in linked(a_ends, b_ends, a, a_to, b, b_to)]
-        upto.append(len(links))
-        a, b = a_to, b_to
-    return groups, links, upto
+class Labels:
+    """Texts of the ids of both tokenizers with what follows them: ``,`` inside a group, ``|`` and ``;`` at its ends."""
+
+    def __init__(self, n_a: int, n_b: int):
+        self.n_a, self.n_b = n_a, n_b
+        self.texts = [f"{i}{after}" for n, ends in ((n_a, ",|"), (n_b, ",;")) for after in ends for i in range(n)]
+        self.lengths = np.array([len(t) for t in self.texts])
+
+
+@dataclass
+class Alignment:
+    """Per group: its end, tokens of both lists, links and characters of ``text`` up to there."""
+
+    ends: np.ndarray
+    a_upto: np.ndarray
+    b_upto: np.ndarray
+    links_upto: np.ndarray
+    chars_upto: np.ndarray
+    text: str  # ``a1,a2|b1;a3|b2;``
+    links: np.ndarray  # linked ids as ``a * 2**32 + b``
+
+
+def align_ids(a_ids: Sequence[int], b_ids: Sequence[int], a_ends: Sequence[int], b_ends: Sequence[int], labels: Labels) -> Alignment:
+    """Groups between common ends and the links inside them.
+
+    Two tokens overlap in one stretch, and it ends where one of them ends. So
+    every end of either list is one link: of the tokens that cover it.
+    """
+    common, a_upto, b_upto = map(np.array, cuts(a_ends, b_ends))
+    a_ids, b_ids, a_ends, b_ends = map(np.array, (a_ids, b_ids, a_ends, b_ends))
+    a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+    label = np.empty(len(a_ids) + len(b_ids), np.int64)
+    # A group's tokens of one list stand before those of the other.
+    label[np.arange(len(a_ids)) + np.concatenate([[0], b_upto])[a_group]] = a_ids + labels.n_a * (common[a_group] == a_ends)
+    label[np.arange(len(b_ids)) + a_upto[b_group]] = 2 * labels.n_a + b_ids + labels.n_b * (common[b_group] == b_ends)
+    texts = labels.texts
+    text = "".join([texts[i] for i in label.tolist()])
+    ends = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    ends = ends[np.diff(ends, prepend=0) > 0]
+    links = (a_ids[np.searchsorted(a_ends, ends)] << 32) | b_ids[np.searchsorted(b_ends, ends)]
+    chars = np.cumsum(labels.lengths[label])[a_upto + b_upto - 1]
+    return Alignment(common, a_upto, b_upto, np.searchsorted(ends, common) + 1, chars, text, links)
 
 
 def _turns(texts: pa.Array) -> Iterator[tuple[int, int]]:
@@ -201,11 +210,9 @@ def align(
             texts = batch.column(batch.num_columns - 1)
             for start, end in _turns(texts):
                 found = words.align([t or "" for t in texts.slice(start, end - start).to_pylist()])
-                sizes = [len(links) for *_, links in found]
-                pairs = np.fromiter(chain.from_iterable(links for *_, links in found), np.int64, sum(sizes))
-                times = np.fromiter(chain.from_iterable(links.values() for *_, links in found), np.int32, sum(sizes))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                lists = [pa.array(v, type=numbers) for v in ((pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32), times)]
+                pairs, times = (np.concatenate([f[i] for f in found]) for i in (5, 6))
+                offsets = pa.array(np.cumsum([0, *[len(f[5]) for f in found]]).astype(np.int32))
+                lists = [pa.array(v.astype(np.int32), type=numbers) for v in (pairs >> 32, pairs & 0xFFFFFFFF, times)]
                 new = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
                 new.append(pa.array([hashlib.sha256(f[4].encode()).hexdigest() if f[4] else "" for f in found]))
                 new += [pa.ListArray.from_arrays(offsets, v) for v in lists]
@@ -218,7 +225,7 @@ def align(
 
 
 class Words:
-    """Aligns texts word by word; a word gives its numbers of tokens and groups, its groups as text and its links.
+    """Aligns texts word by word; a word gives its numbers of tokens and groups, its groups as text and its links as bytes.
 
     Words seen before are kept in two generations: when the younger one is
     full, the older one is dropped, so words in use stay.
@@ -227,44 +234,41 @@ class Words:
     def __init__(self, a: Tokens, b: Tokens):
         self.a, self.b = a, b
         self.by_word = a.by_word and b.by_word
+        self.labels = Labels(len(a.entries), len(b.entries))
         self.young: dict[str, tuple | None] = {}
         self.old: dict[str, tuple | None] = {}
 
-    def _encoded(self, texts: list[str]) -> Iterator[tuple | None]:
-        """Ids and ends of texts; None for one that is not given back byte by byte."""
+    def _aligned(self, texts: list[str]) -> Iterator[Alignment | None]:
+        """None for a text that is not given back byte by byte."""
         a, b = self.a, self.b
         for text, a_ids, b_ids in zip(texts, a.encode(texts), b.encode(texts)):
             raw = text.encode()
             if b"".join([a.entries[i] for i in a_ids]) == raw == b"".join([b.entries[i] for i in b_ids]):
-                yield a_ids, b_ids, list(accumulate([a.lengths[i] for i in a_ids])), list(accumulate([b.lengths[i] for i in b_ids]))
+                ends = list(accumulate([a.lengths[i] for i in a_ids])), list(accumulate([b.lengths[i] for i in b_ids]))
+                yield align_ids(a_ids, b_ids, *ends, self.labels)
             else:
                 yield None
 
     def _alone(self, words: list[str]) -> dict[str, tuple | None]:
         found = {}
-        for word, ids in zip(words, self._encoded(words)):
-            if ids is None:
-                found[word] = None
-            else:
-                groups, links, _ = align_ids(*ids)
-                found[word] = len(ids[0]), len(ids[1]), len(groups), ";".join(groups), links
+        for word, w in zip(words, self._aligned(words)):
+            found[word] = w and (int(w.a_upto[-1]), int(w.b_upto[-1]), len(w.ends), w.text[:-1], w.links.tobytes())
         return found
 
     def _together(self, words: list[str]) -> dict[str, tuple | None]:
         """Words that a blank starts and another character ends, encoded as one text and cut at their own ends."""
-        ids = next(self._encoded(["".join(words)]))
-        if ids is None:
+        whole = next(self._aligned(["".join(words)]))
+        if whole is None:
             return self._alone(words)
-        groups, links, upto = align_ids(*ids)
-        common, a_cuts, b_cuts = cuts(ids[2], ids[3])
-        at = dict(zip(common, count()))
-        found, last = {}, (0, 0, 0, 0)
-        for word, end in zip(words, accumulate([len(w.encode()) for w in words])):
-            i = at[end]
-            here = a_cuts[i], b_cuts[i], i + 1, upto[i]
-            found[word] = here[0] - last[0], here[1] - last[1], here[2] - last[2], ";".join(groups[last[2] : here[2]]), links[last[3] : here[3]]
-            last = here
-        return found
+        ends = np.cumsum([len(w.encode()) for w in words])
+        at = np.searchsorted(whole.ends, ends)
+        if (whole.ends[at] != ends).any():
+            return self._alone(words)
+        upto = whole.a_upto[at], whole.b_upto[at], at + 1, whole.chars_upto[at], whole.links_upto[at]
+        numbers = [np.diff(u, prepend=0).tolist() for u in upto[:3]]
+        (c0, c1), (l0, l1) = [([0, *u.tolist()], u.tolist()) for u in upto[3:]]
+        text, links = whole.text, whole.links.tobytes()
+        return {w: (a, b, g, text[c : d - 1], links[8 * i : 8 * j]) for w, a, b, g, c, d, i, j in zip(words, *numbers, c0, c1, l0, l1)}
 
     def _known(self, words: set[str]) -> dict[str, tuple | None]:
         young, old = self.young, self.old
@@ -280,18 +284,18 @@ class Words:
         return known
 
     def align(self, texts: list[str]) -> list[tuple]:
-        """Numbers of tokens, groups and links, groups as text, and how often each pair is linked, of every text."""
+        """Numbers of tokens, groups and links, groups as text, linked pairs and how often each is linked, of every text."""
         cut = [(_WORDS(" " + t) if self.by_word else [" " + t]) if t else [] for t in texts]
         known = self._known(set(chain.from_iterable(cut)))
-        out = []
+        out, nothing = [], np.zeros(0, np.int64)
         for words in cut:
             rows = [known[w] for w in words]
             if not rows or None in rows:
-                out.append((0, 0, 0, 0, "", {}))
+                out.append((0, 0, 0, 0, "", nothing, nothing))
                 continue
             n_a, n_b, n_groups, groups, links = zip(*rows)
-            counted = Counter(chain.from_iterable(links))
-            out.append((sum(n_a), sum(n_b), sum(n_groups), counted.total(), ";".join(groups), counted))
+            pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
+            out.append((sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), ";".join(groups), pairs, times))
         self.young.update((w, r) for w, r in known.items() if len(w) <= KEPT_LENGTH)
         if len(self.young) > KEPT_WORDS:
             self.old, self.young = self.young, {}
