@@ -61,6 +61,38 @@ def test_small_leaves_are_really_used(spark, monkeypatch):
     assert seen == [23]
 
 
+@pytest.mark.parametrize("grid, hot", [(None, 0.0), (None, 0.4), (15, 0.0)])
+def test_large_leaves_get_trees_of_their_own(spark, monkeypatch, grid, hot):
+    """A tiny sample leaves few, large leaves in the upper tree; no task compares more points than a few leaves hold."""
+    monkeypatch.setattr(nn, "MOST_SAMPLED", 25)
+    sizes = spark.sparkContext.accumulator(0)
+    search = nn._candidates
+
+    def counted(a, b, *rest):
+        if len(b) > 300:
+            sizes.add(1)
+        return search(a, b, *rest)
+
+    monkeypatch.setattr(nn, "_candidates", counted)
+    train, query = cloud(3000, 1, hot, grid), cloud(300, 2, hot, grid)
+    t, q = spark.createDataFrame(train, SCHEMA), spark.createDataFrame(query, SCHEMA)
+    got = nn.knn_classify(t, q, ("a", "b"), "label", 7, leaf_points=60, chunk_queries=50)
+    assert {r["playid"]: r["pred"] for r in got.collect()} == brute(train, query, 7)
+    assert sizes.value == 0
+
+
+def test_folds_below_large_leaves(spark, monkeypatch):
+    from turfline.functions.sampling import kfold
+
+    monkeypatch.setattr(nn, "MOST_SAMPLED", 10)
+    points = cloud(1200, 5, hot=0.2)
+    df = spark.createDataFrame(points, SCHEMA)
+    fold = {r["playid"]: r["fold"] for r in kfold(df, ("gameid", "playid")).collect()}
+    got = {r["k"]: r["correct"] for r in nn.knn_cv(df, ("a", "b"), "label", (9,), scale=False, leaf_points=40).collect()}
+    pred = brute(points, points, 9, lambda t, q: fold[t[1]] == fold[q[1]])
+    assert got[9] == sum(pred[r[1]] == r[4] for r in points)
+
+
 def tied(n, share=0.6, seed=0):
     """Points of which a share lies at the greatest value of the widest axis."""
     r = np.random.default_rng(seed)

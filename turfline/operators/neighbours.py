@@ -8,9 +8,18 @@ that holds a third of the table becomes one row. Space is then cut into leaves
 by a tree built from a sample (the sample shapes the partitioning only, never
 the answer). Row counts and extents of the leaves bound the k-th distance of
 every query; its own leaf tightens the bound, and then it meets only those
-other leaves that reach into it. Leaf, block of points and chunk of queries are
-the grouping key, so every task is bounded, whatever the skew. Candidates are
-plain rows, counted and voted on by aggregates.
+other leaves that reach into it.
+
+The tree has two levels. The upper one is built from a bounded sample and known
+to every task. A leaf that holds more points than one task compares gets a tree
+of its own, built in its own task from a bounded sample of its points; trees,
+counts and extents of these leaves are rows of a table, and only the points and
+queries of a leaf meet its tree. So a query follows two trees down, whatever the
+size of the table, and nothing that grows with it passes the driver.
+
+Leaf, leaf below it and chunk of queries are the grouping key, so every task is
+bounded, whatever the skew. Candidates are plain rows, counted and voted on by
+aggregates.
 """
 
 from __future__ import annotations
@@ -22,23 +31,28 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turfline.functions.lineage import cut_lineage
 from turfline.functions.sampling import kfold, zscore
 from turfline.operators.grids import value_grid
 from turfline.operators.tracking import PLAY
 
-#: Distinct training points per leaf or block of a leaf, queries per chunk.
+#: Distinct training points per leaf, queries per chunk, points of a large leaf that one task deals to the leaves below.
 LEAF_POINTS = 2_000
 CHUNK_QUERIES = 2_000
+PIECE_POINTS = 250_000
+#: Most partitions of a search.
+MOST_TASKS = 20_000
 #: Distances held at once by a task; a few megabytes stay in the cache.
 BLOCK_CELLS = 500_000
-#: Sampled points per leaf for placing the cuts, and most sampled points. The
-#: tree stays small enough for the driver; leaves that grow beyond LEAF_POINTS
-#: are compared in blocks of that size.
+#: Sampled points per leaf for placing the cuts, and most sampled points of the
+#: upper tree and of each tree below it: 50,000 leaves, and as many in each of
+#: them.
 SAMPLE_PER_LEAF = 20
 MOST_SAMPLED = 1_000_000
 
+_TREE = "leaf int, axis array<int>, value array<double>, left array<int>, right array<int>, leaf_at array<int>"
 _FOUND = "qid bigint, d double, label string, n bigint, radius double"
 
 
@@ -103,6 +117,15 @@ class Cuts:
             return np.zeros(0, int), np.zeros(0, int)
         return np.concatenate(found_point), np.concatenate(found_leaf)
 
+    def row(self) -> tuple[list, ...]:
+        """The arrays as the columns of ``_TREE``."""
+        return tuple(a.tolist() for a in (self.axis, self.value, self.left, self.right, self.leaf))
+
+    @staticmethod
+    def of_row(row) -> "Cuts":
+        arrays = [np.array(row[c], float if c == "value" else int) for c in ("axis", "value", "left", "right", "leaf_at")]
+        return Cuts(*arrays, int(arrays[-1].max()) + 1)
+
     def home(self, points: np.ndarray) -> np.ndarray:
         out = np.zeros(len(points), int)
         idx, leaf = self.reach(points, np.zeros(len(points)))
@@ -205,6 +228,64 @@ def _candidates(queries: pd.DataFrame, points: pd.DataFrame, dims: int, k: int,
     return pd.DataFrame(dict(zip(("qid", "d", "label", "n", "radius"), columns)))
 
 
+def _at_trees(rows: DataFrame, forest: DataFrame, chunk: int, step, schema: str) -> DataFrame:
+    """``step(rows, extents of their leaf)`` for rows at large leaves, in chunks, each beside a copy of the leaf's tree."""
+    sizes = cut_lineage(rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk))).cast("int").alias("chunks")))
+    named = T._parse_datatype_string(schema).names
+    cut = rows.join(sizes, "leaf").withColumn("chunk", F.pmod(F.xxhash64("p", "fold"), F.col("chunks")).cast("int")).select(*named, "chunk")
+    trees = forest.join(sizes, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    def run(rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[named]
+        return step(rows, _open(tree.iloc[0])) if len(rows) else rows
+
+    return cut.groupBy("leaf", "chunk").cogroup(trees.groupBy("leaf", "chunk")).applyInPandas(run, schema)
+
+
+def _open(row) -> Extents:
+    cuts = Cuts.of_row(row)
+    if row["boxes"] is None:
+        return Extents(cuts, np.zeros(0), {}, np.zeros(0), np.zeros(0))
+    boxes = pd.DataFrame([(b["sub"], b["fold"], b["n"], b["low"], b["high"]) for b in row["boxes"]], columns=["leaf", "fold", "n", "low", "high"])
+    return Extents.of(cuts, boxes, len(boxes["low"].iloc[0]))
+
+
+def _divide(points: DataFrame, large: dict[int, int], unit: int, dims: int, summary: list) -> tuple[DataFrame, DataFrame]:
+    """Points with the leaf below their leaf, and the trees of the large leaves with counts and extents."""
+    context = points.sparkSession.sparkContext
+    wanted = context.broadcast({leaf: -(-n // unit) for leaf, n in large.items()})
+    share = context.broadcast({leaf: min(1.0, min(SAMPLE_PER_LEAF * -(-n // unit), MOST_SAMPLED) / n) for leaf, n in large.items()})
+
+    @F.pandas_udf("double")
+    def share_of(leaf: pd.Series) -> pd.Series:
+        return leaf.map(share.value).astype(float)
+
+    def grow(key: tuple, sample: pd.DataFrame) -> pd.DataFrame:
+        ordered = sorted(map(tuple, sample["p"]))
+        cuts = Cuts.through(_matrix(pd.Series(ordered), dims), wanted.value[key[0]])
+        return pd.DataFrame([(key[0], *cuts.row())], columns=["leaf", "axis", "value", "left", "right", "leaf_at"])
+
+    inside = points.where(F.col("leaf").isin(list(large)))
+    low = F.pmod(F.xxhash64("p", "fold", "label"), F.lit(1 << 30))
+    sampled = inside.where(low <= share_of("leaf") * (1 << 30)).select("leaf", "p")
+    # One point of every leaf for certain.
+    sampled = sampled.unionByName(inside.groupBy("leaf").agg(F.min("p").alias("p")))
+    trees = cut_lineage(sampled.groupBy("leaf").applyInPandas(grow, _TREE))
+    fields = "p array<double>, fold int, label string, n bigint, leaf int, sub int"
+    bare = trees.withColumn("boxes", F.lit(None).cast("array<struct<sub: int, fold: int, n: bigint, low: array<double>, high: array<double>>>"))
+
+    def deal(rows: pd.DataFrame, leaf: Extents) -> pd.DataFrame:
+        return rows.assign(sub=leaf.cuts.home(_matrix(rows["p"], dims)).astype("int32"))
+
+    dealt = cut_lineage(_at_trees(inside, bare, PIECE_POINTS, deal, fields))
+    boxes = dealt.groupBy("leaf", "sub", "fold").agg(*summary)
+    # At most as many entries as a tree has leaves, for each fold.
+    listed = boxes.groupBy("leaf").agg(F.collect_list(F.struct("sub", "fold", "n", "low", "high")).alias("boxes"))
+    forest = cut_lineage(trees.join(listed, "leaf"))
+    rest = points.where(~F.col("leaf").isin(list(large)))
+    return rest.unionByName(dealt), forest
+
+
 def knn_votes(
     train: DataFrame,
     query: DataFrame,
@@ -250,32 +331,29 @@ def knn_votes(
         return pd.Series(tree.value.home(_matrix(p, dims)))
 
     points = cut_lineage(points.select("p", "fold", "label", "n", leaf_of("p").alias("leaf")))
-    corners = [f(F.col("p")[i]).alias(f"{name}{i}") for name, f in (("low", F.min), ("high", F.max)) for i in range(dims)]
+    corners = [F.array(*[f(F.col("p")[i]) for i in range(dims)]).alias(name) for name, f in (("low", F.min), ("high", F.max))]
+    summary = [F.sum("n").alias("n"), F.count(F.lit(1)).alias("points"), *corners]
     # One row per leaf and fold, at most MOST_SAMPLED / SAMPLE_PER_LEAF leaves.
-    box = points.groupBy("leaf", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points"), *corners).toPandas()
-    box["low"] = list(box[[f"low{i}" for i in range(dims)]].to_numpy(float))
-    box["high"] = list(box[[f"high{i}" for i in range(dims)]].to_numpy(float))
+    box = points.groupBy("leaf", "fold").agg(*summary).toPandas()
     extents = context.broadcast(Extents.of(cuts, box[["leaf", "fold", "n", "low", "high"]], dims))
-    n_blocks = {int(leaf): -(-int(n) // (2 * max(leaf_points, 4 * k_max))) for leaf, n in box.groupby("leaf")["points"].sum().items()}
-    shared_blocks = context.broadcast(n_blocks)
-
-    @F.pandas_udf("int")
-    def blocks_of(leaf: pd.Series) -> pd.Series:
-        return leaf.map(shared_blocks.value).fillna(0).astype("int32")
-
-    blocked = points.withColumn("blocks", blocks_of("leaf")).withColumn("block", F.pmod(F.xxhash64("p", "fold", "label"), F.col("blocks")).cast("int"))
+    unit = max(leaf_points, 4 * k_max)
+    large = {int(leaf): int(n) for leaf, n in box.groupby("leaf")["points"].sum().items() if n > 2 * unit}
+    forest = None
+    points = points.withColumn("sub", F.lit(0))
+    if large:
+        points, forest = _divide(points, large, unit, dims, summary)
 
     def meet(queries: DataFrame) -> DataFrame:
-        """Search with queries in bounded chunks, each beside a copy of every block of its leaf."""
-        sizes = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_queries))).cast("int").alias("chunks"))
-        chunks = F.broadcast(sizes)  # one row per leaf
-        q = queries.join(chunks, "leaf").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
-        q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(blocks_of("leaf"), F.lit(1)) - 1)))
-        t = blocked.join(chunks, "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        """Search with queries in bounded chunks, each beside a copy of its leaf."""
+        place = ["leaf", "sub"]
+        # One row per leaf below; written, as the planner goes by its size.
+        sizes = cut_lineage(queries.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_queries))).cast("int").alias("chunks")))
+        q = queries.join(sizes, place).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+        t = points.join(sizes, place).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         # The groups are small in bytes but heavy in work: spread them by number,
         # so that partitions are not merged by size.
-        key, groups = ["leaf", "block", "chunk"], sizes.agg(F.sum("chunks")).first()[0] or 1
-        tasks = 2 * int(groups)
+        key, groups = [*place, "chunk"], sizes.agg(F.sum("chunks")).first()[0] or 1
+        tasks = min(2 * int(groups), MOST_TASKS)
         q = q.select("qid", "p", "fold", "radius", *key).repartition(tasks, *key).groupBy(*key)
         t = t.select("p", "fold", "label", "n", *key).repartition(tasks, *key).groupBy(*key)
         return q.cogroup(t).applyInPandas(lambda a, b: _candidates(a, b, dims, k_max, bool(fold)), _FOUND)
@@ -284,24 +362,49 @@ def knn_votes(
         for b in batches:
             x = _matrix(b["p"], dims)
             bound = extents.value.bound(x, b["fold"].to_numpy() if fold else None, k_max)
-            yield b.assign(leaf=tree.value.home(x).astype("int32"), radius=bound)
+            yield b.assign(leaf=tree.value.home(x).astype("int32"), sub=np.int32(0), radius=bound)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows of a query for every other leaf within its radius."""
+        """Rows of a query for every other leaf within its radius; a large leaf counts as another to its own queries."""
         for b in batches:
             r = b["radius"].to_numpy()
             idx, leaf = tree.value.reach(_matrix(b["p"], dims), np.sqrt(r) * (1 + 1e-12))
-            other = leaf != b["leaf"].to_numpy()[idx]
+            own = b["leaf"].to_numpy()[idx]
+            other = (leaf != own) | np.isin(leaf, list(large))
             rows = b.iloc[idx[other]]
-            yield rows.assign(leaf=leaf[other].astype("int32"))
+            home = np.where(leaf == own, b["sub"].to_numpy()[idx], -1)[other]
+            yield rows.assign(leaf=leaf[other].astype("int32"), sub=home.astype("int32"))
+
+    located = "p array<double>, fold int, qid bigint, leaf int, sub int, radius double"
+    in_large = F.col("leaf").isin(list(large)) if large else F.lit(False)
+
+    def below(queries: DataFrame, step) -> DataFrame:
+        """Queries at large leaves go down the trees there, the others stay as they are."""
+        if forest is None:
+            return queries
+        return queries.where(~in_large).unionByName(_at_trees(queries.where(in_large), forest, chunk_queries, step, located))
+
+    def settle(queries: pd.DataFrame, leaf: Extents) -> pd.DataFrame:
+        x = _matrix(queries["p"], dims)
+        bound = leaf.bound(x, queries["fold"].to_numpy() if fold else None, k_max)
+        return queries.assign(sub=leaf.cuts.home(x).astype("int32"), radius=np.minimum(queries["radius"].to_numpy(), bound))
+
+    def spread(queries: pd.DataFrame, leaf: Extents) -> pd.DataFrame:
+        idx, sub = leaf.cuts.reach(_matrix(queries["p"], dims), np.sqrt(queries["radius"].to_numpy()) * (1 + 1e-12))
+        new = sub != queries["sub"].to_numpy()[idx]
+        return queries.iloc[idx[new]].assign(sub=sub[new].astype("int32"))
 
-    located = "p array<double>, fold int, qid bigint, leaf int, radius double"
-    asked = cut_lineage(asked.select("p", "fold", "qid").mapInPandas(place, located))
+    asked = cut_lineage(below(asked.select("p", "fold", "qid").mapInPandas(place, located), settle))
     found = cut_lineage(meet(asked))
-    # Every block of the own leaf gives a bound of the k-th distance; the least one holds.
+    # The own leaf gives a bound of the k-th distance.
     tight = found.groupBy("qid").agg(F.min("radius").alias("near"))
-    nearer = asked.join(tight, "qid", "left").select("p", "fold", "qid", "leaf", F.least("radius", "near").alias("radius"))
-    found = found.unionByName(meet(cut_lineage(nearer.mapInPandas(send, located))))
+    nearer = asked.join(tight, "qid", "left").select("p", "fold", "qid", "leaf", "sub", F.least("radius", "near").alias("radius"))
+    sent = nearer.mapInPandas(send, located)
+    if forest is None:  # no leaf is large, so none has leaves below
+        sent = sent.withColumn("sub", F.lit(0))
+    else:
+        sent = below(sent.withColumn("sub", F.when(in_large, F.col("sub")).otherwise(0)), spread)
+    found = found.unionByName(meet(cut_lineage(sent)))
 
     # A row takes part in the vote of k if fewer than k rows are nearer.
     counted = found.groupBy("qid", "d", "label").agg(F.sum("n").alias("n"))
