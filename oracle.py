@@ -263,6 +263,7 @@ def split_of(source: str) -> str:
 
 
 CTES["split2"] = split_of("deep2")
+CTES["zsplit"] = split_of("zfeat")
 CTES["split3"] = split_of("(SELECT * EXCLUDE (wide_width), round(wide_width, 4) AS wide_width FROM deep3)")
 
 
@@ -359,9 +360,10 @@ def _top(source: str, keys: str, n: int, extra: str = "") -> str:
   SELECT *, rank() OVER (PARTITION BY pff_passcoverage ORDER BY count DESC) AS rk FROM {source}) WHERE rk <= {n}) WHERE ord <= {n}"""
 
 
-def _quartiles(by: str, source: str, where: str) -> str:
-    return f"""SELECT {by}, count(*) AS count, min(frames) AS low, quantile_cont(frames, 0.25) AS q1, quantile_cont(frames, 0.5) AS median,
- quantile_cont(frames, 0.75) AS q3, max(frames) AS high FROM {source} WHERE {where} AND frames IS NOT NULL GROUP BY {by}"""
+def _quartiles(by: str, source: str, where: str = "TRUE", col: str = "frames", digits: int = 9) -> str:
+    quartile = f"round(quantile_cont({col}, {{}}), {digits})".format
+    return f"""SELECT {by}, count(*) AS count, min({col}) AS low, {quartile(0.25)} AS q1, {quartile(0.5)} AS median,
+ {quartile(0.75)} AS q3, max({col}) AS high FROM {source} WHERE {where} AND {col} IS NOT NULL GROUP BY {by}"""
 
 
 def _hist(by: str, col: str, low: float, high: float, n: int, source: str) -> str:
@@ -371,6 +373,40 @@ def _hist(by: str, col: str, low: float, high: float, n: int, source: str) -> st
  FROM {source} WHERE {col} BETWEEN {low} AND {high} GROUP BY ALL)"""
 
 
+def _solved(size: int) -> str:
+    """Solution of a symmetric system by elimination, one nested select per column; ``a<i>_<j>`` and ``b<i>`` hold it."""
+    sql = "{}"
+    for k in range(size):
+        below = range(k + 1, size)
+        cells = [f"a{i}_{j} - a{i}_{k} * a{k}_{j} / a{k}_{k} AS a{i}_{j}" for i in below for j in below]
+        cells += [f"b{i} - a{i}_{k} * b{k} / a{k}_{k} AS b{i}" for i in below]
+        if cells:
+            sql = f"SELECT * REPLACE ({', '.join(cells)}) FROM ({sql})"
+    for k in reversed(range(size)):
+        rest = "".join(f" - a{k}_{j} * x{j}" for j in range(k + 1, size))
+        sql = f"SELECT *, (b{k}{rest}) / a{k}_{k} AS x{k} FROM ({sql})"
+    return sql
+
+
+def _logistic(fit_on: str, score: str, features=("blitz", "middle", "hooks", "flat"), steps: int = 8) -> str:
+    """The fit as a recursive statement: a row of weights per step over the counted cases."""
+    x = ["1e0", *features]
+    size = len(x)
+    odds = "1 / (1 + exp(-(" + " + ".join(f"w{i} * {v}" for i, v in enumerate(x)) + ")))"
+    sums = [f"sum((positive - n * p) * {v}) AS b{i}" for i, v in enumerate(x)]
+    sums += [f"sum(n * p * (1 - p) * {x[i]} * {x[j]}) + {'1e-9' if i == j else '0'} AS a{i}_{j}" for i in range(size) for j in range(size)]
+    kept = ", ".join(f"any_value(w{i}) AS w{i}" for i in range(size))
+    system = f"SELECT step, {kept}, {', '.join(sums)} FROM (SELECT *, {odds} AS p FROM fits, cases WHERE step < {steps}) GROUP BY step"
+    moved = ", ".join(f"w{i} + x{i} AS w{i}" for i in range(size))
+    extra = f"""cases AS MATERIALIZED (SELECT {', '.join(features)}, count(*) AS n, sum(hierarchy) AS positive FROM zsplit WHERE {fit_on} GROUP BY ALL),
+ fits AS (SELECT 0 AS step, {', '.join(f'0e0 AS w{i}' for i in range(size))}
+ UNION ALL SELECT step + 1 AS step, {moved} FROM ({_solved(size).format(system)}))"""
+    final = f"""SELECT "set", count(*) AS count, CAST(sum(CAST(hierarchy = pred AS INT)) AS BIGINT) AS correct,
+ CAST(correct AS DOUBLE) / count AS accuracy FROM (SELECT "set", hierarchy, CAST({odds} > 0.5 AS INT) AS pred
+ FROM ({score}), (SELECT * FROM fits WHERE step = {steps})) GROUP BY 1"""
+    return with_ctes(final, extra).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _score(by: str, source: str, where: str = "TRUE", rate: str = "pct") -> str:
     return f"""SELECT {by}, count(*) AS count, CAST(sum(CAST(actual = pred AS INT)) AS BIGINT) AS correct,
  CAST(correct AS DOUBLE) / count AS {rate} FROM {source} WHERE {where} GROUP BY {by}"""
@@ -495,6 +531,8 @@ FROM by_form WINDOW w AS (PARTITION BY actual, backs)""",
  FROM named WHERE actual = '2-High' AND pred1 > 0.5 GROUP BY 1, 2, 3)""",
         "having_total": "SELECT gameid, playid, defensiveteam, presnaphomescore FROM plays QUALIFY sum(presnaphomescore) OVER (PARTITION BY gameid) > 200",
         "clip_length": _quartiles("formation, actual, match", frames, some),
+        "depth_numbers": _quartiles("pff_passcoverage, side", "depths", col="depth", digits=6),
+        "width_numbers": _quartiles("pff_passcoverage", "depths", col="width", digits=6),
         "odds_by_coverage": _hist(
             "formation, actual, pff_passcoverage", "pred1", 0.0, 1.0, 20,
             "(SELECT * FROM named WHERE formation IN ('empty open', '3x1 open', '2x2 open', 'trey'))",
@@ -562,6 +600,9 @@ WHERE event_id >= snap AND (clip IS NULL OR event_id <= clip) GROUP BY 1"""
  CAST(correct AS DOUBLE) / count AS pct FROM split2 JOIN won USING (depth_diff, max_width) WHERE "set" = 'test' GROUP BY 1""",
         test + ", " + voted(fs, "[150]"),
     )
+    out["logistic_fit_score"] = _logistic("\"set\" = 'ana'", "SELECT * FROM zsplit WHERE \"set\" IN ('ana', 'assess')")
+    renamed = "CASE WHEN \"set\" = 'test' THEN 'test' ELSE 'train' END"
+    out["logistic_full"] = _logistic("\"set\" IN ('ana', 'assess')", f"SELECT * REPLACE ({renamed} AS \"set\") FROM zsplit")
     out["knn_tune"] = _tune("pff_passcoverage")
     out["knn_tune_high"] = _tune("high")
     out["knn_cv"] = _cv("split2", fs, fs)

@@ -117,8 +117,7 @@ def test_two_estimators_agree(spark):
     glm = lg.logistic_fit(df)
     rows = VectorAssembler(inputCols=list(lg.FEATURES), outputCol="features").transform(df)
     other = LogisticRegression(labelCol="hierarchy", regParam=0.0, tol=1e-12, maxIter=200).fit(rows)
-    assert glm.intercept == pytest.approx(other.intercept, abs=1e-5)
-    assert list(glm.coefficients) == pytest.approx(list(other.coefficients), abs=1e-5)
+    assert glm.weights == pytest.approx([other.intercept, *other.coefficients], abs=1e-5)
     scored = lg.logistic_predict(glm, df)
     assert scored.where((F.col("odds") > 0.5) != (F.col("pred") == 1)).count() == 0
 
@@ -136,3 +135,28 @@ def test_scenario_curve_keeps_few_first_downs(spark, rows):
 def test_five_numbers(spark, rows):
     df = spark.createDataFrame([("a", v) for v in (1, 2, 3, 4, 10)] + [("a", None)], "g string, v int")
     assert rows(sc.five_numbers(df, ["g"], "v")) == [("a", 5, 1, 2.0, 3.0, 4.0, 10)]
+
+
+def test_fit_sees_counted_cases_only(spark):
+    """A row may be missing a value or stand for thousands; the fit is that of the cases."""
+    df = spark.range(4000).selectExpr("CAST(id % 4 AS DOUBLE) AS a", "CAST(id % 3 AS DOUBLE) AS b", "CAST(id % 5 + id % 4 > 3 AS INT) AS hierarchy")
+    df = df.unionByName(spark.createDataFrame([(None, 1.0, 1), (1.0, 1.0, None)], df.schema))
+    assert lg.cases(df, ("a", "b")).count() == 12
+    few = df.where("a IS NOT NULL AND hierarchy IS NOT NULL").limit(0)
+    assert lg.logistic_fit(few, ("a", "b")).weights == (0.0, 0.0, 0.0)
+    fit, rows = lg.logistic_fit(df, ("a", "b")), df.dropna()
+    # At the maximum, the odds add up to the positive rows, in all and weighted by each feature.
+    sums = lg.logistic_predict(fit, rows).agg(*[F.sum((F.col("odds") - F.col("hierarchy")) * w) for w in (F.lit(1), F.col("a"), F.col("b"))]).first()
+    assert [abs(v) < 1e-6 for v in sums] == [True] * 3
+
+
+@pytest.mark.parametrize("accuracy", [20, 1_000])
+def test_quartiles_of_continuous_values(spark, accuracy):
+    df = spark.range(7000).selectExpr("IF(id % 3 = 0, NULL, CAST(id % 4 AS STRING)) AS g", "IF(id % 50 = 0, NULL, sin(id) * exp(id % 11)) AS v", "id % 2 AS s")
+    got = {(r["g"], r["s"]): r[2:] for r in sc.five_numbers(df, ["g", "s"], "v", accuracy).collect()}
+    frame = df.toPandas().dropna(subset=["v"])
+    groups = frame.groupby(["g", "s"], dropna=False)["v"]
+    assert len(got) == len(groups)
+    for (g, s), v in groups:
+        expected = (len(v), v.min(), *v.quantile([0.25, 0.5, 0.75]), v.max())
+        assert got[(g if isinstance(g, str) else None, s)] == pytest.approx(expected, rel=1e-12)

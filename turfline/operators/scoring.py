@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import big_number, if_else, min_rank, ordinal, percent, scientific, share
+from turfline.functions.lineage import cut_lineage
 from turfline.functions.sampling import sample_rows
 from turfline.operators.formations import named_formation
 from turfline.operators.tracking import PLAY
@@ -126,20 +127,53 @@ def with_clip_length(preds: DataFrame, formations: DataFrame, crop: DataFrame) -
     return named_formation(with_formations(preds, formations)).join(frames, list(PLAY), "left")
 
 
-def five_numbers(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
-    """Exact quartiles and extremes per group.
+def five_numbers(df: DataFrame, by: Sequence[str], col: str, accuracy: int = 1_000) -> DataFrame:
+    """Exact quartiles and extremes per group, for groups of any size and any number of values.
 
-    Values are counted first. The percentile then weighs distinct values, and
-    its buffer grows with them, not with the rows.
+    A quantile sketch of fixed size, merged over tasks, puts each quartile
+    between two values that about 6 / ``accuracy`` of the rows lie between; in a
+    group of fewer rows than ``accuracy`` these are its extremes. A second aggregate counts the rows below these brackets and the distinct
+    values inside, and the quartile is read off at its exact place, between two
+    neighbouring values in proportion.
     """
-    cells = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_n"))
-    quartiles = F.percentile(col, [0.25, 0.5, 0.75], F.col("_n"))
-    out = cells.groupBy(*by).agg(
-        F.sum("_n").alias("count"), F.min(col).alias("low"), F.max(col).alias("high"), quartiles.alias("_q")
-    )
-    return out.select(
-        *by, "count", "low", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "high"
-    )
+    by, quartiles = list(by), (0.25, 0.5, 0.75)
+    rows = df.where(F.col(col).isNotNull()).select(*by, F.col(col).alias("_v"))
+    # The sketch's error and two rows on either side of the quartile.
+    slack = 3.0 / accuracy
+    ends = [min(max(q + s, 0.0), 1.0) for q in quartiles for s in (-slack, slack)]
+    summary = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("count"), F.min("_v").alias("low"), F.max("_v").alias("high"),
+        F.percentile_approx("_v", ends, accuracy).alias("_ends"),
+    )
+    extremes = F.flatten(F.array_repeat(F.array("low", "high"), len(quartiles)))
+    summary = summary.withColumn("_ends", F.when(F.col("count") < accuracy, extremes).otherwise(F.col("_ends")))
+    summary = cut_lineage(summary)  # one row per group
+    keys = {b: f"_k{i}" for i, b in enumerate(by)}
+    marks = summary.select(*[F.col(b).alias(k) for b, k in keys.items()], "_ends")
+    same = F.lit(True)
+    for b, k in keys.items():
+        same = same & F.col(b).eqNullSafe(F.col(k))
+    # A row counts for a quartile below its bracket, without a value, or inside, with its value.
+    parts = [
+        F.when(F.col("_v") <= F.col("_ends")[2 * i + 1], F.struct(F.lit(i).alias("q"), F.when(F.col("_v") >= F.col("_ends")[2 * i], F.col("_v")).alias("v")))
+        for i in range(len(quartiles))
+    ]
+    placed = rows.join(marks, same).select(*by, F.explode(F.array_compact(F.array(*parts))).alias("_p"))
+    counted = placed.groupBy(*by, F.col("_p.q").alias("_q"), F.col("_p.v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by, "_q").orderBy(F.asc_nulls_first("_v"))
+    ranked = counted.withColumn("_last", F.sum("_n").over(upto) - 1).withColumn("_first", F.col("_last") - F.col("_n") + 1)
+    sizes = summary.select(*[F.col(b).alias(k) for b, k in keys.items()], "count")
+    place = (F.col("count") - 1) * F.element_at(F.array(*[F.lit(q) for q in quartiles]), F.col("_q") + 1)
+
+    def at(rank):
+        return F.max(F.when(F.lit(rank).between(F.col("_first"), F.col("_last")), F.col("_v").cast("double")))
+
+    found = ranked.join(sizes, same).withColumn("_at", place)
+    ends_of = found.groupBy(*by, "_q").agg(at(F.floor("_at")).alias("_lo"), at(F.ceil("_at")).alias("_hi"), F.max(F.col("_at") - F.floor("_at")).alias("_share"))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_share")
+    wide = ends_of.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == i, value)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    renamed = wide.select(*[F.col(b).alias(k) for b, k in keys.items()], "q1", "median", "q3")
+    return summary.join(renamed, same).select(*by, "count", "low", "q1", "median", "q3", "high")
 
 
 def clip_length(

@@ -244,7 +244,8 @@ def play_frames(
     spots = ball_spots(track, before, keys, frame).select(*keys, F.col("spot_x").alias("spot"))
     # Two entries per play: one for each side.
     sides = colors.groupBy(*keys).agg(F.collect_list(F.struct("team", "color")).alias("_sides"))
-    per_play = (
+    # Written: both sides of ``attach`` read it, and the planner goes by its size.
+    per_play = cut_lineage(
         snaps.withColumnRenamed("snap", "ball_snap").drop("clip")
         .join(spots, keys)
         .join(details.select(*keys, "season", "yardstogo", "pff_passcoverage", "caption"), keys, "left")

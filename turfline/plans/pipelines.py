@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turfline.functions.lineage import cut_lineage
-from turfline.functions.sampling import train_split
+from turfline.functions.sampling import row_hash, sample_group, train_split
 from turfline.functions.skew import HOT_ROWS
 from turfline.operators import formations as fm
 from turfline.operators import plays as pl
@@ -58,6 +58,28 @@ def defender_depths(
     return tr.depth_by_play(positions, wanted, coverages, wide=wide)
 
 
+def random_play_depths(
+    track: DataFrame, plays: DataFrame, coverages: Sequence[str] = tr.COVERAGES, seed: int = 15, tries: int = 4
+) -> DataFrame:
+    """Ranked defenders of one play chosen by hash, without reading the frames of all others.
+
+    The first plays in hash order are picked from the play table, and their keys
+    are pushed into the scan of the frames. Plays without a start or without
+    defenders fall out; if all do, the next ones are tried, more at a time.
+    """
+    wanted = plays.where(F.col("pff_passcoverage").isin(*coverages)).select(*tr.PLAY).distinct()
+    order = row_hash(tr.PLAY, seed)
+    after = ""
+    while True:
+        rows = wanted.select(*tr.PLAY, order.alias("_h")).where(F.col("_h") > after).orderBy("_h").limit(tries).collect()
+        near = [F.col(k).isin([r[k] for r in rows]) for k in tr.PLAY]
+        these = near[0] & near[1] & row_hash(tr.PLAY, seed).isin([r["_h"] for r in rows])
+        found = cut_lineage(defender_depths(track.where(these), plays.where(these), coverages))
+        if len(rows) < tries or found.head(1):
+            return sample_group(found, tr.PLAY, seed)
+        after, tries = rows[-1]["_h"], tries * 4
+
+
 def alignments(track: DataFrame, plays: DataFrame, players: DataFrame) -> DataFrame:
     """Offensive players at the snap."""
     snaps = cut_lineage(fm.snap_places(track))

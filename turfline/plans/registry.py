@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from turfline.functions.columns import yard_label
 from turfline.functions.lineage import cut_lineage
-from turfline.functions.sampling import kfold, sample_group, sample_rows, zscore
+from turfline.functions.sampling import kfold, sample_rows, zscore
 from turfline.operators import formations as fm
 from turfline.operators import grids as gr
 from turfline.operators import logistic as lg
@@ -274,6 +274,17 @@ def spread_density(w):
     return sc.histogram(zn.deepest_players(_depths(w)), ["pff_passcoverage"], "depth_diff", 0.0, 30.0, 30)
 
 
+@query
+def depth_numbers(w):
+    """Quartiles of a column with about as many values as rows."""
+    return rounded(sc.five_numbers(_depths(w), ["pff_passcoverage", "side"], "depth"), "q1", "median", "q3", digits=6)
+
+
+@query
+def width_numbers(w):
+    return rounded(sc.five_numbers(_depths(w), ["pff_passcoverage"], "width"), "q1", "median", "q3", digits=6)
+
+
 @query
 def side_profile(w):
     return rounded(zn.side_profile(_depths(w)), "width", "depth")
@@ -292,7 +303,7 @@ def rank_profile(w):
 @query
 def random_play_depths(w):
     cols = ["gameid", "playid", "nflid", "depth", "width", "depth_rk"]
-    return sample_group(_depths(w), tr.PLAY).select(*cols)
+    return pp.random_play_depths(w.track, w.plays).select(*cols)
 
 
 # ---- formations ---------------------------------------------------------------
@@ -372,7 +383,8 @@ def having_total(w):
 
 @query
 def clip_length(w):
-    return sc.clip_length(w.preds, _formations(w), tr.play_crop(w.track), named=("nub twins", "flank", "empty open"))
+    numbers = sc.clip_length(w.preds, _formations(w), tr.play_crop(w.track), named=("nub twins", "flank", "empty open"))
+    return rounded(numbers, "q1", "median", "q3", digits=9)
 
 
 @query
