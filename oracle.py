@@ -441,11 +441,21 @@ LEFT JOIN (SELECT xzone, yzone, count(*) AS count FROM (SELECT {binned} FROM dep
     raw_team = "CASE WHEN playid % 17 = 0 THEN NULL WHEN playid % 19 = 0 THEN 'T99' ELSE possessionteam END"
     clean = "gameid, playid, playdescription, quarter, down, yardstogo, {} AS possessionteam, {} AS defensiveteam, {} AS pff_passcoverage, presnaphomescore, presnapvisitorscore, gameclock, {} AS season"
 
+    season = "CASE (gameid - 2018000000) % 3 WHEN 0 THEN 2018 WHEN 1 THEN 2021 ELSE 2022 END"
     plain = {
         "tracking_union": """SELECT gameid, playid, team, playdirection, count(*) AS n, count(event) AS events,
  CAST(sum(nflid) AS BIGINT) AS nflid, CAST(sum(frameid) AS BIGINT) AS frameid, CAST(sum(jerseynumber) AS BIGINT) AS jerseynumber,
  sum(x) AS x, sum(y) AS y, sum(x / 8) AS s, sum(y / 8) AS a, sum((x + y) / 16) AS dis, sum(o) AS o, sum(o / 2) AS dir
 FROM track GROUP BY 1, 2, 3, 4""",
+        "release_load": f"""SELECT season, CASE WHEN odd THEN 'value' ELSE 'frames' END AS kind, count(*) AS n, CASE WHEN NOT odd THEN sum(x) END AS x,
+ CASE WHEN NOT odd THEN count(event) END AS events
+FROM (SELECT x, event, CAST({season} AS INT) AS season, (playid * 7 + frameid) % 97 = 0 AS odd FROM track) GROUP BY season, odd
+UNION ALL SELECT 2022, 'unknown header', 1, NULL, NULL""",
+        "table_round_trip": f"""SELECT gameid, playid, pff_passcoverage, count(*) AS n, min(frameid) AS first, max(frameid) AS last, sum(t.x) AS x, sum(t.y) AS y
+FROM track t JOIN crop USING (gameid, playid) JOIN (SELECT gameid, playid, pff_passcoverage FROM plays) USING (gameid, playid)
+WHERE frameid >= snap AND (clip IS NULL OR frameid <= clip) AND {season} = 2021 GROUP BY 1, 2, 3""",
+        "preds_files": "SELECT * FROM mlong WHERE model <> 'one_high' OR class = '1'",
+        "formations_file": "SELECT * REPLACE (CAST(gameid AS INT) AS gameid, CAST(playid AS INT) AS playid) FROM forms",
         "games_union": "SELECT *, CASE WHEN season = 2022 THEN gameid % 41 END AS visitorfinalscore FROM games",
         "players_union": """SELECT nflid, '6-2' AS height, 200 + nflid % 50 AS weight, '1995-01-01' AS birthdate, 'State' AS collegename, position,
  concat('Player ', nflid) AS displayname, season FROM players""",

@@ -1,6 +1,7 @@
 """Files written in the release layouts and read back."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from turfline.operators import tracking as tr
 from turfline.sources import readers, sinks
@@ -156,3 +157,51 @@ def test_bucketed_tables_need_no_shuffle(spark, warehouse, rows):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
         spark.sql("DROP TABLE track_b")
         spark.sql("DROP TABLE plays_b")
+
+
+def test_stored_tables_prune_seasons_and_need_no_shuffle(spark, warehouse, rows):
+    from turfline.plans import pipelines as pp
+    from turfline.plans.registry import SEASON
+
+    track = warehouse.track.withColumn("season", F.expr(SEASON))
+    got = pp.season_extents(*pp.stored_by_play(track, warehouse.plays, 4), 2021)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    scans = [line for line in plan.splitlines() if "FileScan" in line and "playdirection" not in line and "frameid" in line]
+    assert scans and all("PartitionFilters: [isnotnull(season" in line for line in scans)
+    assert rows(got) == rows(pp.season_extents(track, warehouse.plays, 2021)) and got.count() > 0
+
+
+FRAME = {"gameid": "1", "playid": "2", "nflid": "3", "frameid": "4", "time": "2021-09-09T20:00:00", "jerseynumber": "9", "team": "A",
+         "playdirection": "left", "x": "1.5", "y": "2.5", "s": "1", "a": "1", "dis": "1", "o": "NA", "dir": "1", "event": "NA"}
+
+
+def frame_file(folder, name, lines, columns=None, spell=str):
+    columns = columns or list(FRAME)
+    body = [",".join(spell(c) for c in columns)] + [line if isinstance(line, str) else ",".join((FRAME | line)[c] for c in columns) for line in lines]
+    return write(folder, name, "\n".join(body) + "\n")
+
+
+def test_manifest_drives_the_load(spark, tmp_path):
+    """Columns in another order, many files of a header, bad values, short lines and a file of another kind."""
+    turned = list(FRAME)[::-1]
+    files = [frame_file(tmp_path, f"week{i}.csv", [{"frameid": str(i)}, {"frameid": "x7"}], spell=str.upper) for i in range(4)]
+    files += [frame_file(tmp_path, "other.csv", [{"frameid": "40"}, "1,2"], turned), write(tmp_path, "notes.csv", "gameId,note\n1,a\n2,b\n")]
+    manifest = readers.release_manifest(spark, {2021: files})
+    assert sorted((m["layout"] or 0, len(m["files"])) for m in manifest) == [(0, 1), (2021, 1), (2021, 4)]
+    frames, rejects = readers.load_releases(spark, manifest)
+    got = frames.orderBy("frameid").select("frameid", "x", "team", "o", "season").collect()
+    assert [tuple(r) for r in got] == [(i, 1.5, "A", None, 2021) for i in (0, 1, 2, 3, 40)]
+    left = sorted((r["file"].rsplit("/", 1)[-1], r["reason"], r["line"] and "x7" in r["line"]) for r in rejects.collect())
+    assert left == [("notes.csv", "unknown header", None), ("other.csv", "value", False), *[(f"week{i}.csv", "value", True) for i in range(4)]]
+    none, some = readers.load_releases(spark, [m for m in manifest if m["layout"] is None])
+    assert none.count() == 0 and "season" in none.columns and some.count() == 1
+
+
+def test_headers_of_many_files_are_one_leg_each(spark, tmp_path):
+    wide = [write(tmp_path, f"m{i}_preds_2025030{i}.csv", "set,clip_id,actual,pred0,pred1\na,1,0,0.25,0.75\n") for i in range(1, 7)]
+    one = write(tmp_path / "file=two_high_preds_20250215", "part-0.csv", "set,clip_id,actual,pred\na,1,1,0.5\n")
+    got = readers.read_model_predictions(spark, [*wide, one])
+    assert got._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
+    found = sorted((r["model"], str(r["date"]), r["class"], r["odds"]) for r in got.collect())
+    assert found == sorted([(f"m{i}", f"2025-03-0{i}", c, o) for i in range(1, 7) for c, o in (("0", 0.25), ("1", 0.75))] + [("two_high", "2025-02-15", "1", 0.5)])

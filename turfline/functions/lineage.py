@@ -32,6 +32,11 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark).rstrip('/')}/turfline-{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path below the folder of this application, removed by ``drop_written``."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def drop_written(spark: SparkSession) -> None:
     """Delete all tables that this application wrote; results that still read them must be stored before."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
@@ -46,6 +51,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The tables of an application share a folder, see ``drop_written``.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

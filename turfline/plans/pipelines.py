@@ -14,13 +14,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turfline.functions.lineage import cut_lineage
+from turfline.functions.lineage import cut_lineage, scratch
 from turfline.functions.sampling import row_hash, sample_group, train_split
 from turfline.functions.skew import HOT_ROWS
 from turfline.operators import formations as fm
 from turfline.operators import plays as pl
 from turfline.operators import tracking as tr
 from turfline.operators import zones as zn
+from turfline.sources.sinks import write_by_play
 
 ONE_HIGH_COVERAGES = ("Cover-1", "Cover-3")
 
@@ -80,6 +81,30 @@ def random_play_depths(
         after, tries = rows[-1]["_h"], tries * 4
 
 
+def stored_by_play(track: DataFrame, plays: DataFrame, buckets: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Frames and plays as tables bucketed by play, the frames in folders by season, both below the application's folder."""
+    tables = []
+    for df in (track, plays.drop("season")):
+        path = scratch(track.sparkSession)
+        name = f"turfline_{path.rsplit('/', 1)[-1]}"
+        write_by_play(df, name, buckets, season="season" if "season" in df.columns else None, path=path)
+        tables.append(track.sparkSession.table(name))
+    return tables[0], tables[1]
+
+
+def season_extents(track: DataFrame, plays: DataFrame, season: int) -> DataFrame:
+    """Kept frames of every play of a season with its coverage: their number, first and last one, and sums of the coordinates.
+
+    Over tables of ``stored_by_play`` crop, joins and sums stay in the buckets.
+    """
+    frames = track.where(F.col("season") == season)
+    kept = tr.clip_frames(frames, tr.play_crop(frames), hot_rows=None)
+    named = kept.join(plays.select(*tr.PLAY, "pff_passcoverage"), list(tr.PLAY))
+    return named.groupBy(*tr.PLAY, "pff_passcoverage").agg(
+        F.count(F.lit(1)).alias("n"), F.min("frameid").alias("first"), F.max("frameid").alias("last"), F.sum("x").alias("x"), F.sum("y").alias("y")
+    )
+
+
 def alignments(track: DataFrame, plays: DataFrame, players: DataFrame) -> DataFrame:
     """Offensive players at the snap."""
     snaps = cut_lineage(fm.snap_places(track))

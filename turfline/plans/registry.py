@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import yard_label
-from turfline.functions.lineage import cut_lineage
+from turfline.functions.lineage import cut_lineage, scratch
 from turfline.functions.sampling import kfold, sample_rows, zscore
 from turfline.operators import formations as fm
 from turfline.operators import grids as gr
@@ -19,6 +19,7 @@ from turfline.operators import scoring as sc
 from turfline.operators import tracking as tr
 from turfline.operators import zones as zn
 from turfline.plans import pipelines as pp
+from turfline.sources import readers, sinks
 from turfline.sources.warehouse import Warehouse
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +75,54 @@ def tracking_union(w):
     )
 
 
+#: Season of a game in the warehouse.
+SEASON = "CASE (gameid - 2018000000) % 3 WHEN 0 THEN 2018 WHEN 1 THEN 2021 ELSE 2022 END"
+
+
+@query
+def release_load(w):
+    """Frames written as CSV releases in three layouts, found, loaded and summed; some lines and one file do not fit."""
+    base = scratch(w.spark)
+    odd = (F.col("playid") * 7 + F.col("frameid")) % 97 == 0
+    for year, release in zip((2018, 2021, 2022), w.tracking_releases()):
+        full = release.withColumn("x", F.when(odd, F.lit("oops")).otherwise(F.col("x").cast("string")))
+        cells = [F.col(f.name) if f.name in full.columns else F.lit(None).cast("string").alias(f.name) for f in readers.layout(year)]
+        sinks.write_csv(full.select(*cells), f"{base}/release-{year}/weeks")
+    sinks.write_csv(w.games.limit(1).select("gameid"), f"{base}/release-2022/weeks/extra")
+    releases = readers.find_releases(w.spark, base, "release-*")
+    files = {s: readers.find_files(w.spark, {s: f}, "weeks/*.csv")[s] for s, f in releases.items()}
+    files[2022] += readers.find_files(w.spark, {2022: releases[2022]}, "weeks/extra/*.csv")[2022]
+    frames, rejects = readers.load_releases(w.spark, readers.release_manifest(w.spark, files))
+    loaded = frames.groupBy("season").agg(F.lit("frames").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.count("event").alias("events"))
+    left = rejects.groupBy("season", F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return pl.stack([loaded, left])
+
+
+@query
+def table_round_trip(w):
+    """One season's kept frames per play, from tables bucketed by play and kept by season: no shuffle, no other season read."""
+    return pp.season_extents(*pp.stored_by_play(w.track.withColumn("season", F.expr(SEASON)), w.plays), 2021)
+
+
+@query
+def preds_files(w):
+    """Odds written as files of two layouts, one per model and day, and read back in long form."""
+    base = scratch(w.spark)
+    named = w.model_preds.withColumn("file", F.format_string("%s_preds_%s", "model", F.date_format("date", "yyyyMMdd"))).drop("model", "date")
+    one = F.col("file").startswith("one_high")
+    for rows in (named.where(~one), named.where(one).drop("pred0", "pred2").withColumnRenamed("pred1", "pred")):
+        rows.write.mode("append").partitionBy("file").options(header=True, nullValue="NA").csv(base)
+    return readers.read_model_predictions(w.spark, [f"{base}/*"])
+
+
+@query
+def formations_file(w):
+    """Formations through the CSV sink and its reader."""
+    path = scratch(w.spark)
+    sinks.write_csv(_formations(w), path)
+    return readers.read_formations(w.spark, path)
+
+
 @query
 def games_union(w):
     return pl.unify_games(w.games_by_season())

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turfline.operators.plays import clean_plays, stack, unify_games, unify_players, unify_tracking
+from turfline.functions.lineage import cut_lineage
+from turfline.operators.plays import TRACKING_COLUMNS, clean_plays, stack, unify_games, unify_players, unify_tracking
 from turfline.operators.scoring import preds_long
 from turfline.sources import schemas
 
@@ -40,6 +42,29 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return [name.strip() for name in next(csv.reader([line]))]
 
 
+def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """First line of every file (``file, header``), of any number of files in one job.
+
+    Ids rise in the order in which lines are read, and a file's first line lies in its first block.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("at")
+    )
+    return lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def _names(header: str) -> list[str]:
+    return [name.strip().lower() for name in next(csv.reader([header]))]
+
+
+def by_header(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
+    """Files per distinct header; the driver holds one line per file, as it holds their names."""
+    found: dict[str, list[str]] = {}
+    for row in headers(spark, paths).orderBy("file").collect():
+        found.setdefault(row["header"], []).append(unquote(row["file"]))
+    return found
+
+
 def read_named(spark: SparkSession, path: str | Sequence[str], types: Mapping[str, str] = _KNOWN, default: str = "string") -> DataFrame:
     """CSV whose columns are taken from its header line and typed by name.
 
@@ -62,6 +87,55 @@ def load_tracking(spark: SparkSession, by_season: Mapping[int, str | Sequence[st
     return stack([unify_tracking([df]).withColumn("season", F.lit(s)) for s, df in legs.items()])
 
 
+def layout(year: int) -> T.StructType:
+    """Columns of a release's tracking files, in order."""
+    return T.StructType.fromDDL(schemas.TRACKING[year])
+
+
+def release_manifest(spark: SparkSession, files: Mapping[int, Sequence[str]]) -> list[dict]:
+    """What a load will read: ``season, layout, header, files`` for every season and distinct header.
+
+    The layout is the release whose columns the header names, in any order; None if there is no such release.
+    """
+    entries = []
+    for season, paths in sorted(files.items()):
+        for header, group in by_header(spark, list(paths)).items():
+            names = _names(header)
+            fits = [year for year in schemas.TRACKING if sorted(layout(year).names) == sorted(names)]
+            entries.append({"season": season, "layout": fits[0] if fits else None, "header": header, "files": group})
+    return entries
+
+
+def load_releases(spark: SparkSession, manifest: Sequence[Mapping]) -> tuple[DataFrame, DataFrame]:
+    """Tracking frames of a manifest in one layout with ``season``, and what did not fit: ``season, file, line, reason``.
+
+    One plan leg per entry, however many files it has. Lines are parsed once
+    and written, so that frames and rejects come from the same reading. A line
+    with a value of another type or another number of values is a reject with
+    its text; a file without a known layout is one reject without line.
+    """
+    legs, unknown = [], []
+    for entry in manifest:
+        if entry["layout"] is None:
+            unknown += [(entry["season"], f, None, "unknown header") for f in entry["files"]]
+            continue
+        types = {f.name: f for f in layout(entry["layout"])}
+        schema = T.StructType([types[n] for n in _names(entry["header"])]).add("_line", T.StringType())
+        # Without pruning, so that the number of values of a line is checked.
+        lines = read_csv(spark, entry["files"], schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", columnPruning=False)
+        named = lines.withColumnRenamed("club", "team") if "team" not in schema.names else lines
+        cells = [F.col(c).alias(c) for c in TRACKING_COLUMNS]
+        legs.append(named.select(*cells, "_line", F.col("_metadata.file_path").alias("_file"), F.lit(entry["season"]).alias("season")))
+    shape = "season int, file string, line string, reason string"
+    rejects = spark.createDataFrame(unknown, shape)
+    if not legs:
+        frames = spark.createDataFrame([], T.StructType([layout(2021)[c] for c in TRACKING_COLUMNS]).add("season", T.IntegerType()))
+        return frames, rejects
+    parsed = cut_lineage(stack(legs))
+    bad = parsed.where(F.col("_line").isNotNull()).select("season", F.col("_file").alias("file"), F.col("_line").alias("line"), F.lit("value").alias("reason"))
+    return parsed.where(F.col("_line").isNull()).drop("_line", "_file"), bad.unionByName(rejects)
+
+
 def load_games(spark: SparkSession, by_season: Mapping[int, str | Sequence[str]]) -> DataFrame:
     return unify_games({s: read_named(spark, p) for s, p in by_season.items()})
 
@@ -127,26 +201,31 @@ def read_scenario_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _file_facts(df: DataFrame, suffix: str) -> DataFrame:
-    """Model and date from the file name: ``<model>_<suffix>...<yyyymmdd>...``."""
-    name = F.col("_metadata.file_name")
+    """Model and date from the file name, ``<model>_<suffix>...<yyyymmdd>...``, or from its folder's, as Spark writes folders."""
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    file, folder = F.element_at(parts, -1), F.element_at(parts, -2)
+    name = F.when(file.contains(suffix), file).otherwise(F.regexp_replace(folder, "^[^=]*=", ""))
     model = F.regexp_replace(F.regexp_substr(name, F.lit(f".+{suffix}")), f"_{suffix}$", "")
     date = F.to_date(F.regexp_substr(name, F.lit(r"\d{8}")), "yyyyMMdd")
     return df.select("*", model.alias("model"), date.alias("date"))
 
 
-def read_model_predictions(spark: SparkSession, paths: Sequence[str], skip: str = "hierarchy") -> DataFrame:
-    """Odds per clip and class from one file per model, long form.
+def read_model_predictions(spark: SparkSession, paths: str | Sequence[str], skip: str = "hierarchy") -> DataFrame:
+    """Odds per clip and class from the files of all models, long form.
 
-    Files differ in their class columns, so each is read by its own header;
-    files whose name contains ``skip`` are left out.
+    Files differ in their class columns. One job reads all headers, and the
+    files of a header are one leg of the plan; model and date come from the
+    file's metadata. Files or folders whose name contains ``skip`` are left out.
     """
     parts = []
-    for path in paths:
-        if skip and skip in path.rsplit("/", 1)[-1]:
+    for header, files in by_header(spark, paths).items():
+        kept = [f for f in files if not (skip and any(skip in part for part in f.split("/")[-2:]))]
+        if not kept:
             continue
-        names = [n.lower() for n in header_of(spark, path)]
+        names = _names(header)
         types = {"clip_id": "bigint"} | {n: "double" for n in names if "pred" in n}
-        parts.append(preds_long(_file_facts(read_named(spark, path, types), "preds")))
+        schema = T.StructType.fromDDL(", ".join(f"`{n}` {types.get(n, 'string')}" for n in names))
+        parts.append(preds_long(_file_facts(read_csv(spark, kept, schema, enforceSchema=False), "preds")))
     return stack(parts)
 
 

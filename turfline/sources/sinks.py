@@ -28,11 +28,19 @@ def write_tracking(track: DataFrame, path: str, season: str | None = "season", k
     (writer.partitionBy(season) if season else writer).parquet(path)
 
 
-def write_by_play(df: DataFrame, table: str, buckets: int, keys: Sequence[str] = PLAY) -> None:
-    """Table bucketed and sorted by play.
+def write_by_play(
+    df: DataFrame, table: str, buckets: int, keys: Sequence[str] = PLAY, season: str | None = None, path: str | None = None
+) -> None:
+    """Table bucketed and sorted by play, and in folders by ``season`` if that is given.
 
     Play-level joins, aggregates and windows over tables bucketed alike need no
-    shuffle; call the operators with ``hot_rows=None`` to use it.
+    shuffle; call the operators with ``hot_rows=None`` to use it. A filter on
+    the season reads only its folders. With ``path`` the files lie there.
     """
-    # One writer task per bucket keeps the number of files at ``buckets``.
-    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    # One writer task per bucket keeps the number of files at ``buckets`` a season.
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
+    if season:
+        writer = writer.partitionBy(season)
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
