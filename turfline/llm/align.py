@@ -257,30 +257,44 @@ class Words:
 
     def _together(self, words: list[str]) -> dict[str, tuple | None]:
         """Words that a blank starts and another character ends, encoded as one text and cut at their own ends."""
-        whole = next(self._aligned(["".join(words)]))
+        text = "".join(words)
+        whole = next(self._aligned([text]))
         if whole is None:
             return self._alone(words)
-        ends = np.cumsum([len(w.encode()) for w in words])
+        ends = np.cumsum(list(map(len, words)))
+        if not text.isascii():  # characters to bytes: all bytes but the following ones of a character start one
+            raw = np.frombuffer(text.encode(), np.uint8)
+            ends = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[ends]
         at = np.searchsorted(whole.ends, ends)
         if (whole.ends[at] != ends).any():
             return self._alone(words)
         upto = whole.a_upto[at], whole.b_upto[at], at + 1, whole.chars_upto[at], whole.links_upto[at]
         numbers = [np.diff(u, prepend=0).tolist() for u in upto[:3]]
         (c0, c1), (l0, l1) = [([0, *u.tolist()], u.tolist()) for u in upto[3:]]
-        text, links = whole.text, whole.links.tobytes()
-        return {w: (a, b, g, text[c : d - 1], links[8 * i : 8 * j]) for w, a, b, g, c, d, i, j in zip(words, *numbers, c0, c1, l0, l1)}
+        groups, links = whole.text, whole.links.tobytes()
+        return {w: (a, b, g, groups[c : d - 1], links[8 * i : 8 * j]) for w, a, b, g, c, d, i, j in zip(words, *numbers, c0, c1, l0, l1)}
 
     def _known(self, words: set[str]) -> dict[str, tuple | None]:
         young, old = self.young, self.old
-        known = {w: young[w] if w in young else old[w] for w in words if w in young or w in old}
-        missing = [w for w in words if w not in known]
+        known = {w: young[w] for w in words & young.keys()}
+        again = {w: old[w] for w in words & old.keys() if w not in known}
+        missing = [w for w in words if w not in known and w not in again]
+        fresh: dict[str, tuple | None] = {}
         if self.by_word:
             odd = [w for w in missing if MARK in w or w[-1].isspace()]
-            plain = [w for w in missing if not (MARK in w or w[-1].isspace())]
-            known |= self._alone(odd) if odd else {}
-            known |= self._together(plain) if plain else {}
+            if odd:
+                fresh |= self._alone(odd)
+                missing = [w for w in missing if w not in fresh]
+            if missing:
+                fresh |= self._together(missing)
         elif missing:
-            known |= self._alone(missing)
+            fresh = self._alone(missing)
+        young |= again
+        young |= fresh if max(map(len, fresh), default=0) <= KEPT_LENGTH else {w: r for w, r in fresh.items() if len(w) <= KEPT_LENGTH}
+        if len(young) > KEPT_WORDS:
+            self.old, self.young = young, {}
+        known |= again
+        known |= fresh
         return known
 
     def align(self, texts: list[str]) -> list[tuple]:
@@ -296,9 +310,6 @@ class Words:
             n_a, n_b, n_groups, groups, links = zip(*rows)
             pairs, times = np.unique(np.frombuffer(b"".join(links), np.int64), return_counts=True)
             out.append((sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), ";".join(groups), pairs, times))
-        self.young.update((w, r) for w, r in known.items() if len(w) <= KEPT_LENGTH)
-        if len(self.young) > KEPT_WORDS:
-            self.old, self.young = self.young, {}
         return out
 
 
