@@ -49,10 +49,10 @@ MARK = "▁"
 #: Most pairs that are sent to every task, 16 bytes each; a pair must have this part of all links.
 HOT_SHARE = 200_000
 #: Bytes of text that a task turns into tokens at a time (one longer text is a turn of its own).
-TURN_BYTES = 1_000_000
+TURN_BYTES = 300_000
 #: Words that a task keeps in each of two generations, and characters of the longest one kept; both bound its memory
 #: and leave results alone.
-KEPT_WORDS = 100_000
+KEPT_WORDS = 80_000
 KEPT_LENGTH = 48
 _WORDS = re.compile(r"(?<=\S)(?= \S)").split
 
