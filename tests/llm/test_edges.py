@@ -84,3 +84,33 @@ def test_one_language_and_no_labels(spark):
     assert {r.lang_pred for r in language.identify(df, language.fit(df)).collect()} == {"en"}
     none = df.where("false").selectExpr("doc_id", "1 as quality")
     assert {r.score for r in quality.score(df, quality.fit(df, none)).collect()} == {0.5}
+
+
+def test_language_sample_is_bounded_without_keys(spark, monkeypatch):
+    """Rows without key, repeated rows and rows with one key leave the sample within its bound."""
+    rows = [(None, f"word number {i} in a line", "en", "a", 1) for i in range(3000)]
+    rows += [(7, "ein und derselbe Satz", "de", "a", 1)] * 2000 + [(8, f"ein Satz mit der Zahl {i}", "de", "a", 1) for i in range(2000)]
+    seen = []
+    original = language._ftrl
+    monkeypatch.setattr(language, "_ftrl", lambda data, *rest: seen.append(len(data)) or original(data, *rest))
+    model = language.fit(documents(spark, rows), rows_per_language=20)
+    assert model.languages == ["de", "en"] and 0.8 * 30 <= seen[0] <= 0.8 * 40
+    assert model.predict("eine Zahl und ein Satz")[0] == "de"
+
+
+def test_turns_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from turfline.llm.common import turns
+
+    texts = pa.array(["a" * 10, None, "b" * 50, "c" * 5, "d" * 5, "", "e"])
+    assert list(turns([texts], 3, 30)) == [(0, 2), (2, 1), (3, 3), (6, 1)]
+    assert list(turns([texts.slice(3)], 9, 30)) == [(0, 4)] and list(turns([texts.slice(7)])) == []
+
+
+def test_a_long_text_without_blanks(spark):
+    """Ten megabytes in one chunk are encoded and decoded, and not kept."""
+    text = "ab\tcd\n" * 1_700_000
+    df = documents(spark, [(1, text, "en", "a", 1), (2, "short", "en", "a", 1)])
+    out = pieces.decode(pieces.encode(df)).select("doc_id", F.length("decoded").alias("n"), "n_tokens").collect()
+    assert {r["doc_id"]: r["n"] for r in out} == {1: len(text), 2: 5}

@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that a Python task turns into objects at a time.
+#: Rows, and bytes of text, that a Python task turns into objects at a time; one longer text is a turn of its own.
 CHUNK_ROWS = 256
+CHUNK_BYTES = 1_000_000
+
+
+def turns(columns: Sequence[pa.Array], rows: int = CHUNK_ROWS, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Start and length of consecutive parts of a batch, bounded by rows and by the bytes of its texts."""
+    n = len(columns[0]) if columns else 0
+    sizes = np.zeros(n, np.int64)
+    for c in columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            sizes += np.asarray(pc.fill_null(pc.binary_length(c), 0), np.int64)
+    start, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and (held + size > most or i - start >= rows):
+            yield start, i - start
+            start, held = i, 0
+        held += size
+    if n > start:
+        yield start, n - start
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +61,8 @@ def with_columns(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(start, CHUNK_ROWS)
+            for start, length in turns(batch.columns[n:]):
+                part = batch.slice(start, length)
                 columns = compute(*[c.to_pylist() for c in part.columns[n:]])
                 new = [pa.array(c, type=f.type) for c, f in zip(columns, arrow)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *new], names=[*passed, *arrow.names])
@@ -60,8 +80,8 @@ def flat_rows(df: DataFrame, inputs: Sequence[str], make: Callable[[], Callable]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK_ROWS):
-                columns = compute(*[c.to_pylist() for c in batch.slice(start, CHUNK_ROWS).columns])
+            for start, length in turns(batch.columns):
+                columns = compute(*[c.to_pylist() for c in batch.slice(start, length).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     return staged.mapInArrow(run, schema)

@@ -96,18 +96,20 @@ def fit(
     docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
     rows_per_language: int = ROWS_PER_LANGUAGE, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3,
 ) -> LanguageModel:
-    """Fit on at most ``rows_per_language`` labelled rows of each language, chosen by a hash of the key.
+    """Fit on at most ``rows_per_language`` different labelled rows of each language, chosen by a hash of the row.
 
     A fifth of the sample sets the temperature. Rows without a language or
     without a letter are skipped; without any row, everything is ``und``.
     """
-    keyed = docs.select(F.col(key).alias("k"), F.col(lang).alias("l"), F.xxhash64(F.col(key), F.lit(10)).alias("h")).where("l is not null")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
-    bound = keyed.withColumn("r", rank).where(F.col("r") <= rows_per_language).groupBy("l").agg(F.max("h").alias("most"))
-    picked = (
-        docs.select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.lit(10)).alias("h"))
-        .join(F.broadcast(bound), "l").where(F.col("h") <= F.col("most"))
-    )
+    # The hash of the whole row: rows without key, or with one key, are told apart.
+    row = F.xxhash64(F.col(text), F.col(lang), F.col(key), F.lit(10))
+    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), row.alias("h"))
+    sizes = labelled.groupBy("l").agg(F.count(F.lit(1)).alias("n"))  # one row per language
+    # A threshold lets about twice the wanted rows through; of those, equal rows count once and the exact cut follows.
+    low = F.pmod(F.col("h"), F.lit(1 << 32)) <= F.least(F.lit(1.0), 2.0 * rows_per_language / F.col("n")) * (1 << 32)
+    once = labelled.join(F.broadcast(sizes), "l").where(low).groupBy("l", "h").agg(F.first("t").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    picked = once.withColumn("r", rank).where(F.col("r") <= rows_per_language)
 
     def counted():
         def of(langs, hashes, texts):

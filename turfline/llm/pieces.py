@@ -12,8 +12,10 @@ from turfline.llm.common import table, with_columns
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Entries of the chunk table of a task; beyond, it starts anew (a cache, so results do not change).
-TABLE_ENTRIES = 300_000
+#: Entries of the chunk table of a task; beyond, it starts anew (a cache, so results do not change). Longer chunks are
+#: segmented each time and not kept, so the table stays below some 30 MB.
+TABLE_ENTRIES = 150_000
+KEPT_LENGTH = 64
 _CHUNKS = re.compile(" +[^ ]*").findall
 
 
@@ -44,11 +46,12 @@ class ChunkTable(dict):
         self.mark = [processor.piece_to_id(MARK)]
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= TABLE_ENTRIES:
-            self.clear()
         # The library puts one marker before a text: give it the chunk without its first one.
-        ids = self.encode(chunk[1:]) if len(chunk) > 1 else self.mark
-        packed = self[chunk] = _pack(ids)
+        packed = _pack(self.encode(chunk[1:]) if len(chunk) > 1 else self.mark)
+        if len(chunk) <= KEPT_LENGTH:
+            if len(self) >= TABLE_ENTRIES:
+                self.clear()
+            self[chunk] = packed
         return packed
 
 
