@@ -6,7 +6,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from turfline.functions.lineage import cut_lineage
 from turfline.llm.common import flat_rows, table, with_columns
 from turfline.llm.sample import by_hash
-from turfline.llm.spans import SPANS, apart, as_rows, joined, of_kind
+from turfline.llm.spans import SPANS, as_rows, joined, of_kind
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -27,9 +27,11 @@ SHORTEST = 6
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 _SEPARATOR = re.compile("[=/-]")
 #: Most labelled strings of a kind, and most background candidates, that are learned from (the
-#: documented bound of the sample), and the longest of them.
+#: documented bound of the sample), and the longest of them; scoring and thresholds have no such bound.
 SAMPLE_STRINGS = 1500
-LONGEST = 400
+SAMPLE_LENGTH = 400
+#: Runs whose scores a task keeps, and the longest of them.
+KEPT_RUNS, KEPT_LENGTH = 50_000, 64
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, float]]:
@@ -44,12 +46,39 @@ def base_spans(text: str) -> list[tuple[str, int, int, float]]:
 
 
 def symbols(s: str) -> str:
-    """The string over the automata's alphabet: digits, letters up to f and beyond in both cases, signs as they are."""
+    """The classes of the characters: digits, letters up to f and beyond in both cases, signs as they are."""
     return s.translate(_SYMBOLS)
 
 
 _SYMBOLS = {ord(c): "0" if c.isdigit() else "a" if c in "abcdef" else "g" if c.islower() else "A" if c in "ABCDEF" else "G" for c in
             "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+#: Characters of a class; a sign, and the end, is a class of its own.
+_SIZE = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
+_CLASSES = 12
+#: Least probability of a difference by chance, when states are told apart and when a character stands out in its class.
+CHANCE = 1e-4
+
+
+def _choose(n: int, k: int) -> float:
+    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+
+def _more(x: int, n: int, y: int, m: int) -> bool:
+    """Fisher's exact test: whether ``x`` of ``n`` is more than chance beside ``y`` of ``m``; it holds for any counts."""
+    both = x + y
+    if x * m <= y * n or (x / n - y / m) ** 2 < 4 * (q := both / (n + m)) * (1 - q) * (1 / n + 1 / m):
+        return False
+    whole = _choose(n + m, both)
+    tail = sum(math.exp(_choose(n, k) + _choose(m, both - k) - whole) for k in range(x, min(n, both, x + 60) + 1))
+    return tail < CHANCE
+
+
+def _stands_out(x: int, n: int, size: int) -> bool:
+    """Binomial test: whether ``x`` of ``n`` is more than chance for one of ``size`` equally likely characters."""
+    if size == 1 or x * size <= n:
+        return False
+    p, q = math.log(1 / size), math.log(1 - 1 / size)
+    return sum(math.exp(_choose(n, k) + k * p + (n - k) * q) for k in range(x, min(n, x + 60) + 1)) < CHANCE
 
 
 @dataclass
@@ -58,6 +87,9 @@ class Automaton:
 
     counts: list[Counter] = field(default_factory=lambda: [Counter()])
     follow: list[dict] = field(default_factory=lambda: [{}])
+    _steps: list[dict] = field(default_factory=list, repr=False)
+    #: Characters of all states.
+    _wide: Counter = field(default_factory=Counter, repr=False)
 
     def add(self, s: str) -> None:
         at = 0
@@ -70,90 +102,210 @@ class Automaton:
             at = self.follow[at][c]
         self.counts[at][""] += 1
 
-    def likelihood(self, s: str, alphabet: int = 16) -> float:
-        """Mean log-probability of a symbol and of the end; unseen ones get a small share."""
-        at, total = 0, 0.0
-        for c in (*s, ""):
-            n = sum(self.counts[at].values())
-            seen = self.counts[at][c]
-            total += math.log((seen + 0.01) / (n + 0.01 * alphabet))
-            # After an unseen symbol, go on as from the start.
-            at = self.follow[at].get(c, self.follow[0].get(c, 0))
-        return total / (len(s) + 1)
-
-
-def _compatible(a: Automaton, x: int, y: int, alpha: float) -> bool:
-    """Hoeffding test of the next-symbol shares of two states and of all that follow both."""
-    todo = [(x, y)]
-    while todo:
-        x, y = todo.pop()
-        p, q = a.counts[x], a.counts[y]
-        n, m = sum(p.values()), sum(q.values())
-        if not n or not m:
-            continue
-        bound = math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-        if any(abs(p[c] / n - q[c] / m) > bound for c in p.keys() | q.keys()):
-            return False
-        # Rarely seen states pass any such test.
-        if n >= 8 and m >= 8:
-            todo += [(t, a.follow[y][c]) for c, t in a.follow[x].items() if c in a.follow[y]]
-    return True
-
-
-def _fold(a: Automaton, x: int, y: int) -> None:
-    """Merge the tree under ``y`` into ``x``."""
-    todo = [(x, y)]
-    while todo:
-        x, y = todo.pop()
-        a.counts[x].update(a.counts[y])
-        for c, t in a.follow[y].items():
-            if c in a.follow[x]:
-                todo.append((a.follow[x][c], t))
-            else:
-                a.follow[x][c] = t
-        a.follow[y] = {}
-
-
-def infer(strings: list[str], alpha: float = 0.05) -> Automaton:
-    """State merging on the prefix tree: a state joins the first compatible red one, or turns red."""
-    a = Automaton()
-    for s in strings:
-        a.add(s)
-    red = [0]
-    blue = [(0, c) for c in sorted(a.follow[0])]
-    while blue:
-        parent, c = blue.pop(0)
-        y = a.follow[parent].get(c)
-        if y is None or y in red:
-            continue
-        for x in red:
-            if _compatible(a, x, y, alpha):
-                a.follow[parent][c] = x
-                _fold(a, x, y)
-                break
+    def step(self, at: int, c: str) -> tuple[float, int]:
+        """Log-probability of a character in a state, and the state after it; computed once."""
+        if not self._steps:
+            self._steps = [{} for _ in self.counts]
+            self._wide = sum(self.counts, Counter())
+        got = self._steps[at].get(c)
+        if got is None:
+            got = self._steps[at][c] = (self._log(at, c), self._after(at, c))
+        return got
+
+    def _log(self, at: int, c: str) -> float:
+        """Characters that stand out in their class have their own share. The others of the class that any state has
+        seen share the rest evenly, less the part that single sightings have; that goes to unseen ones (Good and Turing)."""
+        counts, kind = self.counts[at], symbols(c)
+        wide = {x: k for x, k in self._wide.items() if symbols(x) == kind}
+        size, total = _SIZE.get(kind, 1), sum(counts[x] for x in wide)
+        own = {x: counts[x] for x in wide if _stands_out(counts[x], total, size)}
+        rest, unseen = total - sum(own.values()), size - len(wide)
+        once = rest * sum(k == 1 for k in wide.values()) / sum(wide.values()) + 0.1 if unseen and wide else 0.1
+        if c in own:
+            share = own[c]
+        elif c in wide:
+            share = max(rest - once * (unseen > 0), 0.1) / (len(wide) - len(own))
         else:
-            red.append(y)
-        blue = [(r, c) for r in red for c in sorted(a.follow[r]) if a.follow[r][c] not in red]
-    return _compact(a, red)
+            share = once / unseen
+        return math.log(share / (sum(counts.values()) + 0.1 * _CLASSES))
+
+    def _after(self, at: int, c: str) -> int:
+        """The next state; for an unseen character the commonest one of its class, or of all; after the last, the same."""
+        follow, counts = self.follow[at], self.counts[at]
+        if c in follow:
+            return follow[c]
+        alike = [x for x in follow if symbols(x) == symbols(c)] or list(follow)
+        return follow[max(alike, key=lambda x: (counts[x], x))] if alike else at
+
+    def likelihood(self, s: str) -> float:
+        """Mean log-probability of a character and of the end."""
+        return self.tails(s, [0])[0]
+
+    def tails(self, s: str, starts: list[int]) -> list[float]:
+        """``likelihood`` of what follows each of the ascending ``starts``.
+
+        Walks that reach one state at one place go on as one, so the work is
+        bounded by the length times the states, however many starts there are.
+        """
+        if len(starts) == 1:
+            at, total = 0, 0.0
+            for c in s[starts[0] :]:
+                log, at = self.step(at, c)
+                total += log
+            return [(total + self.step(at, "")[0]) / (len(s) - starts[0] + 1)]
+        walks: dict[int, tuple[float, list]] = {}
+        due = 0
+        for i, c in enumerate((*s, "")):
+            while due < len(starts) and starts[due] == i:
+                _join(walks, 0, 0.0, [(due, 0.0)])
+                due += 1
+            moved: dict[int, tuple[float, list]] = {}
+            for at, (total, members) in walks.items():
+                log, to = self.step(at, c)
+                _join(moved, to, total + log, members)
+            walks = moved
+        out = [0.0] * len(starts)
+        for total, members in walks.values():
+            for d, offset in members:
+                out[d] = (total + offset) / (len(s) - starts[d] + 1)
+        return out
 
 
-def _compact(a: Automaton, red: list[int]) -> Automaton:
-    name = {r: i for i, r in enumerate(red)}
-    return Automaton([a.counts[r] for r in red], [{c: name[t] for c, t in a.follow[r].items()} for r in red])
+def _join(walks: dict, at: int, total: float, members: list) -> None:
+    """Add walks in state ``at``; the smaller group takes the total of the larger and an offset to it."""
+    if at in walks:
+        other, others = walks[at]
+        if len(members) > len(others):
+            other, others, total, members = total, members, other, others
+        others += [(d, offset + total - other) for d, offset in members]
+        total, members = other, others
+    walks[at] = total, members
+
+
+class _Merging:
+    """States of an automaton as they are merged; merged ones answer to one of them."""
+
+    def __init__(self, strings: Iterable[str]):
+        self.a = Automaton()
+        for s in strings:
+            self.a.add(s)
+        self.parent = list(range(len(self.a.counts)))
+        self.seen = [sum(c.values()) for c in self.a.counts]
+        self.classes: list[Counter] = [Counter() for _ in self.a.counts]
+        for k, of in zip(self.a.counts, self.classes):
+            for c, n in k.items():
+                of[symbols(c)] += n
+        #: Per state, how many strings go on for how many characters.
+        self.left: list[Counter] = [Counter() for _ in self.a.counts]
+        for s in strings:
+            at = 0
+            for i, c in enumerate(s):
+                self.left[at][len(s) - i] += 1
+                at = self.a.follow[at][c]
+            self.left[at][0] += 1
+
+    def state(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def compatible(self, x: int, y: int) -> bool:
+        """Whether the shares of what comes next differ by chance only, in both states and in all that follow both.
+
+        So must the lengths of what is left; this tells places of a fixed format apart without walking to its end.
+        """
+        if self._differ(self.left, self.state(x), self.state(y)):
+            return False
+        todo, done = [(x, y)], set()
+        while todo:
+            x, y = (self.state(z) for z in todo.pop())
+            if x == y or (x, y) in done:
+                continue
+            done.add((x, y))
+            n, m = self.seen[x], self.seen[y]
+            # Not even a complete difference would be beyond chance.
+            if _choose(n + m, n) < -math.log(CHANCE):
+                continue
+            if self._differ(self.a.counts, x, y) or self._differ(self.classes, x, y):
+                return False
+            todo += [(t, self.a.follow[y][c]) for c, t in self.a.follow[x].items() if c in self.a.follow[y]]
+        return True
+
+    def _differ(self, of: list[Counter], x: int, y: int) -> bool:
+        n, m, p, q = self.seen[x], self.seen[y], of[x], of[y]
+        return any(_more(p[c], n, q[c], m) or _more(q[c], m, p[c], n) for c in p.keys() | q.keys())
+
+    def fold(self, x: int, y: int) -> None:
+        """Make one state of two, and of what follows both by the same character."""
+        todo = [(x, y)]
+        while todo:
+            x, y = (self.state(z) for z in todo.pop())
+            if x == y:
+                continue
+            self.parent[y] = x
+            self.a.counts[x].update(self.a.counts[y])
+            self.classes[x].update(self.classes[y])
+            self.left[x].update(self.left[y])
+            self.seen[x] += self.seen[y]
+            for c, t in self.a.follow[y].items():
+                if c in self.a.follow[x]:
+                    todo.append((self.a.follow[x][c], t))
+                else:
+                    self.a.follow[x][c] = t
+            self.a.follow[y] = {}
+
+    def next(self, x: int) -> list[int]:
+        """The states after ``x``, by their least character."""
+        return list(dict.fromkeys(self.state(t) for _, t in sorted(self.a.follow[x].items())))
+
+
+def infer(strings: Iterable[str]) -> Automaton:
+    """Merge compatible states of the prefix tree of the strings.
+
+    First the states after one state, from the root down, the commonest first:
+    they are at one depth, so counts gather where a format leaves the character
+    open, and its literals and lengths stay apart. Then, as usual, a state
+    joins the first compatible one that is settled, or is settled itself.
+    """
+    m = _Merging(sorted(strings))
+    level = [0]
+    while level:
+        below: list[int] = []
+        for x in level:
+            groups: list[int] = []
+            for y in sorted(m.next(x), key=lambda y: (-m.seen[y], y)):
+                into = next((g for g in groups if m.compatible(g, y)), None)
+                if into is None:
+                    groups.append(y)
+                else:
+                    m.fold(into, y)
+            below += groups
+        level = list(dict.fromkeys(m.state(y) for y in below))
+    settled, waiting = [0], m.next(0)
+    while waiting:
+        y = waiting.pop(0)
+        into = next((x for x in settled if m.compatible(x, y)), None)
+        if into is None:
+            settled.append(y)
+        else:
+            m.fold(into, y)
+        settled = list(dict.fromkeys(m.state(x) for x in settled))
+        done = set(settled)
+        waiting = list(dict.fromkeys(t for x in settled for t in m.next(x) if t not in done))
+    name = {x: i for i, x in enumerate(settled)}
+    return Automaton([m.a.counts[x] for x in settled], [{c: name[m.state(t)] for c, t in m.a.follow[x].items()} for x in settled])
 
 
-def parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
-    """What of a run can be a credential: the whole, what follows a ``=``, ``/`` or ``-`` (of LONGEST characters at
-    most), and what lies between two of them; without ``.``, ``-`` and ``=`` at the end, and the whole also with them."""
-    cuts = [m.end() for m in _SEPARATOR.finditer(text, a, b)]
-    starts, ends = [a, *cuts], [*(c - 1 for c in cuts), b]
-    found = {(a, b)}
-    for x, y in [(a, b), *zip(starts, ends), *((x, b) for x in starts if b - x <= LONGEST)]:
-        while y > x and text[y - 1] in ".-=":
-            y -= 1
-        if y - x >= SHORTEST:
-            found.add((x, y))
-    return sorted(found)
+def parts(run: str) -> list[tuple[int, int]]:
+    """What of a run can be a credential: the whole, what follows a ``=``, ``/`` or ``-``, and what
+    lies between two of them; without ``.``, ``-`` and ``=`` at the end, and the whole also with them."""
+    n, end = len(run), len(run.rstrip(".-="))
+    cuts = [m.end() for m in _SEPARATOR.finditer(run)]
+    found = {(0, n), (0, end), *((x, end) for x in cuts)}
+    for x, y in zip([0, *cuts], [*(c - 1 for c in cuts), n]):
+        found.add((x, x + len(run[x:y].rstrip(".-="))))
+    return sorted(p for p in found if p[1] - p[0] >= SHORTEST)
 
 
 @dataclass
@@ -163,62 +315,96 @@ class SecretModel:
     thresholds: dict[str, float] = field(default_factory=dict)
     #: Length of the shortest labelled string of a kind.
     least: dict[str, int] = field(default_factory=dict)
-    _known: dict[str, dict[str, float]] = field(default_factory=dict, repr=False)
-
-    def gain(self, kind: str, s: str) -> float:
-        """How much likelier the kind's format makes a symbol than the background does."""
-        back = self.background.likelihood(s) if self.background else -math.inf
-        return self.automata[kind].likelihood(s) - max(back, -12.0)
-
-    def gains(self, candidate: str) -> dict[str, float]:
-        """Gain of every kind that has so short strings, to a thousandth."""
-        s = symbols(candidate)
-        score = lambda: {k: round(self.gain(k, s), 3) for k in self.automata if len(s) >= self.least.get(k, SHORTEST)}
-        if len(s) > LONGEST:
-            return score()
-        if s not in self._known:
-            if len(self._known) >= 100_000:
-                self._known.clear()
-            self._known[s] = score()
-        return self._known[s]
-
-    def best(self, text: str, spans: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
+    _known: dict[str, list] = field(default_factory=dict, repr=False)
+
+    def shortest(self) -> int:
+        """The length from which any kind can be."""
+        return min((self.least.get(k, SHORTEST) for k in self.automata), default=SHORTEST)
+
+    def scored(self, run: str) -> list[tuple[int, int, dict[str, float]]]:
+        """The parts of a run with the gain of every kind that has so short strings: how much likelier
+        the format makes a character than the background does, to a thousandth. Short runs are kept."""
+        got = self._known.get(run)
+        if got is None:
+            got = self._score(run)
+            if len(run) <= KEPT_LENGTH:
+                if len(self._known) >= KEPT_RUNS:
+                    self._known.clear()
+                self._known[run] = got
+        return got
+
+    def _score(self, run: str) -> list[tuple[int, int, dict[str, float]]]:
+        out, low = [], self.shortest()
+        by_end: dict[int, list[int]] = {}
+        for a, b in parts(run):
+            if b - a >= low:
+                by_end.setdefault(b, []).append(a)
+        for b, starts in by_end.items():
+            # Only the start of the first part matters to the work.
+            s, moved = run[starts[0] : b], [a - starts[0] for a in starts]
+            back = self.background.tails(s, moved) if self.background else [-math.inf] * len(moved)
+            by_kind = {k: m.tails(s, moved) for k, m in self.automata.items()}
+            for i, a in enumerate(starts):
+                gains = {k: round(v[i] - max(back[i], -12.0), 3) for k, v in by_kind.items() if b - a >= self.least.get(k, SHORTEST)}
+                if gains:
+                    out.append((a, b, gains))
+        return out
+
+    def of_string(self, s: str) -> dict[str, float]:
+        """Gain of every kind for one whole string."""
+        return next((g for a, b, g in self.scored(s) if (a, b) == (0, len(s))), {})
+
+    def best(self, scored: list[tuple[int, int, dict[str, float]]]) -> list[tuple[str, int, int, float]]:
         """Of the parts at a threshold or above it, the best ones that do not overlap."""
         found = []
-        for a, b in spans:
-            over = [(g - self.thresholds[k], k) for k, g in self.gains(text[a:b]).items() if k in self.thresholds and g > 0 and g >= self.thresholds[k]]
+        for a, b, gains in scored:
+            over = [(g - self.thresholds[k], k) for k, g in gains.items() if k in self.thresholds and g > 0 and g >= self.thresholds[k]]
             if over:
                 found.append((*max(over), a, b))
-        out: list[tuple[str, int, int, float]] = []
+        out: list[tuple[int, int, str, float]] = []
         for over, kind, a, b in sorted(found, key=lambda f: (-f[0], f[2] - f[3], f[2])):
-            if apart((a, b), [x[1:3] for x in out]):
-                out.append((kind, a, b, over))
-        return out
+            i = bisect_right(out, (a, b))
+            if (i == 0 or out[i - 1][1] <= a) and (i == len(out) or out[i][0] >= b):
+                out.insert(i, (a, b, kind, over))
+        return [(kind, a, b, over) for a, b, kind, over in out]
 
 
-def candidates(text: str, spans: list) -> Iterator[list[tuple[int, int]]]:
-    """The parts, outside of the base spans, of every run."""
+def runs(text: str, spans: list, shortest: int = SHORTEST) -> Iterator[tuple[int, str, list | None]]:
+    """Start and text of every run of that length, and the base spans in it, as merged starts and ends (None if there is none)."""
     taken: list[list[int]] = []
     for a, b in sorted((a, b) for _, a, b, _ in spans):
         if taken and a < taken[-1][1]:
             taken[-1][1] = max(taken[-1][1], b)
         else:
             taken.append([a, b])
-    ends = [b for _, b in taken]
-    # A span that ends after the start of a part must begin after its end.
-    free = lambda a, b: (i := bisect_right(ends, a)) == len(ends) or taken[i][0] >= b
+    at = 0
     for m in _RUN.finditer(text):
-        left = [p for p in parts(text, *m.span()) if free(*p)]
-        if left:
-            yield left
+        a, b = m.span()
+        if b - a >= shortest:
+            while at < len(taken) and taken[at][1] <= a:
+                at += 1
+            to = at
+            while to < len(taken) and taken[to][0] < b:
+                to += 1
+            yield a, m[0], [(x - a, y - a) for x, y in taken[at:to]] or None
+
+
+def _free(a: int, b: int, inside: list | None) -> bool:
+    """Whether a part meets none of the base spans."""
+    if not inside:
+        return True
+    i = bisect_right(inside, a, key=lambda s: s[1])
+    return i == len(inside) or inside[i][0] >= b
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", strings: int = SAMPLE_STRINGS) -> SecretModel:
     """Infer an automaton per kind from a bounded sample of the distinct credentials, chosen by their hash.
 
-    The threshold of a kind is reached by a thousandth of the background
-    candidates (those in no base span, by their best parts) and by all but the
-    lowest twentieth of its own strings, both counted over all documents. Kinds with fewer than twenty strings have no automaton.
+    Sampled strings have SAMPLE_LENGTH characters at most. The threshold of a
+    kind is reached by a thousandth of the background runs (those outside of
+    the base spans, by their best parts) and by all but the lowest twentieth of
+    its own strings; both are counted over all documents and all lengths. Kinds
+    without any string have no automaton.
     """
 
     def labelled():
@@ -228,8 +414,6 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", strings: int =
                 spans = base_spans(t or "")
                 if spans or h % 50 == 0:
                     for kind, s in _training(t or "", spans):
-                        if len(s) > LONGEST:
-                            continue
                         for o, x in zip(out, (kind, s)):
                             o.append(x)
             return out
@@ -241,15 +425,19 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", strings: int =
     found = flat_rows(rows, ["h", "t"], labelled, "kind string, s string").distinct()
     found = cut_lineage(found)
     least = {r.kind: r.n for r in found.where("kind != ''").groupBy("kind").agg(F.min(F.length("s")).alias("n")).collect()}
+    learned = found.where(F.length("s") <= SAMPLE_LENGTH)
+    picked = [by_hash(learned.where(F.col("kind") == k), ["kind", "s"], strings) for k in KINDS]
+    # Half of the background is as long as credentials are, if there is such.
+    back = learned.where("kind = ''")
     long = F.length("s") >= min(least.values(), default=SHORTEST)
-    picked = [by_hash(found.where((F.col("kind") == k) & long), ["kind", "s"], strings) for k in (*KINDS, "")]
-    by: dict[str, list[str]] = {}
+    picked += [by_hash(back.where(long), ["kind", "s"], strings // 2), by_hash(back, ["kind", "s"], strings // 2)]
+    by: dict[str, set[str]] = {}
     for frame in picked:
         for r in frame.collect():
-            by.setdefault(r.kind, []).append(symbols(r.s))
+            by.setdefault(r.kind, set()).add(r.s)
     model = SecretModel(background=infer(by[""]) if by.get("") else None, least=least)
     for kind in KINDS:
-        if len(by.get(kind, [])) >= 20:
+        if by.get(kind):
             model.automata[kind] = infer(by[kind])
     return _with_thresholds(docs, model, text) if model.automata else model
 
@@ -260,21 +448,28 @@ def _with_thresholds(docs: DataFrame, model: SecretModel, text: str) -> SecretMo
 
     def scored():
         known = shared.value
+        low = known.shortest()
 
         def of(texts):
             n: Counter = Counter()
+            plain: Counter = Counter()
             for t in texts:
                 spans = base_spans(t or "")
                 for kind, s in _labelled(t or "", spans):
-                    gains = known.gains(s) if len(s) <= LONGEST else {}
+                    gains = known.of_string(s)
                     if kind in gains:
                         n[kind, True, gains[kind]] += 1
-                for left in candidates(t or "", spans):
-                    top: dict[str, float] = {}
-                    for a, b in left:
-                        for kind, gain in known.gains(t[a:b]).items():
-                            top[kind] = max(top.get(kind, gain), gain)
-                    n.update((kind, False, gain) for kind, gain in top.items())
+                if not spans:
+                    plain.update(r for r in _RUN.findall(t or "") if len(r) >= low)
+                    continue
+                for _, run, inside in runs(t, spans, low):
+                    if inside is None:
+                        plain[run] += 1
+                    else:
+                        n.update(_top(p for p in known.scored(run) if _free(p[0], p[1], inside)))
+            for run, times in plain.items():
+                for key in _top(known.scored(run)):
+                    n[key] += times
             return [*([*x] for x in zip(*n)), [*n.values()]] if n else [[], [], [], []]
 
         return of
@@ -297,6 +492,15 @@ def _with_thresholds(docs: DataFrame, model: SecretModel, text: str) -> SecretMo
     return model
 
 
+def _top(scored: Iterable[tuple[int, int, dict[str, float]]]) -> list[tuple[str, bool, float]]:
+    """The greatest gain of every kind among the parts of a run, as keys of the counts."""
+    top: dict[str, float] = {}
+    for _, _, gains in scored:
+        for kind, gain in gains.items():
+            top[kind] = max(top.get(kind, gain), gain)
+    return [(kind, False, gain) for kind, gain in top.items()]
+
+
 def _labelled(text: str, spans: list) -> list[tuple[str, str]]:
     """The credentials under the base spans by kind."""
     matches = [(kind, a, b, _ASSIGN.match(text, a, b) if kind == "assign" else None) for kind, a, b, _ in spans]
@@ -305,7 +509,8 @@ def _labelled(text: str, spans: list) -> list[tuple[str, str]]:
 
 def _training(text: str, spans: list) -> list[tuple[str, str]]:
     """The credentials under the base spans by kind, and under '' the parts of runs outside of them."""
-    return _labelled(text, spans) + [("", text[a:b]) for left in candidates(text, spans) for a, b in left]
+    parted = [("", run[a:b]) for _, run, inside in runs(text, spans) for a, b in parts(run) if b - a <= SAMPLE_LENGTH and _free(a, b, inside)]
+    return _labelled(text, spans) + parted
 
 
 def find(docs: DataFrame, model: SecretModel, text: str = "text") -> DataFrame:
@@ -322,7 +527,12 @@ def find(docs: DataFrame, model: SecretModel, text: str = "text") -> DataFrame:
         def scan(t: str) -> list:
             spans = base_spans(t)
             if known.thresholds:
-                added = [(f"like_{k}", *rest) for left in candidates(t, spans) for k, *rest in known.best(t, left)]
+                added = []
+                for start, run, inside in runs(t, spans, known.shortest()):
+                    left = known.scored(run)
+                    if inside is not None:
+                        left = [p for p in left if _free(p[0], p[1], inside)]
+                    added += [(f"like_{k}", start + a, start + b, gain) for k, a, b, gain in known.best(left)]
                 spans += added
             order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
             return as_rows(sorted(spans, key=lambda s: (s[1], order[s[0]])))
