@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,17 +14,18 @@ from pyspark.sql import functions as F
 from turfline.functions.lineage import cut_lineage
 from turfline.llm.common import flat_rows, table, with_columns
 from turfline.llm.sample import by_hash
-from turfline.llm.spans import SPANS, apart, as_rows, joined, of_kind
+from turfline.llm.spans import SPANS, as_rows, joined, of_kind
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match starts where its digits do, so a long run of digits is read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: A word with a digit or an at sign: what an entity can be made of.
 _CHUNK = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
-_TRIM = re.compile(r"[^A-Za-z0-9+(]*(.*?)[^A-Za-z0-9]*\Z", re.S)
+_LEAD = re.compile(r"[^A-Za-z0-9+(]*")
 #: Most words of an entity.
 LONGEST = 5
 #: Hashed features.
@@ -89,8 +91,10 @@ def sequences(text: str) -> list[list[tuple[int, int]]]:
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
-    m = _TRIM.match(text[a:b])
-    return a + m.start(1), a + m.end(1)
+    a = _LEAD.match(text, a, b).end()
+    while b > a and not (text[b - 1].isascii() and text[b - 1].isalnum()):
+        b -= 1
+    return a, b
 
 
 _SHAPE = (re.compile("[0-9]+"), re.compile(r"[^\W\d_]+"))
@@ -278,6 +282,17 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     return fit_weights(data)
 
 
+def _merged(spans: list) -> list[list[int]]:
+    """What the spans cover, as ascending intervals."""
+    out: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b, _ in spans):
+        if out and a < out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def find(docs: DataFrame, model: SpanModel, text: str = "text", least: float = 2.0) -> DataFrame:
     """Add ``spans``: the base ones, and apart from them the entities of the best segmentation (kind ``like_<kind>``).
 
@@ -292,16 +307,16 @@ def find(docs: DataFrame, model: SpanModel, text: str = "text", least: float = 2
 
         def scan(t: str) -> list:
             spans = base_spans(t)
-            taken = sorted((a, b) for _, a, b, _ in spans)
+            taken = _merged(spans)
+            meets = lambda a, b: (i := bisect_right(taken, a, key=lambda s: s[1])) < len(taken) and taken[i][0] < b
             order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
             for run in sequences(t):
-                near = [s for s in taken if s[0] < run[-1][1] and s[1] > run[0][0]]
-                if all(any(a < y and b > x for x, y in near) for a, b in run):
+                if all(meets(a, b) for a, b in run):
                     continue
                 segments = _segments(t, run)
                 for label, j, n, gain in known.decode(segments):
                     span = segments[j][n][0]
-                    if gain >= least and apart(span, near):
+                    if gain >= least and not meets(*span):
                         spans.append((f"like_{LABELS[label]}", *span, gain))
             return as_rows(sorted(spans, key=lambda s: (order[s[0]], s[1])))
 
