@@ -274,9 +274,10 @@ def passages():
     return texts + [texts[3]]
 
 
-@pytest.mark.parametrize("hot", [2000, 4])
-def test_suffixes(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, hot_rows", [(2000, 20_000), (4, 20_000), (1, 3)])
+def test_suffixes(spark, monkeypatch, hot, hot_rows):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "HOT_ROWS", hot_rows)
     monkeypatch.setattr(suffixes, "BUCKET", 64)
     texts = passages()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -293,6 +294,23 @@ def test_suffixes_over_the_table(spark, small, docs):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == want
 
 
+def test_split_of_a_hot_gram_keeps_rows_few(spark, monkeypatch):
+    """A passage that many texts share amid different words: rows of the split grow with the texts, not with their windows."""
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    rng = np.random.default_rng(11)
+    prose = lambda n: "".join(rng.choice(list("abcdefghijklmnop "), n))
+    common = prose(520)
+    texts = [f"{prose(300)}{common}{prose(300)}" for _ in range(120)]
+    ready, found = [], []
+    split = suffixes.split_hot
+    monkeypatch.setattr(suffixes, "split_hot", lambda spans: (lambda out: (ready.extend(out[0]), found.extend(out[1]), out)[-1])(split(spans)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = result(suffixes.remove_repeats(df))
+    want = brute_repeats(texts)
+    assert [(sum(s["end"] - s["start"] for s in got[i].removed), sha(bytes(got[i].kept))) for i in range(120)] == [(w[1], w[3]) for w in want]
+    assert found and sum(f.count() for f in [*ready, *found]) < 120 * 20
+
+
 def test_multikey_order():
     rng = np.random.default_rng(5)
     rows = rng.integers(0, 3, (500, 16), dtype=np.uint8)

@@ -6,16 +6,19 @@ of every window of WINDOW bytes the gram of GRAM bytes with the least hash, so
 equal windows have equal grams at equal places. Grams that occur once end the
 search for their windows, and so do spans (all windows of one anchor) that are
 repeated whole. The suffixes of the rest are range-partitioned by their leading
-bytes, sorted, and compared with their neighbours.
+bytes, sorted, and compared with their neighbours. A gram with many spans is
+split: the windows of its spans that start close together share more than the
+gram, so their suffixes are told apart by more leading bytes (``split_hot``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turfline.functions.lineage import cut_lineage
@@ -28,8 +31,11 @@ WINDOW, GRAM = 400, 160
 STARTS = WINDOW - GRAM + 1
 #: Suffixes that one task sorts, on average.
 BUCKET = 4096
-#: A gram with more spans than this is not sorted in one task: its windows are counted one by one.
+#: Spans with equal leading bytes that one task sorts; more of them are split on further bytes.
 HOT = 2000
+#: A key with this many rows, and with more than one row in MOST_HOT of its table, is joined on the map
+#: side; there are at most MOST_HOT such keys in any table, which bounds what is broadcast.
+HOT_ROWS, MOST_HOT = 20_000, 50_000
 #: Window starts whose anchors are found at a time, and bits for a position among them.
 PART, BITS = 1 << 22, 23
 
@@ -136,17 +142,18 @@ def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     row, start = np.nonzero(edge == 1)
     _, end = np.nonzero(edge == -1)
     first = np.asarray(lo)[row]
-    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(tid)[row]), pa.array(first + start), pa.array(first + end - 1 + WINDOW)], names=["tid", "a", "b"])
+    yield pa.RecordBatch.from_arrays([tid.take(pa.array(row)), pa.array(first + start), pa.array(first + end - 1 + WINDOW)], names=["tid", "a", "b"])
 
 
 def _listed():
     def of(tids, texts):
-        out = [[] for _ in range(6)]
+        keys, out = [], [[] for _ in range(5)]
         for tid, t in zip(tids, texts):
             found = anchors(np.frombuffer((t or "").encode(), np.uint8))
-            for o, v in zip(out, (np.full(len(found[0]), tid), *found)):
+            keys += [tid] * len(found[0])
+            for o, v in zip(out, found):
                 o.append(v)
-        return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+        return [keys, *[np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]]
 
     return of
 
@@ -164,55 +171,96 @@ def _contexts():
     return of
 
 
-def _windows():
-    def of(tids, los, contexts):
-        out = [[] for _ in range(4)]
-        for tid, lo, c in zip(tids, los, contexts):
-            data = np.frombuffer(c, np.uint8)
-            at = np.arange(len(data) - WINDOW + 1)
-            one = rolling.between(rolling.prefix(data), at, at + WINDOW)
-            two = rolling.between(rolling.prefix(data ^ np.uint8(0x55)), at, at + WINDOW)
-            for o, v in zip(out, (np.full(len(at), tid), at + lo, one.view(np.int64), two.view(np.int64))):
-                o.append(v)
-        return [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
+def met(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join of ``rows`` to a written table of their keys and numbers of rows, ``_rows``; a key may hold any share.
 
-    return of
+    Rows of the few keys with very many rows stay where they are, see MOST_HOT; the others are shuffled.
+    """
+    limit = max(HOT_ROWS, rows.count() // MOST_HOT)
+    hot = F.broadcast(counted.where(F.col("_rows") > limit))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(counted.where(F.col("_rows") <= limit), keys)
+    return rows.join(hot, keys).unionByName(rest).drop("_rows")
+
+
+def core() -> Column:
+    """The bytes that all windows of a row's range share: they have ``low`` to ``high`` bytes before the anchor."""
+    return F.substring(F.col("context"), F.col("off") - F.col("low") + 1, WINDOW - F.col("high") + F.col("low"))
+
+
+def split_hot(spans: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans of grams with many spans as rows that can be sorted, and the intervals that were found on the way.
+
+    The windows of a span are halved by the place of the anchor in them. The
+    windows of a half share ``core``, which is longer than that of the whole:
+    rows with different cores have no window in common. Rows that agree in all
+    their windows are repeats, and one goes on for all of them. A core with HOT
+    rows at most is sorted in one task; the rows of others are halved again.
+    A half of one window is its core, so nothing is left after eight levels,
+    and a row goes on in those halves only whose core many rows share.
+    """
+    ready, found, rows = [], [], spans
+    while rows.count():
+        middle = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.explode(F.array(F.struct("low", middle.alias("high")), F.struct((middle + 1).alias("low"), "high")))
+        cut = rows.withColumn("half", halves).select("tid", "lo", "off", "n", "context", "half.*")
+        # The places of the anchor in the windows that the row has of this half.
+        first = F.greatest("low", F.col("off") - F.length("context") + WINDOW)
+        last = F.least("high", "off")
+        cut = cut.withColumns({"first": first, "last": last}).where("first <= last")
+        part = F.substring(F.col("context"), F.col("off") - F.col("last") + 1, WINDOW + F.col("last") - F.col("first"))
+        cut = cut.select("tid", (F.col("lo") + F.col("off") - F.col("last")).alias("lo"), F.col("last").alias("off"), "n", part.alias("context"), "low", "high")
+        held = cut_lineage(cut.withColumns({"core": F.unhex(F.md5(core())), "hull": F.unhex(F.md5("context"))}))
+        same = ["low", "high", "core", "hull", "off"]
+        ones = held.groupBy(*same).agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("n"), F.min(F.struct("tid", "lo", "context")).alias("one"))
+        ones = cut_lineage(ones.withColumn("n", F.least("n", F.lit(2)).cast("int")))
+        twins = ones.where("_rows > 1").select(*same, "_rows")
+        found.append(met(held, twins, same).select("tid", F.col("lo").alias("a"), (F.col("lo") + F.length("context")).alias("b")))
+        kinds = cut_lineage(ones.groupBy("low", "core").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").withColumn("kinds", F.col("_rows")))
+        open_ = met(ones.select("low", "high", "core", "off", "n", "one"), kinds, ["low", "core"])
+        open_ = cut_lineage(open_.select("one.tid", "one.lo", "off", "n", "one.context", "low", "high", "kinds"))
+        ready.append(open_.where(F.col("kinds") <= HOT).drop("kinds"))
+        rows = open_.where(F.col("kinds") > HOT).drop("kinds")
+    return ready, found
 
 
 def repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Byte intervals ``a`` to ``b`` of the texts ``tid`` (their 64-bit hash) that strings of WINDOW bytes with a twin cover.
+    """Byte intervals ``a`` to ``b`` of the texts ``tid`` (their MD5) that strings of WINDOW bytes with a twin cover.
 
     Nothing is gathered for a text, a gram or a passage as a whole: grams and
-    spans are counted with a combine before the shuffle, and of equal spans one
-    stands for all. Suffixes with equal leading GRAM bytes fall into one range
-    partition, so neighbours across a boundary share less than a gram and need
-    no comparison; a gram with more than HOT different spans is left out of the
-    sort, and its windows are counted by their 128-bit hashes.
+    spans are counted with a combine before the shuffle, of equal spans one
+    stands for all, and keys with very many rows are joined where they are.
+    Suffixes with equal leading bytes (the gram, or the longer core of a split
+    gram) fall into one range partition, so neighbours across a boundary share
+    no window and need no comparison.
     """
-    slim = docs.select(F.xxhash64(F.col(text)).alias("tid"), F.col(text).alias("t")).where(F.octet_length(F.col(text)) >= WINDOW)
-    rows = cut_lineage(flat_rows(slim, ["tid", "t"], _listed, "tid long, pos long, lo long, hi long, gram long, span long"))
-    again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    kept = cut_lineage(rows.join(again, "gram"))
-    spans = kept.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "pos", "lo", "hi")).alias("one"))
+    slim = docs.select(text_key(F.col(text)).alias("tid"), F.col(text).alias("t")).where(F.octet_length(F.col(text)) >= WINDOW)
+    rows = cut_lineage(flat_rows(slim, ["tid", "t"], _listed, "tid binary, pos long, lo long, hi long, gram long, span long"))
+    again = cut_lineage(rows.groupBy("gram").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"))
+    kept = cut_lineage(met(rows, again, ["gram"]))
+    spans = kept.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("tid", "pos", "lo", "hi")).alias("one"))
     spans = cut_lineage(spans)
-    whole = kept.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"]).select("tid", F.col("lo").alias("a"), (F.col("hi") + WINDOW).alias("b")).distinct()
-    kinds = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = spans.join(kinds, "gram").select("one.*", F.least("n", F.lit(2)).cast("int").alias("n"), (F.col("kinds") > HOT).alias("hot"))
+    twins = spans.where("_rows > 1").select("gram", "span", "_rows")
+    whole = met(kept, twins, ["gram", "span"]).select("tid", F.col("lo").alias("a"), (F.col("hi") + WINDOW).alias("b")).distinct()
+    kinds = cut_lineage(spans.groupBy("gram").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1").withColumn("kinds", F.col("_rows")))
+    mixed = met(spans.select("gram", "one", F.least("_rows", F.lit(2)).cast("int").alias("n")), kinds, ["gram"])
+    mixed = mixed.select("one.*", "n", (F.col("kinds") > HOT).alias("hot"))
     per_text = mixed.groupBy("tid").agg(F.collect_list(F.struct("pos", "lo", "hi", "n", "hot")).alias("wanted"))
-    found = flat_rows(slim.join(per_text, "tid"), ["tid", "t", "wanted"], _contexts, "tid long, lo long, off int, n int, context binary, hot boolean")
-    # Copies of a text give the same contexts.
-    found = cut_lineage(found.dropDuplicates(["tid", "lo"]))
-    cold = found.where("not hot")
+    # Of the copies of a text one is read.
+    texts = slim.groupBy("tid").agg(F.first("t").alias("t"))
+    found = flat_rows(texts.join(per_text, "tid"), ["tid", "t", "wanted"], _contexts, "tid binary, lo long, off int, n int, context binary, hot boolean")
+    found = cut_lineage(found.withColumns({"low": F.lit(0), "high": F.lit(STARTS - 1)}))
+    ready, on_the_way = split_hot(found.where("hot").drop("hot"))
+    cold = reduce(DataFrame.unionByName, ready, found.where("not hot").drop("hot"))
     buckets = max(1, -(-cold.count() // BUCKET))
-    lead = F.substring(F.col("context"), F.col("off") + 1, F.lit(GRAM))
-    ranged = cold.select("tid", "lo", "off", "n", "context").repartitionByRange(buckets, lead)
-    by_sort = ranged.mapInArrow(_sorted_bucket, "tid long, a long, b long")
-    hot = flat_rows(found.where("hot"), ["tid", "lo", "context"], _windows, "tid long, p long, h1 long, h2 long")
-    # A span that stands for several counts as often; its own windows are whole repeats already.
-    weight = flat_rows(found.where("hot and n > 1"), ["tid", "lo", "context"], _windows, "tid long, p long, h1 long, h2 long")
-    twice = hot.union(weight).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2")
-    by_count = hot.join(twice, ["h1", "h2"]).select("tid", F.col("p").alias("a"), (F.col("p") + WINDOW).alias("b"))
-    return whole.union(by_sort).union(by_count)
+    # Leading bytes in order, then a hash of all that are shared: splitters stay short.
+    ranged = cold.withColumns({"lead": F.substring(core(), 1, 16), "shared": F.xxhash64(core())}).repartitionByRange(buckets, "lead", "shared")
+    by_sort = ranged.select("tid", "lo", "off", "n", "context").mapInArrow(_sorted_bucket, "tid binary, a long, b long")
+    return reduce(DataFrame.unionByName, on_the_way, whole.unionByName(by_sort))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.md5(text.cast("binary")))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -225,7 +273,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = [c for c in docs.columns if c not in ("removed", "kept")]
     found = repeats(docs, text).groupBy("tid").agg(F.collect_set(F.struct("a", "b")).alias("__found"))
-    keyed = docs.select(*rows, F.xxhash64(F.col(text)).alias("__tid"))
+    keyed = docs.select(*rows, text_key(F.col(text)).alias("__tid"))
     marked = keyed.join(found, keyed["__tid"] == found["tid"], "left").select(*rows, "__found")
 
     def make():
