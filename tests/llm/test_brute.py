@@ -109,6 +109,27 @@ def test_imatch_fingerprint_by_hand(spark):
     assert got[0].fingerprint == got[20].fingerprint == got[40].fingerprint != got[1].fingerprint
 
 
+def test_imatch_few_band_terms(spark):
+    """Unrelated texts that share their only band term are told apart by all their terms."""
+    texts = [" ".join(f"own{i}x{j}" for j in range(30)) + f" shared{i % 10}" for i in range(50)]
+    got = result(imatch.fingerprints(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string")))
+    assert len({r.fingerprint for r in got.values()}) == 50 and got[0].fingerprint == got[50].fingerprint
+
+
+def test_next_row_over_many_ranges(spark, monkeypatch):
+    """Keys far apart, one key with many rows, a third of the rows without key: each row's follower, and ranges stay small."""
+    monkeypatch.setattr(imatch, "RANGE_ROWS", 20)
+    monkeypatch.setattr(imatch, "QUANTILES", 8)
+    rows = [(i, f"a{i}") for i in range(150)] + [(10**15 + i * i, f"b{i}") for i in range(150)] + [(77_777, f"c{i}") for i in range(150)] + [(None, f"d{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    ranged = imatch.in_ranges(df, "doc_id", ["text"])
+    assert max(r["count"] for r in ranged.groupBy("__range").count().collect()) < 100
+    got = {r.text: r.next_text for r in imatch.with_next(df, "doc_id", ["text"]).collect()}
+    ties = {r.text: r.h for r in df.selectExpr("text", "xxhash64(text) h").collect()}
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] if r[0] is not None else -(1 << 63), ties[r[1]]), reverse=True)]
+    assert got == dict(zip(order, order[1:] + order[:1]))
+
+
 def test_quality(spark, small):
     marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
     got = result(quality.op3_quality(spark, small))
