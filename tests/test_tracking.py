@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turfline.functions.columns import min_rank
+from turfline.functions.lineage import cut_lineage
 from turfline.functions.skew import attach, spread_rank
 from turfline.operators import tracking as tr
 
@@ -158,3 +159,40 @@ def test_depths_of_oversized_plays(warehouse, rows):
     cols = ("gameid", "playid", "nflid", "depth", "width", "width_rk", "depth_rk", "side")
     usual = rows(pp.defender_depths(warehouse.track, warehouse.plays), *cols)
     assert rows(pp.defender_depths(warehouse.track, warehouse.plays, hot_rows=100), *cols) == usual
+
+
+def above_frames(df):
+    """For each line of a plan that turns a frame into 23 rows: the operators from there to the first join by play, and to the top."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    names = [(len(line) - len(line.lstrip(" :+-*()0123456789")), line.lstrip(" :+-*()0123456789")) for line in lines]
+    found = []
+    for i, (depth, name) in enumerate(names):
+        if name.startswith("Generate explode(org"):
+            path = []
+            for at, above in reversed(names[:i]):
+                if at < depth:
+                    depth = at
+                    path.append(above.split(" ")[0])
+            found.append((path[: path.index("ShuffledHashJoin")], path))
+    return found
+
+
+def test_frames_are_neither_moved_nor_sorted(spark, warehouse):
+    """Also without broadcasts: only the thin lines that frames are made of are shuffled."""
+    from turfline.plans import pipelines as pp
+
+    w, moves = warehouse, {"Exchange", "Sort", "SortMergeJoin"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        crop = cut_lineage(tr.play_crop(w.track, with_rows=True))
+        for plan in (
+            tr.clip_frames(w.track, crop),
+            pp.frame_table(w.track, w.plays, w.games, w.players, w.color_grid),
+            pp.alignments(w.track, w.plays, w.players),
+        ):
+            joins = above_frames(plan)
+            assert joins and not any(moves & set(near) for near, _ in joins)
+        means = above_frames(pp.defender_positions(w.track, w.plays))
+        assert len(means) == 2 and not any(moves & set(path) for _, path in means)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64m")
