@@ -205,3 +205,14 @@ def test_headers_of_many_files_are_one_leg_each(spark, tmp_path):
     assert got._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2
     found = sorted((r["model"], str(r["date"]), r["class"], r["odds"]) for r in got.collect())
     assert found == sorted([(f"m{i}", f"2025-03-0{i}", c, o) for i in range(1, 7) for c, o in (("0", 0.25), ("1", 0.75))] + [("two_high", "2025-02-15", "1", 0.5)])
+
+
+def test_packed_csv_is_found_and_read(spark, tmp_path, rows):
+    df = spark.range(2000).selectExpr("CAST(id AS INT) AS gameid", "CAST(1 AS INT) AS playid", "repeat('Cover 3 Zone', 5) AS coverage")
+    plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
+    sinks.write_csv(df.coalesce(1), plain)
+    sinks.write_csv(df.coalesce(1), packed, "gzip")
+    files = readers.find_files(spark, {2018: packed}, "*.csv.gz")[2018]
+    assert rows(readers.read_named(spark, files)) == rows(df)
+    size = {f: sum(p.stat().st_size for p in (tmp_path / f).glob("*.csv*")) for f in ("plain", "packed")}
+    assert size["packed"] * 4 < size["plain"]

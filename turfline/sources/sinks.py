@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from turfline.operators.tracking import PLAY
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
     """CSV folder with a header, ``NA`` for missing."""
-    df.write.mode("overwrite").options(header=True, nullValue="NA").csv(path)
+    df.write.mode("overwrite").options(header=True, nullValue="NA", compression=compression).csv(path)
 
 
 def write_tracking(track: DataFrame, path: str, season: str | None = "season", keys: Sequence[str] = PLAY) -> None:
@@ -38,6 +38,7 @@ def write_by_play(
     the season reads only its folders. With ``path`` the files lie there.
     """
     # One writer task per bucket keeps the number of files at ``buckets`` a season.
+    # Rows laid out by play in as many parts are not moved for it.
     writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys)
     if season:
         writer = writer.partitionBy(season)
