@@ -207,6 +207,26 @@ def test_headers_of_many_files_are_one_leg_each(spark, tmp_path):
     assert found == sorted([(f"m{i}", f"2025-03-0{i}", c, o) for i in range(1, 7) for c, o in (("0", 0.25), ("1", 0.75))] + [("two_high", "2025-02-15", "1", 0.5)])
 
 
+def test_frames_laid_out_in_buckets_are_written_where_they_are(spark, small, rows):
+    from turfline.plans import pipelines as pp
+    from turfline.plans.registry import SEASON
+    from turfline.sources.warehouse import Warehouse
+
+    laid = Warehouse(spark, small, 5)
+    plan = laid.track.repartition(5, "gameid", "playid")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    stored, _ = pp.stored_by_play(laid.track.withColumn("season", F.expr(SEASON)), laid.plays, 5)
+    assert len(stored.inputFiles()) <= 5 * 3
+    assert rows(stored.drop("season"), "playid", "frameid", "nflid", "x") == rows(laid.track, "playid", "frameid", "nflid", "x")
+
+
+def test_buckets_grow_with_the_frames(spark):
+    from turfline.plans import pipelines as pp
+
+    assert pp.buckets_for(spark.range(10)) == 16
+    assert pp.buckets_for(spark.range(100 * pp.BUCKET_ROWS + 1)) == 101
+
+
 def test_packed_csv_is_found_and_read(spark, tmp_path, rows):
     df = spark.range(2000).selectExpr("CAST(id AS INT) AS gameid", "CAST(1 AS INT) AS playid", "repeat('Cover 3 Zone', 5) AS coverage")
     plain, packed = str(tmp_path / "plain"), str(tmp_path / "packed")
