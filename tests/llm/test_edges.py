@@ -114,3 +114,21 @@ def test_a_long_text_without_blanks(spark):
     df = documents(spark, [(1, text, "en", "a", 1), (2, "short", "en", "a", 1)])
     out = pieces.decode(pieces.encode(df)).select("doc_id", F.length("decoded").alias("n"), "n_tokens").collect()
     assert {r["doc_id"]: r["n"] for r in out} == {1: len(text), 2: 5}
+
+
+def test_texts_nobody_asks_for_are_not_moved(spark):
+    rows = spark.range(20_000).selectExpr("id AS k", "repeat(id, 3) AS t", "xxhash64(id) AS th")
+    slim = rows.union(spark.range(7, 8).selectExpr("null", "'none'", "xxhash64(id)"))
+    wanted = rows.where("k % 100 = 7").select("k", "th").union(spark.range(7, 8).selectExpr("null", "xxhash64(id)"))
+    asked = chosen_path._asked(slim, wanted.select("th"))
+    assert len({r["k"] for r in asked.collect()}) < 400  # by chance 0.2 of the others have a bit that is set
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        texts = chosen_path._texts(slim, wanted)
+        plan = str(texts._jdf.queryExecution().executedPlan()).splitlines()
+        assert sorted(r["t"] for r in texts.collect()) == sorted([*[str(i) * 3 for i in range(7, 20_000, 100)], "none"])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(k" in line]
+    assert any("BroadcastHashJoin" in line for line in plan[moved[0] : moved[1]])  # the map stands below the exchange of the texts

@@ -31,6 +31,8 @@ WIDE, STRIPE = 4096, 256
 CELLS, LOOSE = 128, 0.65
 #: Sets that one task compares exactly at a time (pairs of such blocks for larger groups).
 BLOCK = 256
+#: Bits of the map by which texts that nobody asks for are passed over before any text is moved: 2 MB, whatever the input.
+MARKS = 1 << 24
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -245,6 +247,32 @@ def _candidates(sets: DataFrame, runs: int) -> DataFrame:
     return sketched.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_compare_sketches, "a long, b long")
 
 
+def _asked(rows: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows whose hash ``th`` is in ``hashes``, and few others: those whose bit in a map of MARKS bits is set too.
+
+    No row of ``rows`` is moved. The join that follows decides; with very many hashes it only has more to do.
+    """
+    at = F.pmod(F.col("th"), F.lit(MARKS)) + 1
+    place = F.bitmap_bucket_number(at), F.bitmap_bit_position(at)
+    bits = hashes.select(place[0].alias("__map"), place[1].alias("__bit")).repartition("__map")
+    maps = bits.groupBy("__map").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(place[1] / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.join(F.broadcast(maps), place[0] == F.col("__map"))
+    return met.where(F.getbit(byte, (place[1] % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def _texts(slim: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts ``t`` of ``slim`` that the rows of ``wanted`` come from; most texts are in no group and stay where they are.
+
+    Rows without a key are found by their text's hash; a text among them is read once. The joins are inner ones to
+    distinct keys: a semi join would be pushed below the map of ``_asked``, and then move all texts.
+    """
+    asked = _asked(slim, wanted.select("th"))
+    keyed = asked.join(wanted.where("k is not null").select("k", "th").distinct(), ["k", "th"])
+    others = asked.where("k is null").join(wanted.where("k is null").select("th").distinct(), "th")
+    return keyed.select("t").union(others.select("t").distinct())
+
+
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: the key, ``class_id`` and ``n_links``.
 
@@ -302,10 +330,7 @@ def _linked(docs: DataFrame, text: str, key: str, words: int = WORDS, threshold:
 
         return of
 
-    # Rows without a key are found by their text's hash; a text among them is read once.
-    keyed = slim.join(wanted.where("k is not null").select("k", "th").distinct(), ["k", "th"], "left_semi")
-    others = slim.where("k is null").join(wanted.where("k is null").select("th").distinct(), "th", "left_semi")
-    texts = keyed.select("t").union(others.select("t").distinct())
+    texts = _texts(slim, wanted)
     listed = with_columns(texts, ["t"], tokens_of, "c0 long, c1 long, tokens binary").drop("t").dropDuplicates(["c0", "c1"])
     sized = wanted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     placed = wanted.join(sized, "root").join(listed, ["c0", "c1"])
