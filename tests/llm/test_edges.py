@@ -132,3 +132,9 @@ def test_texts_nobody_asks_for_are_not_moved(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     moved = [i for i, line in enumerate(plan) if "Exchange hashpartitioning(k" in line]
     assert any("BroadcastHashJoin" in line for line in plan[moved[0] : moved[1]])  # the map stands below the exchange of the texts
+
+
+def test_a_draw_is_a_small_expression(spark):
+    quotas = spark.createDataFrame([(i, 100 * i) for i in range(12)], "src_no int, quota long")
+    plan = str(mixing.split_quotas(quotas, 40)._jdf.queryExecution().toString())
+    assert len(plan) < 300_000  # nearly 700,000 with every value in place, see mixing._bound

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,36 +44,58 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_PASSE
     return weighted.withColumn("target", F.least(stop, F.col("w") * level)).drop("w")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once and named, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """Marked items among ``drawn`` of ``total``, by inverting the distribution at ``u``.
 
     The terms within twelve deviations of the mode are summed by their ratio;
     what lies beyond has less than 1e-30 of the mass.
     """
-    big, k, n = total.cast("double"), marked.cast("double"), drawn.cast("double")
-    low, high = F.greatest(F.lit(0.0), n + k - big), F.least(n, k)
-    mode = F.floor((n + 1) * (k + 1) / (big + 2)).cast("double")
-    far = F.ceil(12 * F.sqrt(F.greatest(n * k / big * (1 - k / big) * (big - n) / F.greatest(big - 1, F.lit(1.0)), F.lit(0.0)))).cast("double") + 2
-    a, b = F.greatest(low, mode - far), F.least(high, mode + far)
-    steps = F.sequence(F.lit(0).cast("bigint"), (b - a).cast("bigint"))
-
-    def walk(goal: Column) -> Column:
+    # Every value is bound to a name before the next is made from it: in place, the tree of expressions of one draw holds
+    # each of them dozens of times, and the driver keeps and prints such a tree for every level.
+    given = F.struct(total.cast("double").alias("big"), marked.cast("double").alias("k"), drawn.cast("double").alias("n"))
+
+    def bounds(v: Column) -> Column:
+        big, k, n = v["big"], v["k"], v["n"]
+        far = F.ceil(12 * F.sqrt(F.greatest(n * k / big * (1 - k / big) * (big - n) / F.greatest(big - 1, F.lit(1.0)), F.lit(0.0)))).cast("double") + 2
+        return F.struct(
+            big.alias("big"), k.alias("k"), n.alias("n"), F.greatest(F.lit(0.0), n + k - big).alias("low"), F.least(n, k).alias("high"),
+            F.floor((n + 1) * (k + 1) / (big + 2)).cast("double").alias("mode"), far.alias("far"),
+        )
+
+    def ends(v: Column) -> Column:
+        a, b = F.greatest(v["low"], v["mode"] - v["far"]), F.least(v["high"], v["mode"] + v["far"])
+        return F.struct(v["big"].alias("big"), v["k"].alias("k"), v["n"].alias("n"), a.alias("a"), b.alias("b"))
+
+    def walk(v: Column, goal: Column) -> Column:
+        big, k, n = v["big"], v["k"], v["n"]
+        steps = F.sequence(F.lit(0).cast("bigint"), (v["b"] - v["a"]).cast("bigint"))
         start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), F.lit(-1).cast("bigint").alias("at"))
 
         def step(s: Column, i: Column) -> Column:
-            x, upto = a + i.cast("double"), s["sum"] + s["p"]
-            return F.struct(
-                (s["p"] * (k - x) * (n - x) / ((x + 1) * F.greatest(big - k - n + x + 1, F.lit(1.0)))).alias("p"),
-                upto.alias("sum"),
-                F.when((s["at"] < 0) & (upto >= goal), x.cast("bigint")).otherwise(s["at"]).alias("at"),
-            )
+            def moved(x: Column) -> Column:
+                upto = s["sum"] + s["p"]
+                return F.struct(
+                    (s["p"] * (k - x) * (n - x) / ((x + 1) * F.greatest(big - k - n + x + 1, F.lit(1.0)))).alias("p"),
+                    upto.alias("sum"),
+                    F.when((s["at"] < 0) & (upto >= goal), x.cast("bigint")).otherwise(s["at"]).alias("at"),
+                )
+
+            return _bound(v["a"] + i.cast("double"), moved)
 
         return F.aggregate(steps, start, step)
 
-    mass = walk(F.lit(float("inf")))["sum"]
-    # The goal is bound to a name first, so that it is summed once and not at every step.
-    found = F.transform(F.array(mass * u), lambda goal: walk(goal)["at"])[0]
-    return F.when((big <= 0) | (k <= 0) | (n <= 0), F.lit(0).cast("bigint")).when(found < 0, b.cast("bigint")).otherwise(found)
+    def found(v: Column) -> Column:
+        at = _bound(walk(v, F.lit(float("inf")))["sum"] * u, lambda goal: walk(v, goal)["at"])
+        return F.coalesce(F.nullif(at, F.lit(-1).cast("bigint")), v["b"].cast("bigint"))
+
+    drawn_from = _bound(given, lambda v: _bound(bounds(v), lambda w: _bound(ends(w), found)))
+    none = (total <= 0) | (marked <= 0) | (drawn <= 0)
+    return F.when(none, F.lit(0).cast("bigint")).otherwise(drawn_from)
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
