@@ -138,3 +138,31 @@ def test_a_draw_is_a_small_expression(spark):
     quotas = spark.createDataFrame([(i, 100 * i) for i in range(12)], "src_no int, quota long")
     plan = str(mixing.split_quotas(quotas, 40)._jdf.queryExecution().toString())
     assert len(plan) < 300_000  # nearly 700,000 with every value in place, see mixing._bound
+
+
+def test_batches_handed_to_python_are_small(spark):
+    import sys
+
+    from turfline.llm import common
+
+    rows = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id % 10 AS string), 2000) AS text")
+
+    def make():
+        # The batch that the chunk of texts was cut from.
+        return lambda texts: [[sys._getframe(1).f_locals["batch"].nbytes] * len(texts)]
+
+    out = common.with_columns(rows, ["text"], make, "held long").agg(F.count("held"), F.max("held"), F.min("doc_id"), F.max("doc_id")).first()
+    assert out[0] == 9000 and out[2:] == (0, 8999)
+    assert out[1] < 2 * common.BATCH_BYTES  # 18 MB under Spark's own bound
+    assert [common._in_bytes(x) for x in ("64MB", "3k", "17", "2097152b", "-1")] == [64 << 20, 3 << 10, 17, 2 << 20, float("inf")]
+
+
+def test_redacting_takes_one_python_pass(odd):
+    model = private.fit(odd)
+    out = private.redact(odd, model)
+    assert str(out._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+    texts = odd.select("text").collect()
+    spans = [private.scan(r.text or "", model) for r in texts]
+    assert sorted(map(str, ((r.text, [s.kind for s in r.spans]) for r in out.collect()))) == sorted(
+        str((private.redacted(r.text, s), [x[0] for x in s])) for r, s in zip(texts, spans)
+    )

@@ -113,9 +113,13 @@ def fit(
 
     def counted():
         def of(langs, hashes, texts):
-            kept = [(x, h, c) for x, h, t in zip(langs, hashes, texts) if (c := ngram_counts(t)) is not None]
-            at = [np.flatnonzero(c) for _, _, c in kept]
-            return [x for x, _, _ in kept], [h for _, h, _ in kept], at, [c[a] for (_, _, c), a in zip(kept, at)]
+            out = [], [], [], []
+            for x, h, t in zip(langs, hashes, texts):
+                if (c := ngram_counts(t)) is not None:
+                    at = np.flatnonzero(c)
+                    for o, v in zip(out, (x, h, at, c[at])):
+                        o.append(v)
+            return out
 
         return of
 

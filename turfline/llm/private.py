@@ -304,45 +304,56 @@ def find(docs: DataFrame, model: SpanModel, text: str = "text", least: float = 2
 
     def make():
         known = shared.value
-
-        def scan(t: str) -> list:
-            spans = base_spans(t)
-            taken = _merged(spans)
-            meets = lambda a, b: (i := bisect_right(taken, a, key=lambda s: s[1])) < len(taken) and taken[i][0] < b
-            order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
-            for run in sequences(t):
-                if all(meets(a, b) for a, b in run):
-                    continue
-                segments = _segments(t, run)
-                for label, j, n, gain in known.decode(segments):
-                    span = segments[j][n][0]
-                    if gain >= least and not meets(*span):
-                        spans.append((f"like_{LABELS[label]}", *span, gain))
-            return as_rows(sorted(spans, key=lambda s: (order[s[0]], s[1])))
-
-        return lambda texts: [[scan(t or "") for t in texts]]
+        return lambda texts: [[as_rows(scan(t or "", known, least)) for t in texts]]
 
     return with_columns(docs, [text], make, f"spans {SPANS}")
 
 
+def scan(t: str, model: SpanModel, least: float = 2.0) -> list[tuple[str, int, int, float]]:
+    """The spans of a text, see ``find``."""
+    spans = base_spans(t)
+    taken = _merged(spans)
+    meets = lambda a, b: (i := bisect_right(taken, a, key=lambda s: s[1])) < len(taken) and taken[i][0] < b
+    order = {k: i for i, k in enumerate((*KINDS, *(f"like_{k}" for k in KINDS)))}
+    for run in sequences(t):
+        if all(meets(a, b) for a, b in run):
+            continue
+        segments = _segments(t, run)
+        for label, j, n, gain in model.decode(segments):
+            span = segments[j][n][0]
+            if gain >= least and not meets(*span):
+                spans.append((f"like_{LABELS[label]}", *span, gain))
+    return sorted(spans, key=lambda s: (order[s[0]], s[1]))
+
+
+def redacted(t: str | None, spans: list[tuple[str, int, int, float]]) -> str | None:
+    if t is None or not spans:
+        return t
+    out, at = [], 0
+    for kind, start, end, _ in sorted(spans, key=lambda s: s[1]):
+        if start >= at:
+            out += [t[at:start], f"<{kind.removeprefix('like_')}>"]
+        at = max(at, end)
+    return "".join([*out, t[at:]])
+
+
 def redact(docs: DataFrame, model: SpanModel, text: str = "text") -> DataFrame:
-    """Replace every found span by its kind in angle brackets; of overlapping spans the first names the whole. Null stays null."""
-    found = find(docs, model, text)
+    """Replace every found span by its kind in angle brackets; of overlapping spans the first names the whole. Null stays null.
+
+    ``spans`` are added as by ``find``, in the same pass: a task keeps one Python worker.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        def one(t, spans):
-            if t is None or not spans:
-                return t
-            out, end = [], 0
-            for s in sorted(spans, key=lambda s: s["start"]):
-                if s["start"] >= end:
-                    out += [t[end : s["start"]], f"<{s['kind'].removeprefix('like_')}>"]
-                end = max(end, s["end"])
-            return "".join([*out, t[end:]])
-
-        return lambda texts, spans: [[one(t, s) for t, s in zip(texts, spans)]]
-
-    return with_columns(found, [text, "spans"], make, f"{text} string")
+        known = shared.value
+
+        def of(texts):
+            found = [scan(t or "", known) for t in texts]
+            return [as_rows(s) for s in found], [redacted(t, s) for t, s in zip(texts, found)]
+
+        return of
+
+    return with_columns(docs, [text], make, f"spans {SPANS}, `{text}` string")
 
 
 def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
