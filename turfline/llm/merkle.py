@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,7 +172,10 @@ def positions(
 ) -> DataFrame:
     """Leaves: group, key, digest, digest after the change (null if it stays) and position in the group.
 
-    Only digests and keys go on from here; the texts are read once.
+    Only digests and keys go on from here; the texts are read once. What is read
+    twice of them, to find the ranges and to move the rows, waits as blocks on
+    the executors' disks and not as a file for every part of the input: for
+    each file it makes, Hadoop starts processes beside the executor.
     """
     sound = framed([F.col(f"`{c}`") for c in columns])
     edited = framed([changed[c] if c in changed else F.col(f"`{c}`") for c in columns])
@@ -183,8 +187,11 @@ def positions(
         F.unhex(F.nullif(edited, sound)).alias("edited"),
     )
     # The key tells equal rows apart, so that copies of one row can be spread.
-    stored = cut_lineage(leaves.withColumn("key", F.monotonically_increasing_id()))
-    placed = running_total(stored.withColumn("tie", F.substring("digest", 1, 8)), ["grp"], ["ord", "tie", "key"], F.lit(1), "pos")
+    held = leaves.withColumn("key", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    try:
+        placed = running_total(held.withColumn("tie", F.substring("digest", 1, 8)), ["grp"], ["ord", "tie", "key"], F.lit(1), "pos")
+    finally:
+        held.unpersist()
     return cut_lineage(placed.drop("tie"))
 
 
