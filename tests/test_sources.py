@@ -1,5 +1,8 @@
 """Files written in the release layouts and read back."""
 
+import gzip
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,3 +239,44 @@ def test_packed_csv_is_found_and_read(spark, tmp_path, rows):
     assert rows(readers.read_named(spark, files)) == rows(df)
     size = {f: sum(p.stat().st_size for p in (tmp_path / f).glob("*.csv*")) for f in ("plain", "packed")}
     assert size["packed"] * 4 < size["plain"]
+
+
+def test_all_cells_are_checked_whichever_are_used(spark, tmp_path):
+    """Frames and rejects as one table, in another order of columns too, equal those that are written apart."""
+    turned = list(FRAME)[::-1]
+    files = [
+        frame_file(tmp_path, "week1.csv", [{"frameid": "1"}, {"frameid": "x7"}, {"dir": "west"}, {"event": "snap", "x": "2.25"}, "1,2"]),
+        frame_file(tmp_path, "week2.csv", [{"o": "north"}, {name: "NA" for name in FRAME}, {"x": "oops"}], turned), write(tmp_path, "notes.csv", "gameId,note\n1,a\n"),
+    ]
+    manifest = readers.release_manifest(spark, {2021: files})
+    lines = readers.load_releases(spark, manifest, apart=False)
+    counted = lines.groupBy("season", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("reason").isNull(), F.col("x"))).alias("x"))
+    assert {(r["season"], r["reason"]): (r["n"], r["x"]) for r in counted.collect()} == {(2021, None): (3, 3.75), (2021, "value"): (5, None), (2021, "unknown header"): (1, None)}
+    frames, rejects = readers.load_releases(spark, manifest)
+    one = lines.where("reason IS NULL").select(*frames.columns)
+    assert sorted(map(str, one.collect())) == sorted(map(str, frames.collect()))
+    assert sorted(map(str, lines.where("reason IS NOT NULL").select(*rejects.columns).collect())) == sorted(map(str, rejects.collect()))
+    nothing = readers.load_releases(spark, [m for m in manifest if m["layout"] is None], apart=False)
+    assert [(r["season"], r["reason"], r["x"]) for r in nothing.collect()] == [(2021, "unknown header", None)]
+
+
+def test_a_header_is_read_without_the_rest(spark, tmp_path):
+    """A packed file that breaks off far behind its first line, and files as Spark reads them: marked, empty, with other line ends."""
+    noise = random.Random(1)
+    packed = gzip.compress(("\ufeffgameId,note\n" + "\n".join(str(noise.random()) for _ in range(200_000))).encode())
+    (tmp_path / "a b.csv.gz").write_bytes(packed[: len(packed) // 2])
+    files = [str(tmp_path / "a b.csv.gz"), write(tmp_path, "c.csv", "gameId,note\r\n1,2\r\n"), write(tmp_path, "d.csv", ""), write(tmp_path, "e.csv", "x")]
+    found = readers.by_header(spark, files)
+    assert {header: [f.rsplit("/", 1)[-1] for f in group] for header, group in found.items()} == {"gameId,note": ["a b.csv.gz", "c.csv"], "x": ["e.csv"]}
+
+
+def test_release_load_goes_over_its_files_once(spark, small):
+    """Whatever the session's parts, no file is long, and the sums read the files themselves with all their cells."""
+    from turfline.plans import pipelines as pp
+    from turfline.plans.registry import queries
+
+    got = queries()["release_load"](spark, small)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert len(scans) == 3 and all("FileScan csv" in line and "jerseynumber" in line for line in scans)
+    assert pp.buckets_for(spark.range(10 * pp.BUCKET_ROWS), fold=3) == 30

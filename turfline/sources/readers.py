@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import csv
 from collections.abc import Mapping, Sequence
-from urllib.parse import unquote
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +25,8 @@ _KNOWN = {
     "yardstogo": "int", "presnaphomescore": "int", "presnapvisitorscore": "int", "isdropback": "boolean",
     "homefinalscore": "int", "visitorfinalscore": "int",
 }
+#: Files whose header is read at a time.
+HEADER_THREADS = 16
 
 
 def read_csv(spark: SparkSession, paths: str | Sequence[str], schema, **options) -> DataFrame:
@@ -42,15 +44,31 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return [name.strip() for name in next(csv.reader([line]))]
 
 
-def headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """First line of every file (``file, header``), of any number of files in one job.
+def _first_line(spark: SparkSession, url: str) -> tuple[str, str | None]:
+    """A file's name and its first line, unpacked as the name says and as Spark reads it; None if the file is empty."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(url))
+    files = path.getFileSystem(conf)
+    if not files.getFileStatus(path).getLen():
+        return str(path), None
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    stream = files.open(path)
+    try:
+        unpacked = stream if codec is None else codec.createInputStream(stream)
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(unpacked, "UTF-8")).readLine()
+    finally:
+        stream.close()
+    return str(path), line and line.removeprefix("\ufeff")
 
-    Ids rise in the order in which lines are read, and a file's first line lies in its first block.
+
+def headers(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, str]:
+    """First line of every file by its name, in name order; nothing else of a file is read, however long or packed it is.
+
+    The driver opens the files, a few at a time, through Hadoop's file system, as it lists them.
     """
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("at")
-    )
-    return lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    found = sorted(spark.read.text(paths).inputFiles())
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        return {file: line for file, line in pool.map(lambda url: _first_line(spark, url), found) if line is not None}
 
 
 def _names(header: str) -> list[str]:
@@ -60,8 +78,8 @@ def _names(header: str) -> list[str]:
 def by_header(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, list[str]]:
     """Files per distinct header; the driver holds one line per file, as it holds their names."""
     found: dict[str, list[str]] = {}
-    for row in headers(spark, paths).orderBy("file").collect():
-        found.setdefault(row["header"], []).append(unquote(row["file"]))
+    for file, header in headers(spark, paths).items():
+        found.setdefault(header, []).append(file)
     return found
 
 
@@ -106,13 +124,17 @@ def release_manifest(spark: SparkSession, files: Mapping[int, Sequence[str]]) ->
     return entries
 
 
-def load_releases(spark: SparkSession, manifest: Sequence[Mapping]) -> tuple[DataFrame, DataFrame]:
+def load_releases(spark: SparkSession, manifest: Sequence[Mapping], apart: bool = True) -> tuple[DataFrame, DataFrame] | DataFrame:
     """Tracking frames of a manifest in one layout with ``season``, and what did not fit: ``season, file, line, reason``.
 
     One plan leg per entry, however many files it has. Lines are parsed once
     and written, so that frames and rejects come from the same reading. A line
     with a value of another type or another number of values is a reject with
     its text; a file without a known layout is one reject without line.
+
+    Without ``apart`` frames and rejects are one table, ``reason`` is null for
+    frames, and nothing is written: for a caller that goes over them once. The
+    cells of all columns are checked there as well, whichever are used.
     """
     legs, unknown = [], []
     for entry in manifest:
@@ -125,15 +147,25 @@ def load_releases(spark: SparkSession, manifest: Sequence[Mapping]) -> tuple[Dat
         lines = read_csv(spark, entry["files"], schema, mode="PERMISSIVE", columnNameOfCorruptRecord="_line", columnPruning=False)
         named = lines.withColumnRenamed("club", "team") if "team" not in schema.names else lines
         cells = [F.col(c).alias(c) for c in TRACKING_COLUMNS]
-        legs.append(named.select(*cells, "_line", F.col("_metadata.file_path").alias("_file"), F.lit(entry["season"]).alias("season")))
+        # Spark converts, and so checks, only the cells that are asked for. This asks for all and is always true.
+        missing = sum((F.col(c).isNull().cast("int") for c in TRACKING_COLUMNS), F.lit(0))
+        asked = F.col("_line").isNull() | (missing <= len(cells))
+        legs.append(
+            named.where(asked).select(
+                *cells, F.lit(entry["season"]).alias("season"), F.col("_metadata.file_path").alias("file"), F.col("_line").alias("line"),
+                F.when(F.col("_line").isNotNull(), "value").alias("reason"),
+            )
+        )
     shape = "season int, file string, line string, reason string"
     rejects = spark.createDataFrame(unknown, shape)
     if not legs:
         frames = spark.createDataFrame([], T.StructType([layout(2021)[c] for c in TRACKING_COLUMNS]).add("season", T.IntegerType()))
-        return frames, rejects
+        return (frames, rejects) if apart else stack([frames, rejects])
+    if not apart:
+        return stack([*legs, rejects])
     parsed = cut_lineage(stack(legs))
-    bad = parsed.where(F.col("_line").isNotNull()).select("season", F.col("_file").alias("file"), F.col("_line").alias("line"), F.lit("value").alias("reason"))
-    return parsed.where(F.col("_line").isNull()).drop("_line", "_file"), bad.unionByName(rejects)
+    bad = parsed.where(F.col("reason").isNotNull()).select(*rejects.columns)
+    return parsed.where(F.col("reason").isNull()).drop("file", "line", "reason"), bad.unionByName(rejects)
 
 
 def load_games(spark: SparkSession, by_season: Mapping[int, str | Sequence[str]]) -> DataFrame:
